@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -13,18 +14,25 @@ from . import textvec as tv
 from .components import connected_components
 from .shared import materialize
 
-#: A pair at Jaccard 0.85 shares no band with probability (1 - 0.85**5)**32 = 7e-9.
-BANDS, ROWS = 32, 5
-#: Pairs whose signatures agree in a share of less than this are dropped before their sets are compared; at a
-#: similarity of 0.85 the share is 0.85 with a standard deviation of 0.028, so this is over 7 deviations below.
-SLACK = 0.2
-
 _U = np.uint64
-_seeds = tv.mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64))
+_seeds = tv.mix(np.arange(1, 2049, dtype=np.uint64))
 _MULTIPLY = (_seeds[::2] >> _U(32)).astype(np.uint32) | np.uint32(1)
 _ADD = (_seeds[1::2] >> _U(32)).astype(np.uint32)
 
 
+class Scheme(NamedTuple):
+    """Bands, minima of each, and how far below the similarity the share of equal minima of a pair may lie."""
+
+    bands: int
+    rows: int
+    slack: float
+
+
+#: A pair at Jaccard 0.85 shares no band with probability (1 - 0.85**5)**32 = 7e-9, at 0.8 with 3e-6. At 0.85 the share
+#: of equal minima is 0.85 with a standard deviation of 0.028, so 0.2 less is over 7 deviations.
+DOCUMENTS = Scheme(32, 5, 0.2)
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int, words: np.ndarray = tv.NOT_SPACE) -> list[np.ndarray]:
     """Per text the sorted distinct hashes of its shingles of ``size`` words (A-Z lower-cased); of all words if there are fewer."""
     lower = tv.LOWER[data]
@@ -40,28 +48,28 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int, words: np.nda
     return sets
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """BANDS * ROWS universal hash minima of each set, which must not be empty."""
-    out = np.empty((len(sets), BANDS * ROWS), np.uint32)
+def signatures(sets: list[np.ndarray], size: int) -> np.ndarray:
+    """``size`` universal hash minima of each set, which must not be empty."""
+    out = np.empty((len(sets), size), np.uint32)
     if sets:
         starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
         flat = np.concatenate(sets)
         flat = (flat ^ (flat >> _U(32))).astype(np.uint32)
-        for k in range(BANDS * ROWS):
+        for k in range(size):
             out[:, k] = np.minimum.reduceat(flat * _MULTIPLY[k] + _ADD[k], starts)
     return out
 
 
-def band_keys(minima: np.ndarray) -> np.ndarray:
+def band_keys(minima: np.ndarray, scheme: Scheme) -> np.ndarray:
     """One hash for each row's band; different bands never share a key on purpose."""
-    grouped = minima.reshape(len(minima), BANDS, ROWS).astype(np.uint64)
-    total = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * _U(0xD6E8FEB86659FD93), grouped.shape[:2]).copy()
-    for k in range(ROWS):
+    grouped = minima.reshape(len(minima), scheme.bands, scheme.rows).astype(np.uint64)
+    total = np.broadcast_to(np.arange(1, scheme.bands + 1, dtype=np.uint64) * _U(0xD6E8FEB86659FD93), grouped.shape[:2]).copy()
+    for k in range(scheme.rows):
         total = tv.mix(total + grouped[:, :, k])
     return total.view(np.int64)
 
 
-def _profiles(size: int):
+def _profiles(size: int, scheme: Scheme):
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64())), ("signature", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,13 +78,13 @@ def _profiles(size: int):
                 sets = shingle_sets(*tv.utf8(part.column("text")), size)
                 counts = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(counts)
-                minima = signatures([sets[i] for i in full])
+                minima = signatures([sets[i] for i in full], scheme.bands * scheme.rows)
                 prints = np.zeros((2, len(sets)), np.uint64)
                 for i in full:
                     prints[0, i], prints[1, i] = tv.mix(sets[i]).sum(), tv.mix(sets[i] ^ _U(0xA5A5A5A5A5A5A5A5)).sum()
-                bands = band_keys(minima).reshape(-1)
+                bands = band_keys(minima, scheme).reshape(-1)
                 sizes = np.zeros(len(sets) + 1, np.int32)
-                sizes[full + 1] = BANDS
+                sizes[full + 1] = scheme.bands
                 signs: list[bytes | None] = [None] * len(sets)
                 for i, row in zip(full, minima.astype(np.uint16)):
                     signs[i] = row.tobytes()
@@ -121,11 +129,11 @@ def _linked(size: int, percent: int):
     return run
 
 
-def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int, slack: float) -> DataFrame:
     """Candidate pairs (a, b) of representatives: first by size and signature, then by their full sets."""
     side = lambda k: reps.select(F.col("rep").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("signature").alias(f"s{k}"))
     pairs = pairs.join(side("b"), "b").join(side("a"), "a").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    likely = materialize(pairs.select("a", "b", "sa", "sb").mapInArrow(_likely(percent / 100 - SLACK), "a long, b long"), "pairs")
+    likely = materialize(pairs.select("a", "b", "sa", "sb").mapInArrow(_likely(percent / 100 - slack), "a long, b long"), "pairs")
     need = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = docs.join(need, "doc_id", "left_semi")
     rows = likely.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
@@ -133,7 +141,7 @@ def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, perc
     return rows.mapInArrow(_linked(size, percent), "a long, b long")
 
 
-def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 80, scheme: Scheme = DOCUMENTS) -> DataFrame:
     """Components of documents that near-duplicate links join.
 
     Words are runs of other than ASCII white space, A-Z lower-cased; a document's set holds its distinct
@@ -141,9 +149,9 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 80
     if 100 * intersection >= ``percent`` * union. Returns, for every row of ``documents``: doc_id, n_shingles,
     component_id (the smallest doc_id reachable), kept (doc_id = component_id).
 
-    How: a scan gives each document the size, fingerprint and 160 minima of its set. Documents of one fingerprint
-    are one class, of which only the smallest doc_id goes on, so exact copies never meet in a bucket. In each of
-    the 32 band buckets members are paired with the smallest member only; pairs are confirmed on full sets and
+    How: a scan gives each document the size, fingerprint and minima of its set (``scheme``). Documents of one fingerprint
+    are one class, of which only the smallest doc_id goes on, so exact copies never meet in a bucket. In each
+    band bucket members are paired with the smallest member only; pairs are confirmed on full sets and
     components formed. Buckets whose members then lie in several components are taken up again: members of
     different components and of fitting size are paired, so that no link is lost that could join components.
 
@@ -152,7 +160,7 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 80
     itself. Further columns are ignored.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = materialize(docs.mapInArrow(_profiles(shingle), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, signature binary"), "profile")
+    profile = materialize(docs.mapInArrow(_profiles(shingle, scheme), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, signature binary"), "profile")
     usable = profile.filter("n_shingles > 0 and doc_id is not null")
     classes = usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
     reps = materialize(usable.join(classes.withColumnRenamed("rep", "doc_id"), ["f1", "f2", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "signature").dropDuplicates(["rep", "bands"]), "reps")
@@ -160,7 +168,7 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 80
     members = reps.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z")
     pairs = members.join(buckets, "bucket").filter("rep > a").select("a", F.col("rep").alias("b")).distinct()
-    links = materialize(_confirm(pairs, reps, docs, shingle, percent), "links")
+    links = materialize(_confirm(pairs, reps, docs, shingle, percent, scheme.slack), "links")
     groups = materialize(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "groups")
 
     # what the first round leaves open: buckets that still hold several components
@@ -171,7 +179,7 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 80
     x = left.select("bucket", F.col("rep").alias("a"), F.col("c").alias("ca"), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
     y = left.select("bucket", F.col("rep").alias("b"), F.col("c").alias("cb"), "bin")
     more = x.join(y, ["bucket", "bin"]).filter("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    late = materialize(_confirm(more.join(pairs, ["a", "b"], "left_anti"), reps, docs, shingle, percent), "late")
+    late = materialize(_confirm(more.join(pairs, ["a", "b"], "left_anti"), reps, docs, shingle, percent, scheme.slack), "late")
     if not late.isEmpty():
         ends = groups.select(F.col("node").alias("u"), F.col("component").alias("v"))
         groups = connected_components(ends.unionByName(late.select(F.col("a").alias("u"), F.col("b").alias("v"))))
