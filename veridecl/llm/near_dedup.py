@@ -29,8 +29,8 @@ class Scheme(NamedTuple):
 
 
 #: A pair at Jaccard 0.85 shares no band with probability (1 - 0.85**5)**32 = 7e-9, at 0.8 with 3e-6. At 0.85 the share
-#: of equal minima is 0.85 with a standard deviation of 0.028, so 0.2 less is over 7 deviations.
-DOCUMENTS = Scheme(32, 5, 0.2)
+#: of equal minima is 0.85 with a standard deviation of 0.028, so 0.15 less is over 5 deviations.
+DOCUMENTS = Scheme(32, 5, 0.15)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int, words: np.ndarray = tv.NOT_SPACE) -> list[np.ndarray]:
@@ -141,6 +141,28 @@ def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, perc
     return rows.mapInArrow(_linked(size, percent), "a long, b long")
 
 
+def _shingle_rows(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tv.text_slices(batch, "text"):
+                sets = shingle_sets(*tv.utf8(part.column("text")), size)
+                rep = np.repeat(part.column("doc_id").to_numpy(), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(np.concatenate(sets).view(np.int64) if sets else rep)], names=["rep", "shingle"])
+
+    return run
+
+
+def _in_common(docs: DataFrame, size: int) -> DataFrame:
+    """Rows (rep, common): how many shingles of each document another of ``docs`` has too.
+
+    No other document can share more with it, so two documents whose smaller number is too small for their sizes are
+    no link, however alike their minima. In a large group of texts that differ too much this leaves few pairs.
+    """
+    rows = docs.mapInArrow(_shingle_rows(size), "rep long, shingle long")
+    shared = rows.groupBy("shingle").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("shingle")
+    return rows.join(shared, "shingle", "left_semi").groupBy("rep").agg(F.count("*").alias("common"))
+
+
 def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 80, scheme: Scheme = DOCUMENTS) -> DataFrame:
     """Components of documents that near-duplicate links join.
 
@@ -153,7 +175,8 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 80
     are one class, of which only the smallest doc_id goes on, so exact copies never meet in a bucket. In each
     band bucket members are paired with the smallest member only; pairs are confirmed on full sets and
     components formed. Buckets whose members then lie in several components are taken up again: members of
-    different components and of fitting size are paired, so that no link is lost that could join components.
+    different components whose sizes and numbers of common shingles allow a link are paired, so that no link is lost
+    that could join components.
 
     Empty or null texts, and texts without words: n_shingles 0, alone, kept. A null doc_id: alone, with a null
     component, kept. Repeated rows get equal results. Rows of one doc_id with different texts are judged each by
@@ -173,12 +196,15 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 80
 
     # what the first round leaves open: buckets that still hold several components
     bins = F.floor(F.log("n_shingles") / F.log(F.lit(100 / percent)))
-    placed = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("c"), bins.alias("bin"))
+    placed = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("c"), bins.alias("bin"))
     open_ = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("bucket")
     left = materialize(placed.join(open_, "bucket", "left_semi"), "open")
-    x = left.select("bucket", F.col("rep").alias("a"), F.col("c").alias("ca"), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
-    y = left.select("bucket", F.col("rep").alias("b"), F.col("c").alias("cb"), "bin")
-    more = x.join(y, ["bucket", "bin"]).filter("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    common = _in_common(docs.join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle)
+    left = materialize(left.join(common, "rep").filter(f"100 * common >= {percent} * n_shingles"), "open")
+    x = left.select("bucket", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("n_shingles").alias("na"), F.col("common").alias("sa"), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
+    y = left.select("bucket", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("n_shingles").alias("nb"), F.col("common").alias("sb"), "bin")
+    fit = F.expr(f"ca < cb and 100 * least(sa, sb) >= {percent} * (na + nb - least(sa, sb))")
+    more = x.join(y, ["bucket", "bin"]).filter(fit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     late = materialize(_confirm(more.join(pairs, ["a", "b"], "left_anti"), reps, docs, shingle, percent, scheme.slack), "late")
     if not late.isEmpty():
         ends = groups.select(F.col("node").alias("u"), F.col("component").alias("v"))
