@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,12 @@ _FIRST_MONTH, _LAST_MONTH, _FIRST_YEAR, _LAST_YEAR = 1, 12, 2020, 2030
 DEVANAGARI_DIGITS = "०१२३४५६७८९"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value worked out once, however often it is used: else expressions that use the last one
+    several times each grow without bound when the optimizer merges them."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def strip(c: Column) -> Column:
     """Without white space, of Unicode too, at both ends."""
     return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
@@ -35,39 +43,39 @@ def fix_ocr(c: Column) -> Column:
 
 def normalize_unit(c: Column) -> Column:
     """struct<unit, rest>: the unit that the lower-cased text ends with, the longest word for it, and what stands before."""
-    low = strip(F.lower(c))
     words = "|".join(sorted(UNITS, key=lambda w: (-len(w), w)))
-    word = F.regexp_extract(low, rf"(?s)^.*?({words})$", 1)
-    unit = F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair])[word]
-    return F.struct(F.when(word != "", unit).alias("unit"), F.when(word != "", strip(F.regexp_extract(low, rf"(?s)^(.*?)({words})$", 1))).otherwise(c).alias("rest"))
+    unit = F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair])
+
+    def split(low: Column) -> Column:
+        found = lambda word: F.struct(F.when(word != "", unit[word]).alias("unit"), F.when(word != "", strip(F.regexp_extract(low, rf"(?s)^(.*?)({words})$", 1))).otherwise(c).alias("rest"))
+        return let(F.regexp_extract(low, rf"(?s)^.*?({words})$", 1), found)
+
+    return let(strip(F.lower(c)), split)
 
 
 def normalize_currency(c: Column) -> Column:
     """struct<currency, rest>: INR if a mark begins or ends the text, or the rupee sign is in it; the text without it."""
-    text = strip(c)
-    currency, rest = None, None
-    for mark in CURRENCY_MARKS:
-        n = len(mark)
-        head, tail = text.startswith(mark), text.endswith(mark)
-        after = F.regexp_replace(strip(F.substring(text, n + 1, 1 << 30)), r"^[./:]+", "")
-        before = strip(F.substring(text, F.lit(1), F.length(text) - n))
-        currency = F.when(head | tail, "INR") if currency is None else currency.when(head | tail, "INR")
-        rest = F.when(head, after) if rest is None else rest.when(head, after)
-        rest = rest.when(tail, before)
-    inside = text.contains("₹")
-    return F.struct(currency.when(inside, "INR").alias("currency"), rest.when(inside, strip(F.replace(text, F.lit("₹"), F.lit("")))).otherwise(c).alias("rest"))
+
+    def split(text: Column) -> Column:
+        rest = F.when(F.lit(False), c)
+        for mark in CURRENCY_MARKS:
+            n = len(mark)
+            rest = rest.when(text.startswith(mark), F.regexp_replace(strip(F.substring(text, n + 1, 1 << 30)), r"^[./:]+", ""))
+            rest = rest.when(text.endswith(mark), strip(F.substring(text, F.lit(1), F.length(text) - n)))
+        rest = rest.when(text.contains("₹"), strip(F.replace(text, F.lit("₹"), F.lit(""))))
+        return let(rest, lambda r: F.struct(F.when(r.isNotNull(), "INR").alias("currency"), F.coalesce(r, c).alias("rest")))
+
+    return let(strip(c), split)
 
 
 def parse_month(c: Column) -> Column:
     """struct<m, y> of the first date of each shape, month first, year first, day first, that names a valid month; else null."""
-    found = None
+    found = []
     for pattern, month, year in ((r"(\d{1,2})[/\-.](\d{4})", 1, 2), (r"(\d{4})[/\-](\d{1,2})", 2, 1), (r"(\d{1,2})/(\d{1,2})/(\d{4})", 2, 3)):
-        number = lambda g, p=pattern: F.try_to_number(F.translate(F.regexp_extract(c, f"(?U){p}", g), DEVANAGARI_DIGITS, "0123456789"), F.lit("9999")).cast("int")
-        m, y = number(month), number(year)
-        valid = m.between(_FIRST_MONTH, _LAST_MONTH) & y.between(_FIRST_YEAR, _LAST_YEAR)
-        value = F.struct(m.alias("m"), y.alias("y"))
-        found = F.when(valid, value) if found is None else found.when(valid, value)
-    return found
+        number = lambda g, p=pattern: F.translate(F.regexp_extract(c, f"(?U){p}", g), DEVANAGARI_DIGITS, "0123456789").try_cast("int")
+        valid = lambda d: F.when(d["m"].between(_FIRST_MONTH, _LAST_MONTH) & d["y"].between(_FIRST_YEAR, _LAST_YEAR), d)
+        found.append(let(F.struct(number(month).alias("m"), number(year).alias("y")), valid))
+    return F.coalesce(*found)
 
 
 def parse_number(c: Column) -> Column:

@@ -47,15 +47,18 @@ def ocr_summary(tokens: DataFrame) -> DataFrame:
 
 def normalize_tokens(tokens: DataFrame) -> DataFrame:
     """Tokens with normalized text, unit, currency, number (value) and month; blank lines are dropped."""
-    rows = tokens.withColumn("original", t.strip(F.col("text"))).filter("original <> ''").withColumn("normalized", t.fix_ocr(F.col("original")))
-    rows = rows.withColumn("c", t.normalize_currency(F.col("normalized"))).withColumn("u", t.normalize_unit(F.col("c.rest")))
-    month = F.coalesce(t.parse_month(F.col("u.rest")), t.parse_month(F.col("normalized")))
-    rows = rows.withColumn("d", month)
-    is_date, is_numeric = F.col("d").isNotNull(), t.is_number(F.col("u.rest"))
-    return rows.select(
-        "inspection_id", "seq", "original", "normalized", F.col("c.currency").alias("currency"), F.col("u.unit").alias("unit"), F.when(~is_date, t.parse_number(F.col("u.rest"))).alias("value"),
-        F.when(is_date, F.format_string("%04d-%02d", "d.y", "d.m")).alias("month"), is_numeric.alias("is_numeric"), is_date.alias("is_date"), F.col("c.currency").isNotNull().alias("is_currency"), "confidence",
-    )
+    rows = tokens.withColumn("original", t.strip(F.col("text"))).filter("original <> ''")
+
+    def token(normalized: Column, c: Column, u: Column, d: Column) -> Column:
+        return F.struct(
+            normalized.alias("normalized"), c["currency"].alias("currency"), u["unit"].alias("unit"), F.when(d.isNull(), t.parse_number(u["rest"])).alias("value"), F.when(d.isNotNull(), F.format_string("%04d-%02d", d["y"], d["m"])).alias("month"),
+            t.is_number(u["rest"]).alias("is_numeric"), d.isNotNull().alias("is_date"), c["currency"].isNotNull().alias("is_currency"),
+        )
+
+    dated = lambda n, c, u: t.let(F.coalesce(t.parse_month(u["rest"]), t.parse_month(n)), lambda d: token(n, c, u, d))
+    sized = lambda n, c: t.let(t.normalize_unit(c["rest"]), lambda u: dated(n, c, u))
+    whole = t.let(t.fix_ocr(F.col("original")), lambda n: t.let(t.normalize_currency(n), lambda c: sized(n, c)))
+    return rows.withColumn("t", whole).select("inspection_id", "seq", "original", "t.*", "confidence")
 
 
 def label_text(tokens: DataFrame) -> DataFrame:
@@ -115,16 +118,20 @@ def manufacturer(all_text: Column) -> Column:
     return found
 
 
+def _holds(word: str):
+    return lambda line: F.lower(line).contains(word)
+
+
 def consumer_care(all_text: Column) -> Column:
     lines = F.split(all_text, "\n")
-    hits = [F.get(F.filter(lines, lambda x, w=w: F.lower(x).contains(w)), 0) for w in CARE_WORDS]
+    hits = [F.get(F.filter(lines, _holds(w)), 0) for w in CARE_WORDS]
     return t.strip(F.coalesce(*hits))
 
 
 def country_of_origin(all_text: Column) -> Column:
     lines = F.split(all_text, "\n")
     name = lambda line: F.get(F.split(t.strip(F.regexp_extract(line, f"(?iu){ORIGIN_PATTERN}", 1)), r"\s+"), 0)
-    hits = [F.get(F.filter(F.transform(F.filter(lines, lambda x, w=w: F.lower(x).contains(w)), name), lambda x: x != ""), 0) for w in ORIGIN_WORDS]
+    hits = [F.get(F.filter(F.transform(F.filter(lines, _holds(w)), name), lambda x: x != ""), 0) for w in ORIGIN_WORDS]
     return F.coalesce(*hits)
 
 
@@ -168,7 +175,8 @@ def extract_declarations(tokens: DataFrame) -> DataFrame:
 
     rows = rows.withColumn("m", best(lambda x: x["is_currency"])).withColumn("q", best(lambda x: x["unit"].isNotNull()))
     dated = F.filter("ts", lambda x: x["is_date"])
-    dates = F.flatten(F.array(*[F.when(F.col("low").contains(w), F.transform(dated, lambda x, f=f: made(f, x["month"], x["confidence"]))).otherwise(F.array().cast("array<struct<field_type:string,value:string,confidence:double>>")) for w, f in DATE_WORDS.items()]))
+    as_field = lambda field: lambda x: made(field, x["month"], x["confidence"])
+    dates = F.flatten(F.array(*[F.when(F.col("low").contains(w), F.transform(dated, as_field(f))).otherwise(F.array().cast("array<struct<field_type:string,value:string,confidence:double>>")) for w, f in DATE_WORDS.items()]))
     fixed = [made("mrp", F.concat(F.lit("₹"), _spelled(F.col("m.amount"))), F.col("m.confidence")), made("net_quantity", F.when(F.col("q").isNotNull(), F.concat_ws(" ", _spelled(F.col("q.amount")), F.col("q.unit"))), F.col("q.confidence"))]
     fixed += [made(f, find(F.col("all_text")), F.lit(sure)) for f, (find, sure) in TEXT_FIELDS.items()]
     rows = rows.select("inspection_id", F.concat(F.array(*fixed[:2]), dates, F.array(*fixed[2:])).alias("found"))
