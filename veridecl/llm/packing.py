@@ -16,8 +16,11 @@ from . import textvec as tv
 
 #: Tokens of a sequence at most; the id that ends a document.
 LENGTH, END = 1024, 0
-#: Penalties, in tokens of padding, of a cut after a sentence and of a cut elsewhere inside a document.
-AT_SENTENCE, ANYWHERE = 1, 6
+#: Penalties, in tokens of padding, of a cut after a sentence and of a cut elsewhere inside a document; how much more than
+#: the cheapest a place may cost from which a full window is tried.
+AT_SENTENCE, ANYWHERE, NEAR = 1, 6, 12
+#: Of the sentences that end within so many tokens only the last is a place to cut.
+CELL = 64
 #: Tokens that are laid out at a time; the last, unfinished sequence is carried into the next block.
 BLOCK = 1 << 17
 
@@ -33,8 +36,9 @@ def best_cuts(boundaries: list[tuple[int, int]], total: int) -> list[int]:
     """Ends of the windows that cut tokens 0..total into pieces of at most LENGTH at the least cost.
 
     boundaries: (position, penalty) of the places at which a document or sentence ends, in order. A window costs its
-    padding and the penalty of its end. Besides the boundaries, a window of full length or of half of it may end
-    anywhere, at ANYWHERE. With f(j) the least cost up to j, f(j) + j is the minimum of f(i) + i over the LENGTH
+    padding and the penalty of its end. Besides the boundaries, a window of full length may end anywhere, at
+    ANYWHERE, if it begins at a place that costs at most NEAR
+    more than the cheapest of the last LENGTH positions. With f(j) the least cost up to j, f(j) + j is the minimum of f(i) + i over the LENGTH
     positions before j plus a constant; a queue of increasing f(i) + i keeps that minimum at its head.
     """
     if not total:
@@ -46,31 +50,45 @@ def best_cuts(boundaries: list[tuple[int, int]], total: int) -> list[int]:
     places = [b for b in boundaries if 0 < b[0] < total] + [(total, 0)]
     half = LENGTH // 2
 
-    def settle(j: int, penalty: float) -> None:
-        while queue and queue[0][0] < j - LENGTH:
-            queue.popleft()
-        i, least = queue[0]
-        best, origin = least + LENGTH - j, i
-        for size in (LENGTH, half):
-            if (k := j - size) in cost and cost[k] < best:
-                best, origin = cost[k], k
-        best += penalty
-        if j in cost and cost[j] <= best:
-            return
-        cost[j], came[j] = best, origin
-        key = best + j
-        while queue and queue[-1][1] >= key:
-            queue.pop()
-        queue.append((j, key))
-        if j + LENGTH < total:
-            forced.append(j + LENGTH)
-
+    lows: deque[tuple[int, float]] = deque([(0, 0)])  # costs of the last LENGTH positions, increasing
+    last = 0
     for position, penalty in places:
-        while forced and forced[0] < position:
-            settle(forced.popleft(), ANYWHERE)
-        if forced and forced[0] == position:
-            forced.popleft()
-        settle(position, penalty)
+        while True:
+            # full windows that end before the next boundary come first; without any, one is made to reach it
+            if not forced and last + LENGTH < position:
+                forced.append(last + LENGTH)
+            if forced and forced[0] <= position:
+                j = forced.popleft()
+                if j == position:
+                    continue
+                extra = ANYWHERE
+            else:
+                j, extra = position, penalty
+            while queue[0][0] < j - LENGTH:
+                queue.popleft()
+            origin, least = queue[0]
+            best = least + LENGTH - j
+            if (other := cost.get(j - LENGTH)) is not None and other < best:
+                best, origin = other, j - LENGTH
+            if (other := cost.get(j - half)) is not None and other < best:
+                best, origin = other, j - half
+            best += extra
+            cost[j], came[j], last = best, origin, j
+            key = best + j
+            while queue and queue[-1][1] >= key:
+                queue.pop()
+            queue.append((j, key))
+            while lows and lows[0][0] < j - LENGTH:
+                lows.popleft()
+            # a full window is tried from the cheapest places only
+            if not lows or best <= lows[0][1] + NEAR:
+                if j + LENGTH < total:
+                    forced.append(j + LENGTH)
+            while lows and lows[-1][1] >= best:
+                lows.pop()
+            lows.append((j, best))
+            if j == position:
+                break
     ends, j = [], total
     while j:
         ends.append(j)
@@ -99,6 +117,8 @@ class _Packer:
         boundaries, at = [], 0
         for _, _, ids, _ in self.pieces:
             inner = np.flatnonzero(self.stops[ids[:-1]]) + 1 + at
+            if len(inner) > 1:
+                inner = inner[np.append(inner[1:] // CELL != inner[:-1] // CELL, True)]
             boundaries += [(p, AT_SENTENCE) for p in inner.tolist()]
             at += len(ids)
             boundaries.append((at, 0 if ids[-1] == END else AT_SENTENCE))

@@ -50,7 +50,6 @@ def _fast(path: str, tokenizer) -> Callable[[str], np.ndarray] | None:
     encoding = tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens=names)
 
     def encode(text: str) -> np.ndarray:
-        found = encoding.encode(text, allowed_special="all") if any(n in text for n in names) else encoding.encode_ordinary(text)
-        return np.array(found, np.int64)
+        return encoding.encode_to_numpy(text, allowed_special="all", disallowed_special=())
 
     return encode
