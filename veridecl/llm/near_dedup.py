@@ -135,7 +135,8 @@ def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, perc
     pairs = pairs.join(side("b"), "b").join(side("a"), "a").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     likely = materialize(pairs.select("a", "b", "sa", "sb").mapInArrow(_likely(percent / 100 - slack), "a long, b long"), "pairs")
     need = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(need, "doc_id", "left_semi")
+    # the ids grow with the documents: no broadcast, whatever their number is here
+    texts = docs.join(need.hint("merge"), "doc_id", "left_semi")
     rows = likely.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     rows = rows.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
     return rows.mapInArrow(_linked(size, percent), "a long, b long")
@@ -199,7 +200,7 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 80
     placed = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("c"), bins.alias("bin"))
     open_ = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("bucket")
     left = materialize(placed.join(open_, "bucket", "left_semi"), "open")
-    common = _in_common(docs.join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle)
+    common = _in_common(docs.join(left.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), shingle)
     left = materialize(left.join(common, "rep").filter(f"100 * common >= {percent} * n_shingles"), "open")
     x = left.select("bucket", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("n_shingles").alias("na"), F.col("common").alias("sa"), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
     y = left.select("bucket", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("n_shingles").alias("nb"), F.col("common").alias("sb"), "bin")
