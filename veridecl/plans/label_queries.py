@@ -66,7 +66,10 @@ full_ AS (SELECT * FROM fld UNION ALL SELECT l.inspection_id, x.f, 'NOT_FOUND',
 """
 )
 _C = "round(CAST(confidence AS DOUBLE), 6) AS confidence"
-_c = F.round("confidence", 6).alias("confidence")
+
+
+def _c():
+    return F.round("confidence", 6).alias("confidence")
 
 
 def tokens(spark, sf):
@@ -106,7 +109,7 @@ def b5_parse_number(spark, sf):
 
 @query(NORM + f"SELECT inspection_id, seq, original, normalized, currency, unit, month, is_date, is_currency, is_numeric, value, {_C} FROM tok")
 def b6_normalize_tokens(spark, sf):
-    return tokens(spark, sf).withColumn("confidence", _c)
+    return tokens(spark, sf).withColumn("confidence", _c())
 
 
 @query(TOKENS + ", w AS (SELECT *, length(regexp_replace(text, '[^\\x{0900}-\\x{097F}]', '', 'g')) h, length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) a FROM ocr_tokens_v) SELECT inspection_id, seq, CASE WHEN h + a > 0 AND h / (h + a) > 0.3 THEN 'hi' WHEN a > 0 THEN 'en' ELSE 'unknown' END AS language FROM w")
@@ -150,7 +153,7 @@ def c1_label_text(spark, sf):
 def _field(name, field, cte_field=None):
     def run(spark, sf):
         made = ex.extract_field if field in ("mrp", "net_quantity") else ex.extract_text_field
-        return made(tokens(spark, sf), field).withColumn("confidence", _c)
+        return made(tokens(spark, sf), field).withColumn("confidence", _c())
 
     run.__name__ = name
     query(NORM + f"SELECT inspection_id, field_type, value, {_C} FROM fld WHERE field_type = '{field}'")(run)
@@ -166,17 +169,17 @@ _field("c8_product_name", "product_name")
 
 @query(NORM + f"SELECT inspection_id, field_type, value, {_C}, word, seq FROM dall")
 def c4_dates(spark, sf):
-    return ex.extract_dates(tokens(spark, sf)).withColumn("confidence", _c)
+    return ex.extract_dates(tokens(spark, sf)).withColumn("confidence", _c())
 
 
 @query(NORM + ", p AS (SELECT inspection_id, field_type, value, confidence FROM bestc) SELECT inspection_id, field_type, value, " + _C + " FROM p UNION ALL SELECT l.inspection_id, x.f, 'NOT_FOUND', 0.0 FROM (SELECT DISTINCT inspection_id FROM p) l CROSS JOIN (SELECT unnest([" + ", ".join(f"'{f}'" for f in ex.FIELD_TYPES) + "]) f) x WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.inspection_id = l.inspection_id AND p.field_type = x.f)")
 def c9_complete_fields(spark, sf):
-    return ex.complete_fields(ex.best_candidates(ex.declaration_candidates(tokens(spark, sf)))).withColumn("confidence", _c)
+    return ex.complete_fields(ex.best_candidates(ex.declaration_candidates(tokens(spark, sf)))).withColumn("confidence", _c())
 
 
 @query(NORM + f"SELECT inspection_id, field_type, value, {_C} FROM full_")
 def c10_extract_declarations(spark, sf):
-    return ex.extract_declarations(tokens(spark, sf)).select("inspection_id", "field_type", "value", _c)
+    return ex.extract_declarations(tokens(spark, sf)).select("inspection_id", "field_type", "value", _c())
 
 
 @query(NORM + "SELECT inspection_id, count(*) FILTER (WHERE value <> 'NOT_FOUND') n_found, coalesce(string_agg(DISTINCT CASE WHEN value <> 'NOT_FOUND' THEN field_type END, ',' ORDER BY CASE WHEN value <> 'NOT_FOUND' THEN field_type END), '') found_fields, coalesce(string_agg(DISTINCT CASE WHEN value = 'NOT_FOUND' THEN field_type END, ',' ORDER BY CASE WHEN value = 'NOT_FOUND' THEN field_type END), '') missing_fields FROM full_ GROUP BY 1")
@@ -186,7 +189,7 @@ def c11_field_status(spark, sf):
 
 @query(NORM + f"SELECT inspection_id, field_type, value, raw_value, {_C}, seq FROM cand")
 def c12_declaration_candidates(spark, sf):
-    return ex.declaration_candidates(tokens(spark, sf)).withColumn("confidence", _c)
+    return ex.declaration_candidates(tokens(spark, sf)).withColumn("confidence", _c())
 
 
 @query("SELECT CAST(n_nationkey AS VARCHAR) AS id, r_name || ' > ' || n_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'r' || r_regionkey, r_name FROM region")
