@@ -118,20 +118,34 @@ def match_predictions(predictions: DataFrame, truth: DataFrame, least: float = 0
     return rows.select("image_id", "class_name", F.explode(F.aggregate("ps", start, step)["out"]).alias("o")).select("image_id", "class_name", "o.seq", "o.confidence", "o.tp")
 
 
-def average_precision(matches: DataFrame, truth: DataFrame) -> DataFrame:
+def average_precision(matches: DataFrame, truth: DataFrame, chunks: int = 1000) -> DataFrame:
     """Per class the area under the envelope of precision over recall; null without truth.
 
-    The curve of a class has a point for each prediction. Cumulative counts are windows over the class's predictions,
-    first summed by confidence so that the window is over distinct confidences and images only.
+    The curve of a class has a point for each prediction, by falling confidence, image and seq. No window holds a whole
+    class: predictions are cut into ``chunks`` ranges of confidence, numbered inside, and shifted by the counts of the
+    ranges before; the envelope is the best precision further on in the range or in the ranges after.
     """
-    by = W.partitionBy("class_name").orderBy(F.desc("confidence"), "image_id", "seq")
+    range_ = F.coalesce(F.floor(F.col("confidence") * -chunks), F.lit(1 << 40)).alias("chunk")
+    rows = matches.select("class_name", "image_id", "seq", "confidence", F.col("tp").cast("int").alias("tp"), range_)
+    inner = W.partitionBy("class_name", "chunk")
+    until = inner.orderBy(F.desc("confidence"), "image_id", "seq").rowsBetween(W.unboundedPreceding, 0)
+    earlier = W.partitionBy("class_name").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
+    later = W.partitionBy("class_name").orderBy(F.desc("chunk")).rowsBetween(W.unboundedPreceding, -1)
+
+    sums = rows.groupBy("class_name", "chunk").agg(F.sum("tp").alias("s"), F.count("*").alias("k"))
+    shift = sums.select("class_name", "chunk", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("s0"), F.coalesce(F.sum("k").over(earlier), F.lit(0)).alias("k0"))
+    rows = rows.withColumn("tps", F.sum("tp").over(until)).withColumn("n", F.count("*").over(until)).join(shift, ["class_name", "chunk"])
+    rows = rows.select("class_name", "chunk", "n", "tp", ((F.col("s0") + F.col("tps")) / (F.col("k0") + F.col("n"))).alias("precision"))
+    tops = rows.groupBy("class_name", "chunk").agg(F.max("precision").alias("top"))
+    tops = tops.select("class_name", "chunk", F.max("top").over(later).alias("top"))
+    onward = F.max("precision").over(inner.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("onward", onward).filter("tp = 1").join(tops, ["class_name", "chunk"])
+    # each true positive moves the recall on by 1 / n_truth
+    area = rows.groupBy("class_name").agg(F.sum(F.greatest("onward", "top")).alias("area"))
     total = truth.groupBy("class_name").agg(F.count("*").alias("n_truth"))
-    rows = matches.withColumn("tps", F.sum(F.col("tp").cast("int")).over(by.rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.row_number().over(by))
-    rows = rows.join(F.broadcast(total), "class_name").withColumn("precision", F.col("tps") / F.col("n")).withColumn("recall", F.col("tps") / F.col("n_truth"))
-    rows = rows.withColumn("envelope", F.max("precision").over(by.rowsBetween(0, W.unboundedFollowing))).withColumn("before", F.lag("recall", 1, 0.0).over(by))
-    area = rows.groupBy("class_name").agg(F.sum((F.col("recall") - F.col("before")) * F.col("envelope")).alias("area"))
     names = matches.select("class_name").union(truth.select("class_name")).distinct()
-    return names.join(total, "class_name", "left").join(area, "class_name", "left").select("class_name", F.coalesce("n_truth", F.lit(0)).alias("n_truth"), F.when(F.col("n_truth") > 0, F.round(F.coalesce("area", F.lit(0.0)), 3)).alias("ap50"))
+    ap = F.when(F.col("n_truth") > 0, F.round(F.coalesce("area", F.lit(0.0)) / F.col("n_truth"), 3)).alias("ap50")
+    return names.join(total, "class_name", "left").join(area, "class_name", "left").select("class_name", F.coalesce("n_truth", F.lit(0)).alias("n_truth"), ap)
 
 
 def mean_ap(ap: DataFrame) -> DataFrame:
