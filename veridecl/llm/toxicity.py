@@ -20,6 +20,9 @@ MOST_LABELLED, MOST_WORDS, FOLDS = 20_000, 1 << 16, 3
 #: no end, would be learnt by heart.
 LEAST_DOCUMENTS, LEAST_SCORE = 3, 20.0
 THRESHOLD = 0.3
+#: Partitions of the labelled documents while models are fitted. Their number is bounded, and each step of a fit is a job
+#: with a task for each partition: those of the scan would be far too many.
+FIT_PARTITIONS = 12
 
 
 def words(text: Column) -> Column:
@@ -57,7 +60,7 @@ class Chain:
         chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", *(f"y_{n}" for n in self.names)).limit(most_labelled)
         # at most most_labelled rows of a few numbers, so it may be broadcast
         train = documents.select("doc_id", words(F.col("text")).alias("__w")).join(F.broadcast(chosen), "doc_id")
-        train = train.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS))).persist()
+        train = train.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS))).repartition(FIT_PARTITIONS).persist()
         self.vocabulary, self.links = None, []
         try:
             if train.isEmpty():
