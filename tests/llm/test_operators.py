@@ -177,6 +177,29 @@ def test_secrets(spark):
     assert key not in clean[4] and clean[0] is None and clean[8] == texts[8]
 
 
+def test_secrets_links_wherever_the_text_stands(spark):
+    """Pairs of parts at many offsets, lengths and gaps against every pair of parts."""
+
+    def place(length):
+        return "http://" + "z" * (length - 7)
+
+    rows = []
+    for shift in (0, 1, 150, 259, 299, 300, 301, 560):
+        for length in (40, 299, 300, 301, 650, 1500):
+            for gap in (1, 290, 299, 300, 301, 320):
+                ident = "AKIA" + "B" * 14
+                rows.append("\n" * shift + place(length) + " " * gap + ident)
+                rows.append("\n" * shift + ident + " " * gap + place(length))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.scan(docs).collect()}
+    for doc, text in enumerate(rows):
+        parts = [(m.start(), m.end(), k) for k, p in (("access", r"AKIA[A-Z0-9]{14,}"), ("key_id", r"\bAKIA[A-Za-z0-9_-]{4,}"), ("endpoint", r"http://z+")) for m in re.finditer(p, text)]
+        apart = lambda a, b: max(a[0], b[0]) - min(a[1], b[1])
+        linked = [p for p in parts if p[2] == "endpoint" and any(q[2] != "endpoint" and 0 <= apart(p, q) <= 300 for q in parts)]
+        linked += [p for p in parts if p[2] == "access"]
+        assert got[doc] == ",".join(f"{k}:{s}:{e}" for s, e, k in sorted(linked)), (doc, text.strip()[:10])
+
+
 def test_url_filter(spark):
     urls = [None, "no scheme", "http://A.Example.NET/en/x?q=1", "http://example.net/de/1", "http://net/", "http://net", "http://sub.example.com/de/5#x", "http://x.org/fr/2", "http://x.org?p=/fr/", "https://bad.host.io/spam/12", "https://bad.host.io/spam/13"]
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)] + [(100 + i, f"https://bad.host.io/spam/{i}", "") for i in range(40)] + [(200 + i, f"https://good.io/{i}", "") for i in range(40)], "page_id long, url string, host string")

@@ -60,18 +60,22 @@ def _linked(parts: DataFrame) -> DataFrame:
     """The weak parts with a part of another role within SCOPE characters in the same text; an endpoint counts only
     beside a secret or an identifier, and shows neither.
 
-    An interval join: texts are cut into bins of SCOPE characters, a part looks into its own and the two next to it, so
-    the pairs looked at are bounded by what a few hundred characters can hold.
+    A part beside a weak one ends at most SCOPE characters before it or starts at most so many after it, so only those
+    two points are looked up, whatever the lengths of both: points are put in bins of SCOPE characters, and a weak part
+    looks into the bin of its start and the one before, and into the bin of its end and the one after. The pairs looked
+    at are bounded by what a few hundred characters can hold.
     """
-    role = _kind_value(ROLE, F.col("kind"))
-    parts = parts.withColumn("role", role)
-    weak = parts.filter(F.col("kind").isin(*WEAK)).withColumn("bin", F.floor(F.col("start") / SCOPE))
-    far = F.sequence(F.floor(F.col("start") / SCOPE) - 1, F.floor((F.col("end") - 1) / SCOPE) + 1)
-    near = parts.filter("role <> 'place'").select(F.col("digest").alias("d"), F.col("role").alias("r"), F.col("start").alias("s"), F.col("end").alias("e"), F.explode(far).alias("b"))
+    parts = parts.withColumn("role", _kind_value(ROLE, F.col("kind")))
+    cell = lambda c: F.floor(F.col(c) / SCOPE)
+    key = lambda side, cell: F.struct(F.lit(side).alias("side"), cell.alias("bin"))
+    looks = F.array(key("before", cell("start") - 1), key("before", cell("start")), key("after", cell("end")), key("after", cell("end") + 1))
+    weak = parts.filter(F.col("kind").isin(*WEAK)).select("*", F.inline(looks))
+    points = F.array(key("before", cell("end")), key("after", cell("start")))
+    near = parts.filter("role <> 'place'").select(F.col("digest").alias("d"), F.col("role").alias("r"), F.col("start").alias("s"), F.col("end").alias("e"), F.inline(points).alias("at", "b"))
     w, n = weak.alias("w"), near.alias("n")
-    beside = (F.col("w.digest") == F.col("n.d")) & (F.col("w.bin") == F.col("n.b")) & (F.col("w.role") != F.col("n.r")) & (F.col("n.s") - F.col("w.end") <= SCOPE) & (F.col("w.start") - F.col("n.e") <= SCOPE)
-    apart = (F.col("n.e") <= F.col("w.start")) | (F.col("n.s") >= F.col("w.end"))
-    return w.join(n, beside & apart, "left_semi").select("digest", "kind", "start", "end")
+    gap = F.when(F.col("w.side") == "before", F.col("w.start") - F.col("n.e")).otherwise(F.col("n.s") - F.col("w.end"))
+    beside = (F.col("w.digest") == F.col("n.d")) & (F.col("w.side") == F.col("n.at")) & (F.col("w.bin") == F.col("n.b")) & (F.col("w.role") != F.col("n.r")) & gap.between(0, SCOPE)
+    return w.join(n, beside, "left_semi").select("digest", "kind", "start", "end").distinct()
 
 
 def secret_spans(documents: DataFrame) -> DataFrame:
