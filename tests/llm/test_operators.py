@@ -270,6 +270,29 @@ def test_best_cuts_is_least():
         assert cost <= plain
 
 
+def test_best_cuts_against_every_window():
+    rng = random.Random(3)
+    for widest in (1, 3, 12, 40, 700):
+        for total in (1, 2, 700, 1024, 1025, 2600, 4100):
+            places, at = [], 0
+            while at < total:
+                at += rng.randrange(1, widest + 1)
+                places.append((at, rng.choice([0, 1, 1, 1])))
+            penalty = np.full(total + 1, packing.ANYWHERE)
+            for p, extra in places:
+                if p < total:
+                    penalty[p] = extra
+            penalty[total] = 0
+            pads = np.array([packing.padding(n) for n in range(1024, 0, -1)])
+            least = np.zeros(total + 1, np.int64)
+            for j in range(1, total + 1):
+                n = min(j, 1024)
+                least[j] = penalty[j] + (least[j - n : j] + pads[1024 - n :]).min()
+            ends = packing.best_cuts(places, total)
+            assert ends[-1] == total and all(0 < b - a <= 1024 for a, b in zip([0, *ends], ends))
+            assert sum(packing.padding(b - a) + penalty[b] for a, b in zip([0, *ends], ends)) == least[total]
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     rows, labels = [], []

@@ -1,9 +1,8 @@
-"""Order-preserving packing of documents into sequences, by dynamic programming with monotone queues."""
+"""Order-preserving packing of documents into sequences, by dynamic programming over all places."""
 
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,11 +15,8 @@ from . import textvec as tv
 
 #: Tokens of a sequence at most; the id that ends a document.
 LENGTH, END = 1024, 0
-#: Penalties, in tokens of padding, of a cut after a sentence and of a cut elsewhere inside a document; how much more than
-#: the cheapest a place may cost from which a full window is tried.
-AT_SENTENCE, ANYWHERE, NEAR = 1, 6, 12
-#: Of the sentences that end within so many tokens only the last is a place to cut.
-CELL = 64
+#: Penalties, in tokens of padding, of a cut after a sentence and of a cut elsewhere inside a document.
+AT_SENTENCE, ANYWHERE = 1, 6
 #: Tokens that are laid out at a time; the last, unfinished sequence is carried into the next block.
 BLOCK = 1 << 17
 
@@ -36,63 +32,51 @@ def best_cuts(boundaries: list[tuple[int, int]], total: int) -> list[int]:
     """Ends of the windows that cut tokens 0..total into pieces of at most LENGTH at the least cost.
 
     boundaries: (position, penalty) of the places at which a document or sentence ends, in order. A window costs its
-    padding and the penalty of its end. Besides the boundaries, a window of full length may end anywhere, at
-    ANYWHERE, if it begins at a place that costs at most NEAR
-    more than the cheapest of the last LENGTH positions. With f(j) the least cost up to j, f(j) + j is the minimum of f(i) + i over the LENGTH
-    positions before j plus a constant; a queue of increasing f(i) + i keeps that minimum at its head.
+    padding and the penalty of its end; every other position is a place to cut too, at ANYWHERE. Of equal cuts the one
+    with the longest last windows is taken.
+
+    f(j), the least cost up to j, is the penalty of j plus the least of f(i) at a power of two before j, and of
+    f(i) + i over the LENGTH positions before j plus LENGTH - j. This is worked out for LENGTH positions at a time: what
+    comes from before them at once, by minima from the right, and what comes from among them again and again, by minima
+    from the left, until nothing changes, which takes one round for each window that ends among them.
     """
     if not total:
         return []
-    cost: dict[int, float] = {0: 0}
-    came: dict[int, int] = {}
-    queue: deque[tuple[int, float]] = deque([(0, 0)])
-    forced: deque[int] = deque([LENGTH])  # ends of full windows, in order
-    places = [b for b in boundaries if 0 < b[0] < total] + [(total, 0)]
-    half = LENGTH // 2
-
-    lows: deque[tuple[int, float]] = deque([(0, 0)])  # costs of the last LENGTH positions, increasing
-    last = 0
-    for position, penalty in places:
-        while True:
-            # full windows that end before the next boundary come first; without any, one is made to reach it
-            if not forced and last + LENGTH < position:
-                forced.append(last + LENGTH)
-            if forced and forced[0] <= position:
-                j = forced.popleft()
-                if j == position:
-                    continue
-                extra = ANYWHERE
-            else:
-                j, extra = position, penalty
-            while queue[0][0] < j - LENGTH:
-                queue.popleft()
-            origin, least = queue[0]
-            best = least + LENGTH - j
-            if (other := cost.get(j - LENGTH)) is not None and other < best:
-                best, origin = other, j - LENGTH
-            if (other := cost.get(j - half)) is not None and other < best:
-                best, origin = other, j - half
-            best += extra
-            cost[j], came[j], last = best, origin, j
-            key = best + j
-            while queue and queue[-1][1] >= key:
-                queue.pop()
-            queue.append((j, key))
-            while lows and lows[0][0] < j - LENGTH:
-                lows.popleft()
-            # a full window is tried from the cheapest places only
-            if not lows or best <= lows[0][1] + NEAR:
-                if j + LENGTH < total:
-                    forced.append(j + LENGTH)
-            while lows and lows[-1][1] >= best:
-                lows.pop()
-            lows.append((j, best))
-            if j == position:
+    never = 1 << 40
+    penalty = np.full(total + 1, ANYWHERE, np.int64)
+    if places := [b for b in boundaries if 0 < b[0] < total]:
+        at, extra = np.array(places, np.int64).T
+        penalty[at] = extra
+    penalty[total] = 0
+    cost = np.full(LENGTH + total + 1, never, np.int64)  # of position j at LENGTH + j
+    cost[LENGTH] = 0
+    steps = np.arange(LENGTH)
+    powers = [1 << k for k in range(LENGTH.bit_length())]
+    for low in range(1, total + 1, LENGTH):
+        size = min(LENGTH, total + 1 - low)
+        here, at = cost[LENGTH + low : LENGTH + low + size], steps[:size]
+        # distances count from low: of the positions before it -LENGTH..-1
+        before = cost[low : LENGTH + low]
+        outer = np.minimum.accumulate((before + steps)[::-1])[::-1][:size] - at
+        for p in powers:
+            n = min(p, size)
+            np.minimum(outer[:n], before[LENGTH - p : LENGTH - p + n], out=outer[:n])
+        outer += penalty[low : low + size]
+        here[:] = outer
+        while size > 1:
+            inner = np.minimum.accumulate(here[:-1] + at[:-1]) + (LENGTH - at[1:])
+            for p in powers:
+                if p < size:
+                    np.minimum(inner[p - 1 :], here[:-p], out=inner[p - 1 :])
+            inner += penalty[low + 1 : low + size]
+            if not (inner < here[1:]).any():
                 break
+            np.minimum(here[1:], inner, out=here[1:])
+    pads = np.array([padding(n) for n in range(LENGTH, 0, -1)])
     ends, j = [], total
     while j:
         ends.append(j)
-        j = came[j]
+        j += int(np.argmin(cost[j : LENGTH + j] + pads)) - LENGTH
     return ends[::-1]
 
 
@@ -117,8 +101,6 @@ class _Packer:
         boundaries, at = [], 0
         for _, _, ids, _ in self.pieces:
             inner = np.flatnonzero(self.stops[ids[:-1]]) + 1 + at
-            if len(inner) > 1:
-                inner = inner[np.append(inner[1:] // CELL != inner[:-1] // CELL, True)]
             boundaries += [(p, AT_SENTENCE) for p in inner.tolist()]
             at += len(ids)
             boundaries.append((at, 0 if ids[-1] == END else AT_SENTENCE))
@@ -178,7 +160,7 @@ def pack(documents: DataFrame, tokenizer: str) -> DataFrame:
 
     Documents keep the order in which the partitions hold them, and each partition packs its own, so nothing is
     shuffled; a task that runs again makes the same rows. Windows end at document or sentence ends, or elsewhere at a
-    penalty, as best_cuts() says. Padding: a sequence is filled to 1024 unless its length is a power of two.
+    penalty, as best_cuts() says, at the least cost of each BLOCK. Padding: a sequence is filled to 1024 unless its length is a power of two.
 
     Empty or null texts: the one id 0. Repeated rows are packed each; a null doc_id stays null. A very long text is
     cut into as many pieces as it needs. An empty table gives no rows. Further columns are ignored.
