@@ -213,6 +213,17 @@ def test_url_filter(spark):
     assert none.filter("verdict = 'block' and rule is null").count() == 0
 
 
+def test_url_filter_keeps_long_rules(spark):
+    """Five tokens that block only together: each four of them come with more good pages than bad ones."""
+    names = "abcde"
+    good = [f"https://h.io/{'/'.join(n for n in names if n != left)}" for left in names for _ in range(30)]
+    urls = ["https://h.io/a/b/c/d/e"] * 40 + good
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i >= 40), 0) for i in range(len(urls))], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: (r["verdict"], r["mined"]) for r in url_filter.filter_urls(pages, labels).collect()}
+    assert [got[i] for i in range(len(urls))] == [("block", "p:a&p:b&p:c&p:d&p:e")] * 40 + [("allow", None)] * len(good)
+
+
 def test_chat_round_trip(spark):
     said = "</s>[INST] ok [/INST]"
     rows = [(-1, 0, "user", said), (-1, 1, "assistant", said), (5, None, None, None), (5, 1, "assistant", "a\\0<|x|>\n</s>"), (5, 1, "assistant", "a\\0<|x|>\n</s>"), (5, 2, "user|>", "é"), (None, 0, "assistant", "z")]

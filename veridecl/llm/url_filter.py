@@ -8,12 +8,12 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialize
+
 #: The listed rules: verdict, and host and path together.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: A mined rule holds for at least this share of the labelled pages, and is right for at least this share of those it fits.
 SUPPORT, CONFIDENCE = 0.005, 0.6
-#: Tokens on the left side of a mined rule at most.
-LONGEST = 4
 BAD = "label:block"
 
 
@@ -54,7 +54,8 @@ def mine_rules(labelled: DataFrame) -> DataFrame:
     """Rules (rule, tokens, confidence, support) that block, mined from rows (tokens, bad).
 
     FP-growth finds the combinations of tokens that come with the label often enough. A rule is pruned if another,
-    whose tokens it holds all, is as confident. No labels, or no bad ones: no rules.
+    whose tokens it holds all, is as confident: level by level, each combination takes over the best confidence of those
+    that lack one of its tokens. No labels, or no bad ones: no rules.
     """
     spark = labelled.sparkSession
     empty = spark.createDataFrame([], "rule string, tokens array<string>, confidence double, support double")
@@ -62,16 +63,21 @@ def mine_rules(labelled: DataFrame) -> DataFrame:
     if bad.isEmpty():
         return empty
     items = labelled.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=SUPPORT, minConfidence=CONFIDENCE).fit(items)
-    rules = model.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & (F.size("antecedent") <= LONGEST))
-    rules = rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support").withColumn("rule", F.array_join("tokens", "&"))
-    # the proper subsets of a rule's few tokens, to look for a shorter rule as good
-    subsets = F.filter(
-        F.transform(F.sequence(F.lit(1), (F.pow(F.lit(2), F.size("tokens")) - 2).cast("int")), lambda m: F.array_join(F.filter("tokens", lambda x, i: F.getbit(m, i) == 1), "&")), lambda x: x != ""
-    )
-    shorter = rules.filter(F.size("tokens") > 1).select("rule", "confidence", F.explode(subsets).alias("sub"))
-    beaten = shorter.join(rules.select(F.col("rule").alias("sub"), F.col("confidence").alias("c")), "sub").filter("c >= confidence").select("rule").distinct()
-    return rules.join(beaten, "rule", "left_anti").select("rule", "tokens", "confidence", "support")
+    model = FPGrowth(itemsCol="items", minSupport=SUPPORT, minConfidence=0.0).fit(items)
+    # unsure combinations too: they pass on what their subsets reach
+    rules = model.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD))
+    rules = materialize(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "rules")
+    longest = rules.agg(F.max(F.size("tokens"))).first()[0] or 0
+    level = rules.filter(F.size("tokens") == 1).select("tokens", "confidence", F.lit(0.0).alias("shorter"))
+    levels = level
+    for size in range(2, longest + 1):
+        lacking = F.transform("tokens", lambda _, i: F.filter("tokens", lambda __, j: j != i))
+        subsets = rules.filter(F.size("tokens") == size).select(F.col("tokens").alias("whole"), F.col("confidence").alias("own"), F.explode(lacking).alias("tokens"))
+        best = F.max(F.greatest("confidence", "shorter")).alias("shorter")
+        level = materialize(subsets.join(level, "tokens").groupBy(F.col("whole").alias("tokens"), F.col("own").alias("confidence")).agg(best), "level")
+        levels = levels.unionByName(level)
+    kept = levels.filter((F.col("confidence") >= CONFIDENCE) & (F.col("shorter") < F.col("confidence"))).select("tokens")
+    return rules.join(kept, "tokens").select(F.array_join("tokens", "&").alias("rule"), "tokens", "confidence", "support")
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
