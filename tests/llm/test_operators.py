@@ -116,6 +116,18 @@ def test_substring_dedup(spark, docs):
     assert substring_dedup.repeat_report(docs.filter("doc_id < 0")).count() == 0
 
 
+def test_substring_dedup_removes_by_byte(spark):
+    """A document that stays as the first of its near copies still loses what an earlier document holds."""
+    rng = random.Random(8)
+    boiler, own = prose(rng, 80), prose(rng, 400)
+    rows = [(1, prose(rng, 60) + " " + boiler + " " + prose(rng, 60)), (2, own + " " + boiler + " " + prose(rng, 300))]
+    rows.append((3, rows[1][1] + " last"))
+    got = {r["doc_id"]: r for r in substring_dedup.repeat_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["n_removed_bytes"] == 0
+    assert len(boiler.encode()) * 3 // 10 < got[2]["n_removed_bytes"] <= len(boiler.encode())
+    assert got[3]["n_removed_bytes"] == got[3]["n_bytes"] > 0.99 * len(rows[2][1].encode())
+
+
 def test_decontaminate(spark, docs):
     texts = {r[0]: r[1] for r in corpus()}
     items = [(1, " ".join(texts[8].split(" ")[10:40])), (2, "two words"), (3, None), (4, "..."), (5, texts[40] or "x"), (5, texts[40] or "x"), (None, "one")]

@@ -107,7 +107,6 @@ def _merge(spans: list[dict]) -> list[dict]:
         if merged and s["start"] <= merged[-1]["end"]:
             last = merged[-1]
             last["end"] = max(last["end"], s["end"])
-            last["removed"] = last["removed"] and s["removed"]
         else:
             merged.append(dict(s))
     return merged
@@ -153,7 +152,8 @@ def repeat_report(documents: DataFrame) -> DataFrame:
     """One row for each document with something of repeated_passages(): doc_id, n_runs, n_bytes, n_removed_bytes,
     runs (start:end:cluster of the maximal runs, comma-joined), keepers (the distinct ids of the copies that stay).
 
-    A run is removed where all that covers it is removed.
+    A byte is removed where any of the spans that cover it is removed: another copy of that span stays, whatever else
+    of this document stays beside it.
     """
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +162,7 @@ def repeat_report(documents: DataFrame) -> DataFrame:
             for spans in batch.column("spans").to_pylist():
                 runs = _merge(spans)
                 length = lambda some: sum(r["end"] - r["start"] for r in some)
-                rows.append((len(runs), length(runs), length([r for r in runs if r["removed"]]), ",".join(f"{r['start']}:{r['end']}:{r['cluster']}" for r in runs), sorted({s["keeper"] for s in spans if s["keeper"] is not None})))
+                rows.append((len(runs), length(runs), length(_merge([s for s in spans if s["removed"]])), ",".join(f"{r['start']}:{r['end']}:{r['cluster']}" for r in runs), sorted({s["keeper"] for s in spans if s["keeper"] is not None})))
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, types))], names=["doc_id", "n_runs", "n_bytes", "n_removed_bytes", "runs", "keepers"])
 
