@@ -59,7 +59,7 @@ def pixel_metrics(images: DataFrame) -> DataFrame:
                 m = np.frombuffer(data, np.uint8).reshape(height, width, channels).astype(np.float64)
                 grey = m[:, :, 0] if channels == 1 else np.rint(0.114 * m[:, :, 0] + 0.587 * m[:, :, 1] + 0.299 * m[:, :, 2])
                 # the border is mirrored without repeating the edge
-                p = np.pad(grey, 1, mode="reflect") if min(height, width) > 1 else np.pad(grey, 1, mode="edge")
+                p = np.pad(grey, 1, mode="reflect")
                 laplacian = p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * grey
                 rows.append((origin, width, height, float(laplacian.var()), float((grey >= 240).mean()), float((grey <= 15).mean())))
             yield pd.DataFrame(rows, columns=["origin", "width", "height", "laplacian_variance", "bright_ratio", "dark_ratio"])

@@ -125,10 +125,11 @@ def i4_dedup_images(spark, sf):
 
 @query()
 def i5_pixel_metrics(spark, sf):
-    """Grey images of 16 by 16 made of the bytes of documents."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet").filter(F.octet_length("text") >= 256)
-    data = F.expr("substring(cast(text as binary), 1, 256)")
-    image = F.struct(F.col("doc_id").cast("string").alias("origin"), F.lit(16).alias("height"), F.lit(16).alias("width"), F.lit(1).alias("nChannels"), data.alias("data"))
+    """Grey images of 16 pixels a row made of all bytes of documents; zeros fill up the last row."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("data", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    height = F.greatest(F.lit(1), F.ceil(F.octet_length("data") / 16)).cast("int")
+    data = F.expr("rpad(data, cast(greatest(1, ceil(octet_length(data) / 16)) * 16 as int), X'00')")
+    image = F.struct(F.col("doc_id").cast("string").alias("origin"), height.alias("height"), F.lit(16).alias("width"), F.lit(1).alias("nChannels"), data.alias("data"))
     out = ins.pixel_metrics(docs.select(image.alias("image")))
     return out.select("origin", "width", "height", *[F.round(c, 6).alias(c) for c in ("laplacian_variance", "bright_ratio", "dark_ratio")])
 
