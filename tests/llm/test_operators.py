@@ -128,6 +128,18 @@ def test_substring_dedup_removes_by_byte(spark):
     assert got[3]["n_removed_bytes"] == got[3]["n_bytes"] > 0.99 * len(rows[2][1].encode())
 
 
+def test_substring_dedup_compares_each_paragraph_once(spark, monkeypatch):
+    rng = random.Random(9)
+    line = prose(rng, 40)
+    rows = [(i, prose(rng, 30) + "\n" + (line.replace(" ", "  ") if i % 2 else line)) for i in range(8)] + [(8, line + " last")]
+    docs, fed = spark.createDataFrame(rows, "doc_id long, text string"), []
+    alike = substring_dedup.near_duplicates
+    monkeypatch.setattr(substring_dedup, "near_duplicates", lambda texts, **options: fed.append(texts) or alike(texts, **options))
+    got = [r for r in substring_dedup.repeated_passages(docs).filter("kind = 'paragraph'").collect()]
+    assert sorted(r["doc_id"] for r in got) == list(range(9)) and {r["keeper"] for r in got} == {0}
+    assert fed[0].count() == fed[0].select("doc_id").distinct().count() == 10
+
+
 def test_decontaminate(spark, docs):
     texts = {r[0]: r[1] for r in corpus()}
     items = [(1, " ".join(texts[8].split(" ")[10:40])), (2, "two words"), (3, None), (4, "..."), (5, texts[40] or "x"), (5, texts[40] or "x"), (None, "one")]

@@ -136,7 +136,9 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
     shared = passages.groupBy("u1", "u2").agg(F.min(F.struct("doc_id", "t1", "t2", "start")).alias("k"), F.min(owner).alias("lo"), F.max(owner).alias("hi")).filter("lo <> hi")
     one = passages.join(shared.select("u1", "u2", "k"), ["u1", "u2"]).withColumn("cluster", F.col("u1"))
 
-    alike = near_duplicates(docs.select("text").mapInArrow(_paragraphs, "doc_id long, text string"), shingle=5, percent=80, scheme=PARAGRAPHS)
+    # one text of each paragraph: copies have one hash, and would meet each other in every join on it
+    texts = docs.select("text").mapInArrow(_paragraphs, "doc_id long, text string").groupBy("doc_id").agg(F.min("text").alias("text"))
+    alike = near_duplicates(materialize(texts, "paragraphs"), shingle=5, percent=80, scheme=PARAGRAPHS)
     cluster_of = materialize(alike.groupBy(F.col("doc_id").alias("u1")).agg(F.min("component_id").alias("cluster")), "clusters")
     paragraphs = units.filter("kind = 'paragraph'").join(cluster_of, "u1")
     clusters = paragraphs.groupBy("cluster").agg(F.min(F.struct("doc_id", "t1", "t2", "start")).alias("k"), F.min(owner).alias("lo"), F.max(owner).alias("hi")).filter("lo <> hi")
