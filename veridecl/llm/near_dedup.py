@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .components import connected_components
 from .shared import materialize
 
+TextsOf = Callable[[DataFrame], DataFrame]
+
 _U = np.uint64
 _seeds = tv.mix(np.arange(1, 2049, dtype=np.uint64))
 _MULTIPLY = (_seeds[::2] >> _U(32)).astype(np.uint32) | np.uint32(1)
@@ -69,28 +72,36 @@ def band_keys(minima: np.ndarray, scheme: Scheme) -> np.ndarray:
     return total.view(np.int64)
 
 
+#: What is known of a text: its key, set size, two fingerprints of its set, band keys and signature.
+PROFILE = "doc_id long, h long, n_shingles long, f1 long, f2 long, bands array<long>, signature binary"
+
+
+def profile_columns(sets: list[np.ndarray], scheme: Scheme) -> list[pa.Array]:
+    """The columns of PROFILE from n_shingles on."""
+    counts = np.array([len(s) for s in sets], np.int64)
+    full = np.flatnonzero(counts)
+    minima = signatures([sets[i] for i in full], scheme.bands * scheme.rows)
+    prints = np.zeros((2, len(sets)), np.uint64)
+    for i in full:
+        prints[0, i], prints[1, i] = tv.mix(sets[i]).sum(), tv.mix(sets[i] ^ _U(0xA5A5A5A5A5A5A5A5)).sum()
+    sizes = np.zeros(len(sets) + 1, np.int32)
+    sizes[full + 1] = scheme.bands
+    bands = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(band_keys(minima, scheme).reshape(-1)))
+    signs: list[bytes | None] = [None] * len(sets)
+    for i, row in zip(full, minima.astype(np.uint16)):
+        signs[i] = row.tobytes()
+    return [pa.array(counts), *(pa.array(p.view(np.int64)) for p in prints), bands, pa.array(signs, pa.binary())]
+
+
 def _profiles(size: int, scheme: Scheme):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64())), ("signature", pa.binary())])
+    names = [c.split()[0] for c in PROFILE.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tv.text_slices(batch, "text"):
                 sets = shingle_sets(*tv.utf8(part.column("text")), size)
-                counts = np.array([len(s) for s in sets], np.int64)
-                full = np.flatnonzero(counts)
-                minima = signatures([sets[i] for i in full], scheme.bands * scheme.rows)
-                prints = np.zeros((2, len(sets)), np.uint64)
-                for i in full:
-                    prints[0, i], prints[1, i] = tv.mix(sets[i]).sum(), tv.mix(sets[i] ^ _U(0xA5A5A5A5A5A5A5A5)).sum()
-                bands = band_keys(minima, scheme).reshape(-1)
-                sizes = np.zeros(len(sets) + 1, np.int32)
-                sizes[full + 1] = scheme.bands
-                signs: list[bytes | None] = [None] * len(sets)
-                for i, row in zip(full, minima.astype(np.uint16)):
-                    signs[i] = row.tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(counts), *(pa.array(p.view(np.int64)) for p in prints), pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(bands)), pa.array(signs, pa.binary())], schema=schema
-                )
+                columns = [part.column("doc_id"), part.column("h"), *profile_columns(sets, scheme)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
@@ -129,17 +140,19 @@ def _linked(size: int, percent: int):
     return run
 
 
-def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int, slack: float) -> DataFrame:
+def _with_texts(pairs: DataFrame, texts_of: TextsOf) -> DataFrame:
+    """Rows (a, b, ta, tb): pairs with both texts."""
+    texts = texts_of(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    side = lambda k: texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"t{k}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb")
+
+
+def _confirm(pairs: DataFrame, reps: DataFrame, texts_of: TextsOf, size: int, percent: int, slack: float) -> DataFrame:
     """Candidate pairs (a, b) of representatives: first by size and signature, then by their full sets."""
     side = lambda k: reps.select(F.col("rep").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("signature").alias(f"s{k}"))
     pairs = pairs.join(side("b"), "b").join(side("a"), "a").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     likely = materialize(pairs.select("a", "b", "sa", "sb").mapInArrow(_likely(percent / 100 - slack), "a long, b long"), "pairs")
-    need = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # the ids grow with the documents: no broadcast, whatever their number is here
-    texts = docs.join(need.hint("merge"), "doc_id", "left_semi")
-    rows = likely.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    rows = rows.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-    return rows.mapInArrow(_linked(size, percent), "a long, b long")
+    return _with_texts(likely, texts_of).mapInArrow(_linked(size, percent), "a long, b long")
 
 
 def _shingle_rows(size: int):
@@ -164,6 +177,141 @@ def _in_common(docs: DataFrame, size: int) -> DataFrame:
     return rows.join(shared, "shingle", "left_semi").groupBy("rep").agg(F.count("*").alias("common"))
 
 
+def _still_open(placed: DataFrame) -> DataFrame:
+    """The rows (bucket, rep, c ..) of the buckets that hold several components."""
+    spread = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    return placed.join(spread.filter("lo < hi").select("bucket"), "bucket", "left_semi")
+
+
+def _centres(left: DataFrame) -> DataFrame:
+    """Rows (z, rep, c, cz): each bucket's plainest member z, its component, and the bucket's other members.
+
+    The plainest member has the largest share of shingles in common with others: the fewest edits, where a group
+    stems from one text. So it is near to all that can be near to anything.
+    """
+    order = F.struct(F.col("common") / F.col("n_shingles"), -F.col("rep"))
+    centre = left.groupBy("bucket").agg(F.max_by(F.struct("rep", "c"), order).alias("z"))
+    rows = left.join(centre, "bucket").filter("rep <> z.rep")
+    return rows.select(F.col("z.rep").alias("z"), "rep", "c", F.col("z.c").alias("cz")).distinct()
+
+
+def _differences(size: int):
+    """Rows (z, rep, n, differs): how many shingles rep has, and which only one of z and rep has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tv.text_slices(batch, "tb"):
+                z = part.column("a").to_numpy()
+                fresh = np.flatnonzero(np.concatenate([[True], z[1:] != z[:-1]]))
+                left = shingle_sets(*tv.utf8(part.column("ta").take(pa.array(fresh))), size)
+                right = shingle_sets(*tv.utf8(part.column("tb")), size)
+                run_of = np.searchsorted(fresh, np.arange(len(z)), side="right") - 1
+                apart = [np.setxor1d(left[r], own, assume_unique=True).view(np.int64) for r, own in zip(run_of, right)]
+                counts = pa.array([len(own) for own in right], pa.int64())
+                lists = pa.array(apart, pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in "ab"), counts, lists], names=["z", "rep", "n", "differs"])
+
+    return run
+
+
+def _possible(left: DataFrame, texts_of: TextsOf, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one centre that can be linked: a prefix-filtered join of their differences from it.
+
+    Let d be the number of shingles that only one of a text of n shingles and the centre has. Two texts are linked if
+    their differences share o shingles with 2 * (100 + percent) * o >= g + g', g = (100 + percent) * d - (100 - percent) * n;
+    this is over 0 where one of the two is not linked with the centre. What stands in one difference only is left out, the
+    rest is ordered by rarity. Then two differences of m and m' shingles share one of the first m - o + 1 and m' - o + 1.
+    A group of texts that stem from one and are all a little too far from each other so makes few pairs, not all.
+    """
+    placed = _centres(left)
+    pairs = placed.select(F.col("z").alias("a"), F.col("rep").alias("b")).distinct()
+    apart = _with_texts(pairs, texts_of).mapInArrow(_differences(size), "z long, rep long, n long, differs array<long>")
+    apart = materialize(apart, "apart")
+    g = ((100 + percent) * F.size("differs") - (100 - percent) * F.col("n")).cast("long")
+    rows = apart.select("z", "rep", g.alias("g"), F.explode("differs").alias("e"))
+    rows = rows.withColumn("f", F.count("*").over(W.partitionBy("z", "e"))).filter("f > 1")
+    lists = rows.groupBy("z", "rep", "g").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("es"))
+    lists = materialize(lists.join(placed.select("rep", "c").distinct(), "rep"), "lists")
+    least = lists.groupBy("z").agg(F.min("g").alias("least"))
+    shared = lambda g: F.greatest(F.ceil(g / (2 * (100 + percent))), F.lit(1))
+    first = F.greatest(F.size("es") - shared(F.col("g") + F.col("least")) + 1, F.lit(0))
+    heads = lists.join(least, "z").withColumn("head", F.slice("es", F.lit(1), first.cast("int")))
+    heads = heads.select("z", "rep", "c", "g", F.size("es").alias("m"), F.posexplode("head").alias("at", "x"))
+    side = lambda k: heads.select("z", F.col("x.e").alias("e"), *(F.col(n).alias(n + k) for n in ("rep", "c", "g", "m", "at")))
+    o = shared(F.col("gx") + F.col("gy"))
+    near = (F.col("cx") < F.col("cy")) & (F.col("atx") <= F.col("mx") - o) & (F.col("aty") <= F.col("my") - o)
+    found = side("x").join(side("y"), ["z", "e"]).filter(near)
+    return found.select(F.least("repx", "repy").alias("a"), F.greatest("repx", "repy").alias("b")).distinct()
+
+
+def _joined(left: DataFrame, groups: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``left`` and ``groups`` (node, component) with the components that more links (a, b) make."""
+    if links.isEmpty():
+        return left, groups
+    ends = groups.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    ends = ends.unionByName(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    groups = materialize(connected_components(ends), "groups")
+    left = left.drop("c").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    return left.withColumn("c", F.coalesce("component", "rep")).drop("component"), groups
+
+
+def linked_groups(profile: DataFrame, texts_of: TextsOf, *, shingle: int, percent: int, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
+    """Classes (f1, f2, rep) of texts with equal sets, and components (node, component) of linked ones.
+
+    profile: a written table of PROFILE rows. texts_of: of rows (doc_id), those ids' texts as rows (doc_id, text).
+    """
+    usable = profile.filter("n_shingles > 0 and doc_id is not null")
+    classes = usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
+    reps = usable.join(classes.withColumnRenamed("rep", "doc_id"), ["f1", "f2", "doc_id"], "left_semi")
+    reps = reps.select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "signature").dropDuplicates(["rep", "bands"])
+    reps = materialize(reps, "reps")
+
+    members = reps.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
+    buckets = members.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z")
+    pairs = materialize(members.join(buckets, "bucket").filter("rep > a").select("a", F.col("rep").alias("b")).distinct(), "first")
+    links = materialize(_confirm(pairs, reps, texts_of, shingle, percent, scheme.slack), "links")
+    groups = materialize(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "groups")
+
+    # what the first round leaves open: buckets that still hold several components
+    placed = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    placed = placed.select("bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("c"))
+    left = materialize(_still_open(placed), "open")
+    if left.isEmpty():
+        return classes, groups
+    common = _in_common(texts_of(left.select(F.col("rep").alias("doc_id")).distinct()), shingle)
+    left = left.join(common, "rep").filter(f"100 * common >= {percent} * n_shingles")
+    left = materialize(_still_open(left), "common")
+    if left.isEmpty():
+        return classes, groups
+    plain = _centres(left).filter("c <> cz").select(F.least("rep", "z").alias("a"), F.greatest("rep", "z").alias("b")).distinct()
+    more = plain.join(pairs, ["a", "b"], "left_anti")
+    second = materialize(_confirm(more, reps, texts_of, shingle, percent, scheme.slack), "second")
+    left, groups = _joined(left, groups, second)
+    late = _possible(_still_open(left), texts_of, shingle, percent)
+    late = materialize(_confirm(late, reps, texts_of, shingle, percent, scheme.slack), "late")
+    _, groups = _joined(left, groups, late)
+    return classes, groups
+
+
+def _texts_of(docs: DataFrame) -> TextsOf:
+    # the ids grow with the documents: no broadcast, whatever their number is here
+    return lambda ids: docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi")
+
+
+def _judged(documents: DataFrame, shingle: int, percent: int, scheme: Scheme) -> DataFrame:
+    """near_duplicates() with h, a hash of each row's text."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    hashed = docs.withColumn("h", F.xxhash64("text"))
+    profile = materialize(hashed.mapInArrow(_profiles(shingle, scheme), PROFILE), "profile")
+    classes, groups = linked_groups(profile, _texts_of(docs), shingle=shingle, percent=percent, scheme=scheme)
+    rows = profile.select("doc_id", "h", "n_shingles", "f1", "f2").join(classes, ["f1", "f2"], "left")
+    rows = rows.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce(component, "doc_id"))
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
+    return rows.select("doc_id", "h", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+
+
 def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 80, scheme: Scheme = DOCUMENTS) -> DataFrame:
     """Components of documents that near-duplicate links join.
 
@@ -175,50 +323,29 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 80
     How: a scan gives each document the size, fingerprint and minima of its set (``scheme``). Documents of one fingerprint
     are one class, of which only the smallest doc_id goes on, so exact copies never meet in a bucket. In each
     band bucket members are paired with the smallest member only; pairs are confirmed on full sets and
-    components formed. Buckets whose members then lie in several components are taken up again: members of
-    different components whose sizes and numbers of common shingles allow a link are paired, so that no link is lost
-    that could join components.
+    components formed. In buckets whose members then lie in several components, these are paired with the plainest
+    member, and what is still apart goes through a prefix-filtered join of the differences from that member, so that
+    no link is lost that could join components.
 
     Empty or null texts, and texts without words: n_shingles 0, alone, kept. A null doc_id: alone, with a null
     component, kept. Repeated rows get equal results. Rows of one doc_id with different texts are judged each by
     itself. Further columns are ignored.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = materialize(docs.mapInArrow(_profiles(shingle, scheme), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, signature binary"), "profile")
-    usable = profile.filter("n_shingles > 0 and doc_id is not null")
-    classes = usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
-    reps = materialize(usable.join(classes.withColumnRenamed("rep", "doc_id"), ["f1", "f2", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "signature").dropDuplicates(["rep", "bands"]), "reps")
-
-    members = reps.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z")
-    pairs = members.join(buckets, "bucket").filter("rep > a").select("a", F.col("rep").alias("b")).distinct()
-    links = materialize(_confirm(pairs, reps, docs, shingle, percent, scheme.slack), "links")
-    groups = materialize(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "groups")
+    return _judged(documents, shingle, percent, scheme).drop("h")
 
-    # what the first round leaves open: buckets that still hold several components
-    bins = F.floor(F.log("n_shingles") / F.log(F.lit(100 / percent)))
-    placed = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("c"), bins.alias("bin"))
-    open_ = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("bucket")
-    left = materialize(placed.join(open_, "bucket", "left_semi"), "open")
-    common = _in_common(docs.join(left.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), shingle)
-    left = materialize(left.join(common, "rep").filter(f"100 * common >= {percent} * n_shingles"), "open")
-    x = left.select("bucket", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("n_shingles").alias("na"), F.col("common").alias("sa"), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
-    y = left.select("bucket", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("n_shingles").alias("nb"), F.col("common").alias("sb"), "bin")
-    fit = F.expr(f"ca < cb and 100 * least(sa, sb) >= {percent} * (na + nb - least(sa, sb))")
-    more = x.join(y, ["bucket", "bin"]).filter(fit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    late = materialize(_confirm(more.join(pairs, ["a", "b"], "left_anti"), reps, docs, shingle, percent, scheme.slack), "late")
-    if not late.isEmpty():
-        ends = groups.select(F.col("node").alias("u"), F.col("component").alias("v"))
-        groups = connected_components(ends.unionByName(late.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-
-    rows = profile.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["f1", "f2"], "left")
-    rows = rows.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep"))
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce(component, "doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
+def keep_one_each(documents: DataFrame, *, shingle: int = 5, percent: int = 80, scheme: Scheme = DOCUMENTS) -> DataFrame:
+    """The rows of ``documents`` that near_duplicates() keeps: one doc_id of each group, and one of several rows with
+    that doc_id and equal texts.
 
-def keep_one_each(documents: DataFrame, **options) -> DataFrame:
-    """The rows of ``documents`` that near_duplicates() keeps: one doc_id of each group; rows without a doc_id stay."""
-    dropped = near_duplicates(documents, **options).filter("not kept").select("doc_id")
-    return documents.join(dropped, "doc_id", "left_anti").select(*documents.columns)
+    Rows without a doc_id, and those without words, stay all. Rows of one doc_id with different texts are judged each
+    by itself. All columns come back as they are, whatever their names; an empty table gives no rows.
+    """
+    judged = materialize(_judged(documents, shingle, percent, scheme), "judged")
+    same = (F.col("d.doc_id") == F.col("j.doc_id")) & F.xxhash64("d.text").eqNullSafe(F.col("j.h"))
+    kept = documents.alias("d").join(judged.filter("not kept").alias("j"), same, "left_anti")
+    again = judged.filter("kept and doc_id is not null and n_shingles > 0").groupBy("doc_id", "h").count().filter("count > 1")
+    if again.isEmpty():
+        return kept
+    once = kept.alias("d").join(again.alias("j"), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.alias("d").join(again.alias("j"), same, "left_anti").unionByName(once)
