@@ -133,14 +133,14 @@ def test_substring_dedup_compares_each_paragraph_once(spark, monkeypatch):
     line = prose(rng, 40)
     rows = [(i, prose(rng, 30) + "\n" + (line.replace(" ", "  ") if i % 2 else line)) for i in range(8)] + [(8, line + " last")]
     docs, fed = spark.createDataFrame(rows, "doc_id long, text string"), []
-    alike = substring_dedup.near_duplicates
-    monkeypatch.setattr(substring_dedup, "near_duplicates", lambda texts, **options: fed.append(texts) or alike(texts, **options))
+    groups = substring_dedup.linked_groups
+    monkeypatch.setattr(substring_dedup, "linked_groups", lambda profile, texts_of, **options: fed.append(texts_of(profile.select("doc_id").distinct())) or groups(profile, texts_of, **options))
     got = [r for r in substring_dedup.repeated_passages(docs).filter("kind = 'paragraph'").collect()]
     assert sorted(r["doc_id"] for r in got) == list(range(9)) and {r["keeper"] for r in got} == {0}
     assert fed[0].count() == fed[0].select("doc_id").distinct().count() == 10
 
 
-def test_decontaminate(spark, docs):
+def test_decontaminate(spark, docs, monkeypatch):
     texts = {r[0]: r[1] for r in corpus()}
     items = [(1, " ".join(texts[8].split(" ")[10:40])), (2, "two words"), (3, None), (4, "..."), (5, texts[40] or "x"), (5, texts[40] or "x"), (None, "one")]
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
@@ -160,11 +160,9 @@ def test_decontaminate(spark, docs):
                     found |= {str(x) for x in ids if x is not None}
         want[i] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    keep = decontaminate.CHUNK_BYTES
-    for size in (keep, 50):
-        decontaminate.CHUNK_BYTES = size
+    for bits in (decontaminate.FILTER_BITS, 3):  # a filter that passes nearly all changes nothing
+        monkeypatch.setattr(decontaminate, "FILTER_BITS", bits)
         got = {r["doc_id"]: tuple(r)[1:] for r in decontaminate.contamination(docs, bench).collect()}
-        decontaminate.CHUNK_BYTES = keep
         assert got == want
     assert decontaminate.drop_contaminated(docs, bench).columns == docs.columns
 

@@ -24,7 +24,8 @@ _ADD = (_seeds[1::2] >> _U(32)).astype(np.uint32)
 
 
 class Scheme(NamedTuple):
-    """Bands, minima of each, and how far below the similarity the share of equal minima of a pair may lie."""
+    """Bands, minima of each, and how far below the similarity the share of equal minima of a pair may lie (from 1 on,
+    minima are not compared, and signatures may be null)."""
 
     bands: int
     rows: int
@@ -140,19 +141,20 @@ def _linked(size: int, percent: int):
     return run
 
 
-def _with_texts(pairs: DataFrame, texts_of: TextsOf) -> DataFrame:
-    """Rows (a, b, ta, tb): pairs with both texts."""
-    texts = texts_of(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    side = lambda k: texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"t{k}"))
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows (a, b, ta, tb): pairs with both texts, which both grow with the documents: no broadcast."""
+    side = lambda k: texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"t{k}")).hint("merge")
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb")
 
 
-def _confirm(pairs: DataFrame, reps: DataFrame, texts_of: TextsOf, size: int, percent: int, slack: float) -> DataFrame:
+def _confirm(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int, percent: int, slack: float) -> DataFrame:
     """Candidate pairs (a, b) of representatives: first by size and signature, then by their full sets."""
     side = lambda k: reps.select(F.col("rep").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("signature").alias(f"s{k}"))
     pairs = pairs.join(side("b"), "b").join(side("a"), "a").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    likely = materialize(pairs.select("a", "b", "sa", "sb").mapInArrow(_likely(percent / 100 - slack), "a long, b long"), "pairs")
-    return _with_texts(likely, texts_of).mapInArrow(_linked(size, percent), "a long, b long")
+    if slack < 1:
+        pairs = pairs.select("a", "b", "sa", "sb").mapInArrow(_likely(percent / 100 - slack), "a long, b long")
+    likely = materialize(pairs.select("a", "b"), "pairs")
+    return _with_texts(likely, texts).mapInArrow(_linked(size, percent), "a long, b long")
 
 
 def _shingle_rows(size: int):
@@ -214,7 +216,7 @@ def _differences(size: int):
     return run
 
 
-def _possible(left: DataFrame, texts_of: TextsOf, size: int, percent: int) -> DataFrame:
+def _possible(left: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) of members of one centre that can be linked: a prefix-filtered join of their differences from it.
 
     Let d be the number of shingles that only one of a text of n shingles and the centre has. Two texts are linked if
@@ -225,7 +227,7 @@ def _possible(left: DataFrame, texts_of: TextsOf, size: int, percent: int) -> Da
     """
     placed = _centres(left)
     pairs = placed.select(F.col("z").alias("a"), F.col("rep").alias("b")).distinct()
-    apart = _with_texts(pairs, texts_of).mapInArrow(_differences(size), "z long, rep long, n long, differs array<long>")
+    apart = _with_texts(pairs, texts).mapInArrow(_differences(size), "z long, rep long, n long, differs array<long>")
     apart = materialize(apart, "apart")
     g = ((100 + percent) * F.size("differs") - (100 - percent) * F.col("n")).cast("long")
     rows = apart.select("z", "rep", g.alias("g"), F.explode("differs").alias("e"))
@@ -269,7 +271,10 @@ def linked_groups(profile: DataFrame, texts_of: TextsOf, *, shingle: int, percen
     members = reps.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z")
     pairs = materialize(members.join(buckets, "bucket").filter("rep > a").select("a", F.col("rep").alias("b")).distinct(), "first")
-    links = materialize(_confirm(pairs, reps, texts_of, shingle, percent, scheme.slack), "links")
+    # all that is compared from here on stands in one of these pairs
+    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    texts = materialize(texts_of(ends), "texts")
+    links = materialize(_confirm(pairs, reps, texts, shingle, percent, scheme.slack), "links")
     groups = materialize(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "groups")
 
     # what the first round leaves open: buckets that still hold several components
@@ -278,17 +283,17 @@ def linked_groups(profile: DataFrame, texts_of: TextsOf, *, shingle: int, percen
     left = materialize(_still_open(placed), "open")
     if left.isEmpty():
         return classes, groups
-    common = _in_common(texts_of(left.select(F.col("rep").alias("doc_id")).distinct()), shingle)
+    common = _in_common(texts.join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle)
     left = left.join(common, "rep").filter(f"100 * common >= {percent} * n_shingles")
     left = materialize(_still_open(left), "common")
     if left.isEmpty():
         return classes, groups
     plain = _centres(left).filter("c <> cz").select(F.least("rep", "z").alias("a"), F.greatest("rep", "z").alias("b")).distinct()
     more = plain.join(pairs, ["a", "b"], "left_anti")
-    second = materialize(_confirm(more, reps, texts_of, shingle, percent, scheme.slack), "second")
+    second = materialize(_confirm(more, reps, texts, shingle, percent, scheme.slack), "second")
     left, groups = _joined(left, groups, second)
-    late = _possible(_still_open(left), texts_of, shingle, percent)
-    late = materialize(_confirm(late, reps, texts_of, shingle, percent, scheme.slack), "late")
+    late = _possible(_still_open(left), texts, shingle, percent)
+    late = materialize(_confirm(late, reps, texts, shingle, percent, scheme.slack), "late")
     _, groups = _joined(left, groups, late)
     return classes, groups
 
