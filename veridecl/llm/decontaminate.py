@@ -2,203 +2,161 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .shared import materialize
 
 #: Words of a window, and of the shingles that windows are sets of.
 WINDOW, SHINGLE = 13, 5
-#: Items are taken in chunks of at most so many bytes of text; an index is made, sent to the executors and dropped
-#: for each chunk, so that what is broadcast never grows with the benchmark. A longer item is a chunk of its own.
-CHUNK_BYTES = 16 << 20
-
-SPANS = "array<struct<start:long,length:long,item:string>>"
-_FILTER_BITS = 22
-
-
-def _word_lists(texts: list[str | None]) -> tuple[list[list[bytes]], list[np.ndarray]]:
-    data, offsets = tv.utf8(pa.array(texts, pa.string()))
-    lower = tv.LOWER[data]
-    starts, ends, first = tv.word_spans(lower, offsets, tv.ALNUM)
-    hashes, raw = tv.word_hashes(lower, starts, ends), lower.tobytes()
-    words = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
-    bounds = list(zip(first[:-1].tolist(), first[1:].tolist()))
-    return [words[a:b] for a, b in bounds], [hashes[a:b] for a, b in bounds]
-
-
-class Windows:
-    """The distinct windows of some items, and their shingles by size."""
-
-    def __init__(self, items: list[tuple[str | None, str | None]]) -> None:
-        words, hashes = _word_lists([text for _, text in items])
-        self.words: list[bytes] = []
-        self.items: list[list[str]] = []
-        self.shingles: list[tuple[int, np.ndarray]] = []  # size, hash of the shingle at each offset
-        seen: dict[bytes, int] = {}
-        for (item, _), ws, hs in zip(items, words, hashes):
-            size = min(WINDOW, len(ws))
-            for k in range(len(ws) - size + 1 if ws else 0):
-                key = b" ".join(ws[k : k + size])
-                n = seen.setdefault(key, len(self.words))
-                if n == len(self.words):
-                    short = min(SHINGLE, size)
-                    self.words.append(key)
-                    self.items.append([])
-                    self.shingles.append((short, tv.combine(hs[k : k + size], short)))
-                if item is not None and item not in self.items[n]:
-                    self.items[n].append(item)
-
-    def vocabulary(self) -> dict[int, np.ndarray]:
-        """Sorted distinct shingle hashes by shingle size."""
-        by_size = defaultdict(list)
-        for size, hashes in self.shingles:
-            by_size[size].append(hashes)
-        return {size: np.unique(np.concatenate(parts)) for size, parts in by_size.items()}
-
-
-def _lookup(sorted_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes, and a table by their low bits that passes all of them and few others."""
-    table = np.zeros(1 << _FILTER_BITS, bool)
-    table[(sorted_hashes & np.uint64(len(table) - 1)).astype(np.int64)] = True
-    return sorted_hashes, table
-
-
-def _find(known: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in ``hashes`` of those that are known, and their index among the known."""
-    sorted_hashes, table = known
-    at = np.flatnonzero(table[(hashes & np.uint64(len(table) - 1)).astype(np.int64)])
-    index = np.minimum(np.searchsorted(sorted_hashes, hashes[at]), len(sorted_hashes) - 1)
-    same = sorted_hashes[index] == hashes[at]
-    return at[same], index[same]
-
-
-def _shingle_counts(vocabulary: dict[int, np.ndarray]):
-    """How often each shingle of the benchmark stands in the documents of a partition."""
+#: Bits of the table that tells which shingles the benchmark may hold. Its 2**FILTER_BITS bits go to the executors,
+#: whatever the size of the benchmark; a large benchmark only lets more shingles pass on to the join.
+FILTER_BITS = 25
+#: Windows of a batch of rows at most.
+BATCH = 1 << 14
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {size: _lookup(v) for size, v in vocabulary.items()}
-        counts = {size: np.zeros(len(v), np.int64) for size, v in vocabulary.items()}
-        for batch in batches:
-            for part in tv.text_slices(batch, "text"):
-                data, offsets = tv.utf8(part.column("text"))
-                lower = tv.LOWER[data]
-                starts, ends, first = tv.word_spans(lower, offsets, tv.ALNUM)
-                hashes = tv.word_hashes(lower, starts, ends)
-                for size in known:
-                    _, index = _find(known[size], tv.combine(hashes, size))
-                    counts[size] += np.bincount(index, minlength=len(counts[size]))
-        for size, found in counts.items():
-            at = np.flatnonzero(found)
-            yield pa.RecordBatch.from_pydict({"size": pa.array(np.full(len(at), size), pa.int32()), "shingle": pa.array(at, pa.int64()), "n": pa.array(found[at])})
+_WINDOWS = "size int, words string, shingles array<long>"
+_TYPES = {"size": pa.int32(), "words": pa.string(), "shingles": pa.list_(pa.int64())}
 
-    return run
 
+def _shingle_size(size: int) -> int:
+    return min(SHINGLE, size)
 
-def _spans(windows: Windows, counts: dict[int, np.ndarray], vocabulary: dict[int, np.ndarray]):
-    """Appends to ``spans`` of each row the occurrences of the windows.
 
-    A window is contained whole, so its prefix in the order of rarity is one shingle: the rarest. Where that stands
-    in a document, position and length tell where the window would lie, and its words are compared.
-    """
-    by_size: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-    for n, (size, hashes) in enumerate(windows.shingles):
-        index = np.searchsorted(vocabulary[size], hashes)
-        offset = int(np.lexsort((hashes, counts[size][index]))[0])
-        by_size[size][int(hashes[offset])].append((n, offset))
-    prefixes = {size: dict(found) for size, found in by_size.items()}
-    lengths = [key.count(b" ") + 1 for key in windows.words]
+def _cut(hashes: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, list[pa.Array]]]:
+    """The windows of ``size`` words that begin at the words ``at``, a batch at a time: their places and _WINDOWS columns."""
+    runs = tv.combine(hashes, _shingle_size(size)).view(np.int64)
+    many = size - _shingle_size(size) + 1
+    for begin in range(0, len(at), BATCH):
+        some = at[begin : begin + BATCH]
+        words = [b" ".join([raw[a:b] for a, b in zip(starts[w : w + size].tolist(), ends[w : w + size].tolist())]).decode() for w in some.tolist()]
+        shingles = pa.ListArray.from_arrays(pa.array(np.arange(0, many * len(some) + 1, many, dtype=np.int32)), pa.array(runs[some[:, None] + np.arange(many)].reshape(-1)))
+        yield some, [pa.array(np.full(len(some), size, np.int32)), pa.array(words, pa.string()), shingles]
+
+
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (item, _WINDOWS) of benchmark rows (item, text)."""
+    for batch in batches:
+        for part in tv.text_slices(batch, "text"):
+            data, offsets = tv.utf8(part.column("text"))
+            lower = tv.LOWER[data]
+            starts, ends, first = tv.word_spans(lower, offsets, tv.ALNUM)
+            hashes, raw, counts = tv.word_hashes(lower, starts, ends), lower.tobytes(), np.diff(first)
+            for size in np.unique(np.minimum(counts, WINDOW)).tolist():
+                at = tv.within(first, size) if size else np.zeros(0, np.int64)
+                row = np.searchsorted(first, at, side="right") - 1
+                own = counts[row] >= WINDOW if size == WINDOW else counts[row] == size
+                at, row = at[own], row[own]
+                done = 0
+                for some, columns in _cut(hashes, raw, starts, ends, at, size):
+                    items = part.column("item").take(pa.array(row[done : done + len(some)]))
+                    done += len(some)
+                    yield pa.RecordBatch.from_arrays([items, *columns], names=["item", *_TYPES])
+
+
+def _document_windows(table, filter_bits: int, sizes: list[int]):
+    """Rows (doc_id, t1, t2, n_words, start, _WINDOWS) of documents (doc_id, t1, t2, text): one for the document, whose
+    start is null, and one for each window whose shingles may all be the benchmark's."""
+    names = ["doc_id", "t1", "t2", "n_words", "start", *_TYPES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = {size: np.sort(np.array(list(found), np.uint64)) for size, found in prefixes.items()}
-        known = {size: _lookup(v) for size, v in keys.items()}
+        bits = table.value
+        mask = np.uint64((1 << filter_bits) - 1)
         for batch in batches:
             for part in tv.text_slices(batch, "text"):
                 data, offsets = tv.utf8(part.column("text"))
                 lower = tv.LOWER[data]
                 starts, ends, first = tv.word_spans(lower, offsets, tv.ALNUM)
-                hashes, raw = tv.word_hashes(lower, starts, ends), lower.tobytes()
-                found: dict[int, list[dict]] = defaultdict(list)
-                for size, (sorted_keys, _) in known.items():
-                    at, index = _find(known[size], tv.combine(hashes, size))
-                    docs = np.searchsorted(first, at, side="right") - 1
-                    for p, key, d in zip(at.tolist(), sorted_keys[index].tolist(), docs.tolist()):
-                        for n, offset in prefixes[size][key]:
-                            a = p - offset
-                            if a < first[d] or a + lengths[n] > first[d + 1]:
-                                continue
-                            if b" ".join([raw[starts[w] : ends[w]] for w in range(a, a + lengths[n])]) == windows.words[n]:
-                                found[d] += [{"start": a - int(first[d]), "length": lengths[n], "item": x} for x in windows.items[n] or [None]]
-                spans = part.column("spans").to_pylist()
-                for d, more in found.items():
-                    spans[d] = (spans[d] or []) + more
-                field = part.schema.get_field_index("spans")
-                columns = list(part.columns)
-                columns[field] = pa.array(spans, part.schema.field(field).type)
-                yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
+                hashes, raw, counts = tv.word_hashes(lower, starts, ends), lower.tobytes(), np.diff(first)
+                n = part.num_rows
+                empty = [pa.nulls(n, t) for t in (pa.int64(), *_TYPES.values())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("t1"), part.column("t2"), pa.array(counts), *empty], names=names)
+                for size in sizes:
+                    at = (tv.combine(hashes, _shingle_size(size)) & mask).astype(np.int64)
+                    fails = np.zeros(len(at) + 1, np.int64)
+                    np.cumsum((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1) == 0, out=fails[1:])
+                    many = size - _shingle_size(size) + 1
+                    whole = np.flatnonzero(fails[many:] == fails[: len(fails) - many]) if len(at) >= many else at[:0]
+                    row = np.searchsorted(first, whole, side="right") - 1
+                    keep = whole + size <= first[row + 1]
+                    whole, row, done = whole[keep], row[keep], 0
+                    for some, columns in _cut(hashes, raw, starts, ends, whole, size):
+                        own = row[done : done + len(some)]
+                        done += len(some)
+                        keys = [part.column(k).take(pa.array(own)) for k in ("t1", "t2")]
+                        places = [pa.array(counts[own]), pa.array(some - first[own])]
+                        yield pa.RecordBatch.from_arrays([pa.nulls(len(some), part.schema.field("doc_id").type), *keys, *places, *columns], names=names)
 
     return run
 
 
-def _chunks(benchmark: DataFrame) -> Iterator[list[tuple[str | None, str | None]]]:
-    """Items (id as text, text) in chunks of a bounded size; the driver holds one chunk at a time."""
-    chunk, size = [], 0
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
-    for row in rows.toLocalIterator():
-        length = len((row.text or "").encode())
-        if chunk and size + length > CHUNK_BYTES:
-            yield chunk
-            chunk, size = [], 0
-        chunk.append((row.item, row.text))
-        size += length
-    if chunk:
-        yield chunk
+def _filter_table(windows: DataFrame) -> np.ndarray:
+    """Of the windows' shingles a bitmap by their low bits: at most 2**FILTER_BITS bits come to the driver."""
+    bit = F.pmod("shingle", F.lit(1 << FILTER_BITS)) + 1
+    parts = windows.select(F.explode("shingles").alias("shingle")).select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
+    table = np.zeros(max(1 << FILTER_BITS >> 3, 4096), np.uint8)
+    for row in parts.collect():
+        begin = (row["bucket"] - 1) * 4096
+        table[begin : begin + 4096] = np.frombuffer(row["map"], np.uint8)
+    return table
+
 
+def _key(words: Column) -> list[Column]:
+    return [F.xxhash64(words).alias("w1"), F.xxhash64(F.lit(1), words).alias("w2")]
 
-def with_spans(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``doc_id``, ``text`` and ``spans``: the occurrences of benchmark windows as (start word, length in words, item).
 
-    The documents are read twice for each chunk of the benchmark: once to count its shingles, which orders them by
-    rarity, and once to match. Neither pass shuffles documents.
+def _rarest(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rows (w1, w2, size, words, shingle, offset): of each window its rarest shingle, the prefix of its set.
+
+    A window is contained whole or not at all, so a prefix of one shingle is enough, and its place in the window must
+    be the same. Windows with a shingle that no document has are left out.
     """
-    docs = documents.select("doc_id", F.col("text").cast("string").alias("text"))
-    out = docs.withColumn("spans", F.array().cast(SPANS))
-    for chunk in _chunks(benchmark):
-        windows = Windows(chunk)
-        vocabulary = windows.vocabulary()
-        if not vocabulary:
-            continue
-        counts = {size: np.zeros(len(v), np.int64) for size, v in vocabulary.items()}
-        seen = docs.select("text").mapInArrow(_shingle_counts(vocabulary), "size int, shingle long, n long").groupBy("size", "shingle").agg(F.sum("n").alias("n"))
-        for row in seen.collect():  # at most one row for each shingle of the chunk
-            counts[row["size"]][row["shingle"]] = row["n"]
-        out = out.mapInArrow(_spans(windows, counts, vocabulary), out.schema)
-    return out
-
-
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in tv.text_slices(batch, "text"):
-            data, offsets = tv.utf8(part.column("text"))
-            _, _, first = tv.word_spans(tv.LOWER[data], offsets, tv.ALNUM)
-            rows = {k: [] for k in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")}
-            for spans, n in zip(part.column("spans").to_pylist(), np.diff(first).tolist()):
-                hit, reached = 0, 0
-                for a, b in sorted({(s["start"], s["start"] + s["length"]) for s in spans or ()}):
-                    hit += max(0, b - max(a, reached))
-                    reached = max(reached, b)
-                items = sorted({s["item"] for s in spans or () if s["item"] is not None})
-                for k, v in zip(rows, (n, hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), hit > 0 and 20 * hit >= n)):
-                    rows[k].append(v)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), *(pa.array(rows[k], pa.int64()) for k in ("n_words", "n_hit", "n_items")), pa.array(rows["items_sha256"], pa.string()), pa.array(rows["contaminated"], pa.bool_())], names=["doc_id", *rows]
-            )
+    each = windows.select("w1", "w2", "size", F.posexplode("shingles").alias("offset", "shingle")).join(counts, "shingle", "left")
+    best = each.groupBy("w1", "w2").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "offset")).alias("x"))
+    best = best.filter("x.n > 0").select("w1", "w2", "x.shingle", "x.offset")
+    return windows.select("w1", "w2", "size", "words").join(best, ["w1", "w2"])
+
+
+def _text_keys(documents: DataFrame) -> DataFrame:
+    docs = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return docs.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
+
+
+def occurrences(documents: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Where windows of the benchmark stand in documents, as three tables.
+
+    Rows (doc_id, t1, t2, n_words) for each document, t1 and t2 being hashes of its text; (t1, t2, start, size, w1, w2)
+    for each occurrence, by text, start and size in words, w1 and w2 being hashes of the window; (w1, w2, item).
+
+    Documents are scanned once, and of them only windows whose shingles may all be the benchmark's go on. Equal windows
+    are one row on both sides, however many documents or items hold them. The shingles, ordered by how often they
+    stand in documents, give each window its rarest one; windows of both sides are joined on that shingle, its place
+    and the length, and their words are compared.
+    """
+    spark = documents.sparkSession
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+    known = materialize(items.mapInArrow(_item_windows, f"item string, {_WINDOWS}").select("item", "size", "words", "shingles", *_key(F.col("words"))), "windows")
+    sizes = [row["size"] for row in known.select("size").distinct().collect()]  # WINDOW at most
+    table = spark.sparkContext.broadcast(_filter_table(known))
+    id_type = documents.schema["doc_id"].dataType.simpleString()
+    found = _text_keys(documents).mapInArrow(_document_windows(table, FILTER_BITS, sorted(sizes)), f"doc_id {id_type}, t1 long, t2 long, n_words long, start long, {_WINDOWS}")
+    found = materialize(found.select("*", *_key(F.col("words"))), "found")
+
+    there = found.filter("start is not null")
+    counts = there.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"))
+    counts = materialize(counts, "counts")
+    one = lambda windows: _rarest(windows.select("w1", "w2", "size", "words", "shingles").dropDuplicates(["w1", "w2"]), counts)
+    ours, theirs = one(there), one(known).select("size", "shingle", "offset", F.col("words").alias("same"))
+    matched = ours.join(theirs, ["size", "shingle", "offset"]).filter("words = same").select("w1", "w2")
+    matched = materialize(matched, "matched")
+    hits = there.join(matched, ["w1", "w2"], "left_semi").select("t1", "t2", "start", "size", "w1", "w2").dropDuplicates(["t1", "t2", "start", "size"])
+    of_items = known.filter("item is not null").join(matched, ["w1", "w2"], "left_semi").select("w1", "w2", "item").distinct()
+    return found.filter("start is null").select("doc_id", "t1", "t2", "n_words"), hits, of_items
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -209,15 +167,43 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     occurrence of a window), n_items (items with occurring windows), items_sha256 (of their ids, sorted as strings
     and comma-joined), contaminated (n_hit > 0 and 20 * n_hit >= n_words).
 
-    Null or empty texts, and texts or items without words: nothing found. Repeated documents are judged each by
-    itself, a repeated item counts once, and an item without an id marks words but is not counted. An empty benchmark
+    Null or empty texts, and texts or items without words: nothing found. Repeated documents get equal results,
+    a repeated item counts once, and an item without an id marks words but is not counted. An empty benchmark
     finds nothing. Further columns of either table are ignored.
     """
-    schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    return with_spans(documents, benchmark).mapInArrow(_judge, schema)
+    return _judged(documents, benchmark).drop("t1", "t2")
+
+
+def _judged(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    rows, hits, of_items = occurrences(documents, benchmark)
+    hits = materialize(hits, "hits")
+    # words that occurrences cover: of each one what reaches beyond all before it
+    spans = F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end"))))
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("reached"))
+    step = lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0).cast("long"), s["end"] - F.greatest(s["start"], acc["reached"]))).alias("n"), F.greatest(acc["reached"], s["end"]).alias("reached"))
+    covered = hits.groupBy("t1", "t2").agg(F.aggregate(spans, zero, step)["n"].alias("n_hit"))
+    # windows with the same items count as one: a passage that many items share is looked up once for each text
+    print_ = lambda salt: F.bit_xor(F.xxhash64(F.lit(salt), "item"))
+    sets = of_items.groupBy("w1", "w2").agg(F.count("*").alias("many"), print_(1).alias("p1"), print_(2).alias("p2"))
+    first = sets.groupBy("many", "p1", "p2").agg(F.min(F.struct("w1", "w2")).alias("w"))
+    sets = sets.join(first, ["many", "p1", "p2"]).select("w1", "w2", F.col("w.w1").alias("v1"), F.col("w.w2").alias("v2"))
+    by_text = hits.select("t1", "t2", "w1", "w2").distinct().join(sets, ["w1", "w2"]).select("t1", "t2", "v1", "v2").distinct()
+    items = by_text.join(of_items.withColumnsRenamed({"w1": "v1", "w2": "v2"}), ["v1", "v2"]).select("t1", "t2", "item")
+    items = items.groupBy("t1", "t2").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    out = rows.join(covered, ["t1", "t2"], "left").join(items, ["t1", "t2"], "left")
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    listed = F.coalesce("items", F.array().cast("array<string>"))
+    return out.select(
+        "doc_id", "t1", "t2", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated")
+    )
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``documents`` without those whose doc_id is contaminated; rows without a doc_id stay."""
-    bad = contamination(documents, benchmark).filter("contaminated").select("doc_id")
-    return documents.join(bad, "doc_id", "left_anti").select(*documents.columns)
+    """The rows of ``documents`` without those whose text is contaminated, whatever their ids and further columns.
+
+    Rows with null, empty or wordless texts stay, and all rows do if the benchmark is empty; an empty table gives no rows.
+    """
+    bad = _judged(documents, benchmark).filter("contaminated").select("t1", "t2").distinct()
+    text = F.coalesce(F.col("d.text").cast("string"), F.lit(""))
+    same = (F.xxhash64(text) == F.col("b.t1")) & (F.xxhash64(F.lit(1), text) == F.col("b.t2"))
+    return documents.alias("d").join(bad.alias("b"), same, "left_anti")
