@@ -32,28 +32,43 @@ def _kind_value(values: dict, kind: Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[kind]
 
 
-def _matches(texts: DataFrame, kind: str) -> DataFrame:
-    """Rows (digest, kind, start, end) of the non-overlapping matches of one kind, from the left, in code points.
+def _pieces(kind: str) -> Column:
+    """Of a text with matches of one kind: for each match, the characters before it since the last one, its length and
+    that of the group that counts; null without a match.
 
     A split at the pattern gives what lies between the matches, so that a match starts where the lengths of all before
-    it add up. Only texts with a match are split; equal texts count once.
+    it add up.
     """
     pattern = DIRECT.get(kind) or (BASE[kind][0] if kind in BASE else WEAK[kind])
     group = BASE[kind][1] if kind in BASE else 0
-    least = BASE[kind][2] if kind in BASE else 0
     text, regex = F.col("text"), F.lit(pattern)
-    rows = texts.filter(text.rlike(pattern)).select(
-        "digest",
-        F.posexplode(
-            F.arrays_zip(
-                F.transform(F.split(text, pattern, -1), F.length).alias("gap"), F.transform(F.regexp_extract_all(text, regex, F.lit(0)), F.length).alias("all"), F.transform(F.regexp_extract_all(text, regex, F.lit(group)), F.length).alias("part")
-            )
-        ).alias("n", "m"),
+    lengths = lambda values: F.transform(values, F.length)
+    found = F.arrays_zip(
+        lengths(F.split(text, pattern, -1)).alias("gap"), lengths(F.regexp_extract_all(text, regex, F.lit(0))).alias("all"), lengths(F.regexp_extract_all(text, regex, F.lit(group))).alias("part")
     )
-    rows = rows.select("digest", "n", F.col("m.gap").alias("gap"), F.col("m.all").alias("all"), F.col("m.part").alias("part")).filter("all is not null").dropDuplicates(["digest", "n"])
-    before = W.partitionBy("digest").orderBy("n").rowsBetween(W.unboundedPreceding, W.currentRow)
-    end = F.sum(F.col("gap") + F.col("all")).over(before)
-    return rows.withColumn("end", end).filter(F.col("part") >= least).select("digest", F.lit(kind).alias("kind"), (F.col("end") - F.col("all")).alias("start"), "end")
+    return F.when(text.rlike(pattern), F.struct(F.lit(kind).alias("kind"), found.alias("found")))
+
+
+def _matches(texts: DataFrame) -> DataFrame:
+    """Rows (digest, kind, start, end) of the non-overlapping matches of each kind, from the left, in code points.
+
+    One scan looks for all kinds; only texts with a match of a kind are split by it, and equal texts count once.
+    """
+    each = texts.select("digest", F.explode(F.array_compact(F.array(*map(_pieces, RANK)))).alias("x"))
+    rows = each.select("digest", F.col("x.kind").alias("kind"), F.posexplode("x.found").alias("n", "m"))
+    rows = rows.select("digest", "kind", "n", "m.gap", "m.all", "m.part").filter("all is not null").dropDuplicates(["digest", "kind", "n"])
+    before = W.partitionBy("digest", "kind").orderBy("n").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("all")).over(before))
+    least = F.coalesce(_kind_value({k: n for k, (_, _, n) in BASE.items()}, F.col("kind")), F.lit(0))
+    return rows.filter(F.col("part") >= least).select("digest", "kind", (F.col("end") - F.col("all")).alias("start"), "end")
+
+
+def _outside_base(parts: DataFrame) -> DataFrame:
+    """Without the weak parts that lie inside one base span."""
+    base = F.col("kind").isin(*BASE)
+    so_far = W.partitionBy("digest").orderBy("start").rangeBetween(W.unboundedPreceding, W.currentRow)
+    reach = F.max(F.when(base, F.col("end"))).over(so_far)
+    return parts.withColumn("reach", reach).filter(base | F.col("reach").isNull() | (F.col("reach") < F.col("end"))).drop("reach")
 
 
 def _linked(parts: DataFrame) -> DataFrame:
@@ -81,13 +96,11 @@ def _linked(parts: DataFrame) -> DataFrame:
 def secret_spans(documents: DataFrame) -> DataFrame:
     """Rows (digest, kind, start, end, base) of the secrets in each distinct text; digest: SHA-256 of the text.
 
-    Positions are code points, the end exclusive. Weak candidates that lie inside a base span are left out.
+    Positions are code points, the end exclusive. Weak candidates that lie inside a base span are left out: that span
+    stands for them, beside other parts too.
     """
     texts = documents.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("digest", F.sha2("text", 256))
-    parts = None
-    for kind in RANK:
-        found = _matches(texts, kind)
-        parts = found if parts is None else parts.unionByName(found)
+    parts = _outside_base(_matches(texts))
     base = F.col("kind").isin(*BASE)
     weak = _linked(parts)
     return parts.filter(base).withColumn("base", F.lit(True)).unionByName(weak.withColumn("base", F.lit(False)))
@@ -120,22 +133,26 @@ def scan(documents: DataFrame) -> DataFrame:
 def redact(documents: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``documents`` with every span that scan() reports in a text replaced by ``mark``; n_chars follows the text.
 
-    Overlapping spans are replaced as one. Only texts with a span are touched.
+    Overlapping spans are replaced as one. Only texts with a span are touched: null and empty texts stay as they are,
+    and repeated rows are changed alike. All columns come back, whatever their names; an empty table gives no rows.
     """
     cover = W.partitionBy("digest").orderBy("start", "end")
     spans = secret_spans(documents).withColumn("before", F.max("end").over(cover.rowsBetween(W.unboundedPreceding, -1)))
     runs = spans.withColumn("run", F.count_if(F.col("before").isNull() | (F.col("start") > F.col("before"))).over(cover))
     merged = runs.groupBy("digest", "run").agg(F.min("start").alias("s"), F.max("end").alias("e"))
     merged = merged.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("cuts"))
-    rows = documents.withColumn("__digest", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)).join(merged.withColumnRenamed("digest", "__digest").withColumnRenamed("cuts", "__cuts"), "__digest", "left")
-    whole = F.transform(
-        F.sequence(F.lit(0), F.size("__cuts")),
-        lambda k: F.substring(
-            F.col("text"), F.when(k == 0, F.lit(0)).otherwise(F.get("__cuts", k - 1)["e"]).cast("int") + 1, (F.when(k == F.size("__cuts"), F.length("text")).otherwise(F.get("__cuts", k)["s"]) - F.when(k == 0, F.lit(0)).otherwise(F.get("__cuts", k - 1)["e"])).cast("int")
-        ),
-    )
-    text = F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(F.array_join(whole, mark))
-    out = rows.withColumn("text", text)
-    if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__cuts").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(documents.schema["n_chars"].dataType))
-    return out.select(*documents.columns)
+    text, cuts = F.col("d.text").cast("string"), F.col("m.cuts")
+    rows = documents.alias("d").join(merged.alias("m"), F.sha2(F.coalesce(text, F.lit("")), 256) == F.col("m.digest"), "left")
+    begin = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(cuts, k - 1)["e"])
+    end = lambda k: F.when(k == F.size(cuts), F.length(text)).otherwise(F.get(cuts, k)["s"])
+    between = F.transform(F.sequence(F.lit(0), F.size(cuts)), lambda k: F.substring(text, begin(k).cast("int") + 1, (end(k) - begin(k)).cast("int")))
+    clean = F.when(cuts.isNull(), F.col("d.text")).otherwise(F.array_join(between, mark))
+    columns = []
+    for name in documents.columns:
+        own = F.col(f"d.`{name}`")
+        if name == "text":
+            own = clean
+        elif name == "n_chars":
+            own = F.when(cuts.isNull(), own).otherwise(F.length(clean)).cast(documents.schema["n_chars"].dataType)
+        columns.append(own.alias(name))
+    return rows.select(*columns)

@@ -124,6 +124,12 @@ def toxicity(documents: DataFrame, labels: DataFrame, *, most_labelled: int = MO
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``documents`` that the chain doesn't reject, in one pass."""
+    """The rows of ``documents`` that the chain doesn't reject, in one pass.
+
+    All columns come back as they are, whatever their names; null and empty texts are judged as in toxicity(), repeated
+    rows alike, and an empty table gives no rows.
+    """
     chain = Chain(documents.select("doc_id", F.col("text").cast("string").alias("text")), labels.select("doc_id", "quality", "toxic"), **options)
-    return chain.score(documents).filter(F.col("p_toxic") <= THRESHOLD).select(*documents.columns)
+    # the row is one column beside its text, so that no column of its own meets those of the models
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), F.col("text").cast("string").alias("text"))
+    return chain.score(rows).filter(F.col("p_toxic") <= THRESHOLD).select("row.*")
