@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat, decontaminate, near_dedup, packing, secrets, substring_dedup, suffix_dedup, topk, toxicity, url_filter
 
@@ -14,7 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept", "spans")
+    left = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    # what is removed, and the text that is left: a cut inside a character leaves a replacement mark there
+    kept = F.make_valid_utf8(F.col("kept").cast("string"))
+    return left.withColumn("kept", kept).withColumn("repeats", F.col("n_removed") > 0)
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
