@@ -41,31 +41,38 @@ def fix_ocr(c: Column) -> Column:
     return F.when(c.rlike(r"\p{Nd}"), F.translate(c, "OolISBZ", "0011582")).otherwise(c)
 
 
-def normalize_unit(c: Column) -> Column:
-    """struct<unit, rest>: the unit that the lower-cased text ends with, the longest word for it, and what stands before."""
+def unit_word(low: Column) -> Column:
+    """The longest unit word that a lower-cased text ends with; empty if none."""
     words = "|".join(sorted(UNITS, key=lambda w: (-len(w), w)))
+    return F.regexp_extract(low, rf"(?:{words})$", 0)
+
+
+def unit_and_rest(c: Column, low: Column, word: Column) -> Column:
+    """struct<unit, rest> of a text c, its lower-cased form and that form's unit word."""
     unit = F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair])
+    rest = strip(F.substring(low, F.lit(1), F.length(low) - F.length(word)))
+    return F.struct(F.when(word != "", unit[word]).alias("unit"), F.when(word != "", rest).otherwise(c).alias("rest"))
+
+
+def normalize_unit(c: Column) -> Column:
+    """struct<unit, rest>: the unit that the lower-cased text ends with, the longest word for it, and what stands before."""
+    return let(strip(F.lower(c)), lambda low: let(unit_word(low), lambda word: unit_and_rest(c, low, word)))
 
-    def split(low: Column) -> Column:
-        found = lambda word: F.struct(F.when(word != "", unit[word]).alias("unit"), F.when(word != "", strip(F.regexp_extract(low, rf"(?s)^(.*?)({words})$", 1))).otherwise(c).alias("rest"))
-        return let(F.regexp_extract(low, rf"(?s)^.*?({words})$", 1), found)
 
-    return let(strip(F.lower(c)), split)
+def without_currency(text: Column) -> Column:
+    """A stripped text without the currency mark that it begins or ends with, or the rupee sign in it; null without one."""
+    rest = F.when(F.lit(False), text)
+    for mark in CURRENCY_MARKS:
+        n = len(mark)
+        rest = rest.when(text.startswith(mark), F.regexp_replace(strip(F.substring(text, n + 1, 1 << 30)), r"^[./:]+", ""))
+        rest = rest.when(text.endswith(mark), strip(F.substring(text, F.lit(1), F.length(text) - n)))
+    return rest.when(text.contains("₹"), strip(F.replace(text, F.lit("₹"), F.lit(""))))
 
 
 def normalize_currency(c: Column) -> Column:
     """struct<currency, rest>: INR if a mark begins or ends the text, or the rupee sign is in it; the text without it."""
-
-    def split(text: Column) -> Column:
-        rest = F.when(F.lit(False), c)
-        for mark in CURRENCY_MARKS:
-            n = len(mark)
-            rest = rest.when(text.startswith(mark), F.regexp_replace(strip(F.substring(text, n + 1, 1 << 30)), r"^[./:]+", ""))
-            rest = rest.when(text.endswith(mark), strip(F.substring(text, F.lit(1), F.length(text) - n)))
-        rest = rest.when(text.contains("₹"), strip(F.replace(text, F.lit("₹"), F.lit(""))))
-        return let(rest, lambda r: F.struct(F.when(r.isNotNull(), "INR").alias("currency"), F.coalesce(r, c).alias("rest")))
-
-    return let(strip(c), split)
+    split = lambda r: F.struct(F.when(r.isNotNull(), "INR").alias("currency"), F.coalesce(r, c).alias("rest"))
+    return let(strip(c), lambda text: let(without_currency(text), split))
 
 
 def parse_month(c: Column) -> Column:
@@ -75,7 +82,8 @@ def parse_month(c: Column) -> Column:
         number = lambda g, p=pattern: F.translate(F.regexp_extract(c, f"(?U){p}", g), DEVANAGARI_DIGITS, "0123456789").try_cast("int")
         valid = lambda d: F.when(d["m"].between(_FIRST_MONTH, _LAST_MONTH) & d["y"].between(_FIRST_YEAR, _LAST_YEAR), d)
         found.append(let(F.struct(number(month).alias("m"), number(year).alias("y")), valid))
-    return F.coalesce(*found)
+    # all shapes have a mark between two digits
+    return F.when(c.rlike(r"(?U)\d[/\-.]\d"), F.coalesce(*found))
 
 
 def parse_number(c: Column) -> Column:

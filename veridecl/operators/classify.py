@@ -41,19 +41,31 @@ def classifier_text(names: DataFrame, declarations: DataFrame) -> DataFrame:
 
 
 def char_ngrams(text: Column, low: int = 2, high: int = 4) -> Column:
-    """Runs of ``low`` to ``high`` characters inside the lower-cased words, each with a space at both ends."""
+    """Runs of ``low`` to ``high`` characters inside the lower-cased words, each with a space at both ends.
+
+    A word shorter than a run counts once, however many sizes it is too short for.
+    """
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    grams = lambda w, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(n)))
-    return F.flatten(F.transform(words, lambda w: F.flatten(F.array(*[grams(F.concat(F.lit(" "), w, F.lit(" ")), n) for n in range(low, high + 1)]))))
+    padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+
+    def grams(w: Column, n: int) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(n)))
+        return runs if n == low else F.when(F.length(w) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.transform(padded, lambda w: F.flatten(F.array(*[grams(w, n) for n in range(low, high + 1)]))))
+
 
+def char_ngram_tfidf(rows: DataFrame, vocabulary: int = 5000) -> DataFrame:
+    """Rows (id, gram, weight): 1 + ln(tf) times ln((1 + n) / (1 + df)) + 1, of length 1 for each id.
 
-def char_ngram_tfidf(rows: DataFrame) -> DataFrame:
-    """Rows (id, gram, weight): 1 + ln(tf) times ln((1 + n) / (1 + df)) + 1, of length 1 for each id."""
+    Only the ``vocabulary`` grams that stand most often in all texts count; of equally frequent ones the first in order.
+    """
     grams = rows.select("id", F.explode(char_ngrams(F.col("text"))).alias("gram"))
-    tf = grams.groupBy("id", "gram").agg((F.log(F.count("*")) + 1).alias("tf"))
-    n = rows.agg(F.count("*").alias("n"))
-    df = tf.groupBy("gram").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = tf.join(df, "gram").withColumn("w", F.col("tf") * F.col("idf"))
+    counts = grams.groupBy("id", "gram").agg(F.count("*").alias("n"))
+    known = counts.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "gram").limit(vocabulary)
+    texts = rows.agg(F.count("*").alias("texts"))  # one row
+    df = known.crossJoin(F.broadcast(texts)).select("gram", (F.log((1 + F.col("texts")) / (1 + F.col("df"))) + 1).alias("idf"))
+    raw = counts.join(F.broadcast(df), "gram").select("id", "gram", ((F.log("n") + 1) * F.col("idf")).alias("w"))  # vocabulary rows at most
     norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norm, "id").select("id", "gram", (F.col("w") / F.col("norm")).alias("weight"))
 

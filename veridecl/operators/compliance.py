@@ -10,6 +10,9 @@ LEAST_FIELDS, LEAST_CONFIDENCE = 3, 0.5
 # Fields whose absence is critical, and fields whose format is major.
 CRITICAL_FIELDS = ["mrp", "manufacturer_name", "net_quantity", "mfg_date", "country_of_origin"]
 MAJOR_FORMATS = ["mrp", "mfg_date", "pkd_date"]
+#: Decisions that don't rest on verdicts: no field rows or violations follow from them.
+HELD = ("INSUFFICIENT_EVIDENCE", "NEEDS_HUMAN_REVIEW")
+# The status that an inspection takes from its decision.
 STATUS_MAP = {"COMPLIANT": "approved", "NON_COMPLIANT": "flagged", "PARTIALLY_COMPLIANT": "flagged", "NEEDS_HUMAN_REVIEW": "pending_review", "INSUFFICIENT_EVIDENCE": "insufficient"}
 
 
@@ -34,20 +37,26 @@ def _field() -> Column:
     return F.coalesce(F.nullif(F.col("field_type"), F.lit("")), F.col("rule_key"))
 
 
-def _is_low(threshold: float) -> Column:
+def is_low(threshold: float = LEAST_CONFIDENCE) -> Column:
     return (F.col("verdict") != "PASS") & (F.col("verdict_type") != "MISSING") & (F.coalesce("confidence", F.lit(1.0)) < threshold)
 
 
 def low_confidence_fields(verdicts: DataFrame, threshold: float = LEAST_CONFIDENCE) -> DataFrame:
     """Per inspection the fields whose verdict is no pass, not for absence, and of low confidence."""
-    rows = verdicts.filter(_is_low(threshold)).groupBy("inspection_id").agg(F.array_sort(F.collect_list(F.struct("rule_order", _field().alias("f")))).alias("l"))
+    rows = verdicts.filter(is_low(threshold)).groupBy("inspection_id").agg(F.array_sort(F.collect_list(F.struct("rule_order", _field().alias("f")))).alias("l"))
     return rows.select("inspection_id", F.array_join(F.transform("l", lambda x: x["f"]), ", ").alias("fields"), F.size("l").alias("n"))
 
 
-def field_compliance(verdicts: DataFrame) -> DataFrame:
+def field_columns() -> dict[str, Column]:
+    """Of a verdict the field that it is about, its status and its confidence."""
     known = F.col("verdict").isin("PASS", "FAIL", "NOT_APPLICABLE")
     confidence = F.when(F.col("verdict") == "PASS", 1.0).when(F.col("verdict") == "FAIL", F.when(F.col("verdict_type") == "MISSING", 0.0).otherwise(1.0))
-    return verdicts.select("inspection_id", "rule_version_id", "rule_key", _field().alias("field_type"), F.when(known, F.col("verdict")).otherwise("NEEDS_REVIEW").alias("status"), confidence.alias("field_confidence"), "detail")
+    return {"field_type": _field(), "status": F.when(known, F.col("verdict")).otherwise("NEEDS_REVIEW"), "field_confidence": confidence}
+
+
+def field_compliance(verdicts: DataFrame) -> DataFrame:
+    own = [c.alias(name) for name, c in field_columns().items()]
+    return verdicts.select("inspection_id", "rule_version_id", "rule_key", *own, "detail")
 
 
 def violations(verdicts: DataFrame) -> DataFrame:
@@ -67,25 +76,30 @@ def decide(passed: Column, failed: Column) -> tuple[Column, Column]:
     return status, reason
 
 
+def overall(extracted: Column, passed: Column, failed: Column, low: Column, least: int = LEAST_FIELDS) -> tuple[Column, Column]:
+    """Status and reason of an inspection: too little evidence goes before doubtful fields, these before the verdicts."""
+    status, reason = decide(passed, failed)
+    few, doubt = extracted < least, low > 0
+    status = F.when(few, "INSUFFICIENT_EVIDENCE").when(doubt, "NEEDS_HUMAN_REVIEW").otherwise(status)
+    reason = F.when(few, F.format_string("Only %d fields extracted.", extracted)).when(doubt, F.format_string("%d field(s) need review.", low)).otherwise(reason)
+    return status, reason
+
+
 def evaluate_compliance(inspections: DataFrame, verdicts: DataFrame, declarations: DataFrame, least: int = LEAST_FIELDS, threshold: float = LEAST_CONFIDENCE) -> DataFrame:
     """One decision for each inspection: too little evidence goes before doubtful fields, these before the verdicts.
 
     Verdicts and declarations are each reduced to one row an inspection before they are joined.
     """
-    counts = verdicts.groupBy("inspection_id").agg(F.count_if(F.col("verdict") == "PASS").alias("n_pass"), F.count_if(F.col("verdict") == "FAIL").alias("n_fail"), F.count_if(F.col("verdict") == "NOT_APPLICABLE").alias("n_na"), F.count_if(_is_low(threshold)).alias("n_low"))
+    counts = verdicts.groupBy("inspection_id").agg(F.count_if(F.col("verdict") == "PASS").alias("n_pass"), F.count_if(F.col("verdict") == "FAIL").alias("n_fail"), F.count_if(F.col("verdict") == "NOT_APPLICABLE").alias("n_na"), F.count_if(is_low(threshold)).alias("n_low"))
     rows = inspections.select(F.col("id").alias("inspection_id")).join(count_extracted(declarations), "inspection_id", "left").join(counts, "inspection_id", "left").fillna(0, ["n_extracted", "n_pass", "n_fail", "n_na", "n_low"])
-    status, reason = decide(F.col("n_pass"), F.col("n_fail"))
-    few, low = F.col("n_extracted") < least, F.col("n_low") > 0
-    return rows.select(
-        "inspection_id", F.when(few, "INSUFFICIENT_EVIDENCE").when(low, "NEEDS_HUMAN_REVIEW").otherwise(status).alias("overall_status"),
-        F.when(few, F.format_string("Only %d fields extracted.", "n_extracted")).when(low, F.format_string("%d field(s) need review.", "n_low")).otherwise(reason).alias("status_reason"),
-        "n_extracted", "n_pass", "n_fail", "n_na", F.when(few | low, F.lit(0)).otherwise(F.col("n_fail")).alias("n_violations"),
-    )
+    status, reason = overall(F.col("n_extracted"), F.col("n_pass"), F.col("n_fail"), F.col("n_low"), least)
+    rested = ~status.isin(*HELD)
+    return rows.select("inspection_id", status.alias("overall_status"), reason.alias("status_reason"), "n_extracted", "n_pass", "n_fail", "n_na", F.when(rested, F.col("n_fail")).otherwise(F.lit(0)).alias("n_violations"))
 
 
 def open_verdicts(verdicts: DataFrame, decisions: DataFrame) -> DataFrame:
     """The verdicts of inspections whose decision rests on them; the others emit no field rows or violations."""
-    held = decisions.filter(F.col("overall_status").isin("INSUFFICIENT_EVIDENCE", "NEEDS_HUMAN_REVIEW")).select("inspection_id")
+    held = decisions.filter(F.col("overall_status").isin(*HELD)).select("inspection_id")
     return verdicts.join(held, "inspection_id", "left_anti")
 
 
@@ -107,10 +121,13 @@ def inspection_status(status: Column) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for pair in STATUS_MAP.items() for x in pair])[status], F.lit("pending"))
 
 
+def latest_images(images: DataFrame) -> DataFrame:
+    return images.groupBy("inspection_id").agg(F.max_by("id", F.struct("uploaded_at", "id")).alias("image_id"))
+
+
 def evidence(found: DataFrame, images: DataFrame) -> DataFrame:
     """The latest image of an inspection with each of its violations; without an image, none."""
-    latest = images.groupBy("inspection_id").agg(F.max_by("id", F.struct("uploaded_at", "id")).alias("image_id"))
-    return found.join(latest, "inspection_id").select("inspection_id", "rule_version_id", "image_id", check_id("inspection_id", "rule_version_id", "image_id").alias("id"))
+    return found.join(latest_images(images), "inspection_id").select("inspection_id", "rule_version_id", "image_id", check_id("inspection_id", "rule_version_id", "image_id").alias("id"))
 
 
 def pipeline_warnings(images: DataFrame, least: float = 0.7) -> DataFrame:

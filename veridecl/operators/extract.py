@@ -48,17 +48,21 @@ def ocr_summary(tokens: DataFrame) -> DataFrame:
 def normalize_tokens(tokens: DataFrame) -> DataFrame:
     """Tokens with normalized text, unit, currency, number (value) and month; blank lines are dropped."""
     rows = tokens.withColumn("original", t.strip(F.col("text"))).filter("original <> ''")
-
-    def token(normalized: Column, c: Column, u: Column, d: Column) -> Column:
-        return F.struct(
-            normalized.alias("normalized"), c["currency"].alias("currency"), u["unit"].alias("unit"), F.when(d.isNull(), t.parse_number(u["rest"])).alias("value"), F.when(d.isNotNull(), F.format_string("%04d-%02d", d["y"], d["m"])).alias("month"),
-            t.is_number(u["rest"]).alias("is_numeric"), d.isNotNull().alias("is_date"), c["currency"].isNotNull().alias("is_currency"),
-        )
-
-    dated = lambda n, c, u: t.let(F.coalesce(t.parse_month(u["rest"]), t.parse_month(n)), lambda d: token(n, c, u, d))
-    sized = lambda n, c: t.let(t.normalize_unit(c["rest"]), lambda u: dated(n, c, u))
-    whole = t.let(t.fix_ocr(F.col("original")), lambda n: t.let(t.normalize_currency(n), lambda c: sized(n, c)))
-    return rows.withColumn("t", whole).select("inspection_id", "seq", "original", "t.*", "confidence")
+    # one projection for each value that is used several times: compiled, and worked out once
+    steps = {
+        "normalized": t.fix_ocr(F.col("original")), "t_text": t.strip(F.col("normalized")), "t_bare": t.without_currency(F.col("t_text")), "t_rest": F.coalesce("t_bare", "normalized"),
+        "t_low": t.strip(F.lower("t_rest")), "t_word": t.unit_word(F.col("t_low")), "t_unit": t.unit_and_rest(F.col("t_rest"), F.col("t_low"), F.col("t_word")),
+        "t_size": F.col("t_unit")["rest"], "t_month": F.coalesce(t.parse_month(F.col("t_size")), t.parse_month(F.col("normalized"))),
+    }
+    for name, value in steps.items():
+        rows = rows.withColumn(name, value)
+    month, size = F.col("t_month"), F.col("t_size")
+    token = F.struct(
+        "normalized", F.when(F.col("t_bare").isNotNull(), "INR").alias("currency"), F.col("t_unit")["unit"].alias("unit"), F.when(month.isNull(), t.parse_number(size)).alias("value"),
+        F.when(month.isNotNull(), F.format_string("%04d-%02d", month["y"], month["m"])).alias("month"), t.is_number(size).alias("is_numeric"), month.isNotNull().alias("is_date"), F.col("t_bare").isNotNull().alias("is_currency"),
+    )
+    # from one array, so that filters on these columns don't pull the expressions behind them down to the scan again
+    return rows.select("inspection_id", "seq", "original", F.inline(F.array(token)), "confidence")
 
 
 def label_text(tokens: DataFrame) -> DataFrame:

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from ..sources.schemas import CONTENT
 
-#: Rules are broadcast up to this many rows; beyond, they are joined by the date ranges in months.
-MOST_BROADCAST = 10_000
+#: The key that rules for all categories are joined by; the keys of categories begin with another mark.
+ANY, ONE = "*", "="
+#: Rules are broadcast up to so many bytes, as JSON; the join is the same beyond.
+MOST_BROADCAST = 8 << 20
 FLAT = ("rule_version_id", "rule_key", "version", "effective_date", "end_date", "is_published", "product_categories", "exclude_categories", "package_type", "validation_type", "field", "pattern", "must_contain")
 
 # The seeded rules, effective from 2020-01-01, for retail packages of all categories but industrial ones.
@@ -71,23 +73,45 @@ def applies_when_gate(category: Column, package_type: Column) -> Column:
     return F.when(~category_applies(category, F.col("product_categories")), "category").when(excluded, "excluded").when((F.coalesce(wanted, F.lit("")) != "") & ~package_type.eqNullSafe(wanted), "package")
 
 
+def category_keys(category: Column) -> Column:
+    """All required categories that category_selected() can find in a path, and ANY: its runs of parts, and its beginnings."""
+    parts, marks = F.split(category, " > "), F.split(category, " >")
+    runs = lambda i: F.transform(F.sequence(F.lit(1), F.size(parts) - i), lambda n: F.array_join(F.slice(parts, i + 1, n), " > "))
+    inner = F.flatten(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), runs))
+    begins = F.transform(F.sequence(F.lit(1), F.size(marks)), lambda n: F.array_join(F.slice(marks, F.lit(1), n), " >"))
+    # no path of the usual two parts needs the general way
+    few = F.array_compact(F.array(category, F.get(parts, 0), F.get(parts, 1), F.get(marks, 0)))
+    named = F.when((F.size(parts) <= 2) & (F.size(marks) <= 2), few).otherwise(F.concat(inner, begins))
+    keys = F.transform(F.array_distinct(named), lambda c: F.concat(F.lit(ONE), c))
+    return F.when(category.isNull(), F.array(F.lit(ANY))).otherwise(F.concat(F.array(F.lit(ANY)), keys))
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """The rows to be broadcast, if their size as JSON allows it; as they are else."""
+    size = rows.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(rows) if size <= MOST_BROADCAST else rows
+
+
 def applicable_rules(inspections: DataFrame, rules: DataFrame, published_only: bool = False) -> DataFrame:
     """Rows of inspections (id, category, package_type, day) with each rule in force on the day that is selected for the
     category; rule_order is by effective_date, then version and id.
 
-    Rules are few, and broadcast where a count shows that; a larger set is met by the months that it is in force, which
-    makes the interval join an equi-join.
+    An equi-join by category, at every size: a rule has a row for each category that it requires, or one for ANY, and an
+    inspection one for each category that its path holds. A rule that is met by several of its categories is taken by
+    the first of them. Dates are tested on what the keys bring together. Rules are broadcast if their size allows it.
     """
     rules = rules.filter("is_published") if published_only else rules
     r = rules.select(*[F.col(c).alias("rule_package_type" if c == "package_type" else c) for c in FLAT])
+    required = F.coalesce("product_categories", F.array().cast("array<string>"))
+    free = (F.size(required) == 0) | F.array_contains(required, "ALL")
+    named = F.transform(F.array_distinct(required), lambda c: F.concat(F.lit(ONE), c))
+    r = r.withColumn("key", F.explode(F.when(free, F.array(F.lit(ANY))).otherwise(named)))
+    r = small(r)
+    # keys are never empty; a plain explode() would test that, working them out twice
+    looked = inspections.withColumn("keys", category_keys(F.col("category"))).withColumn("key", F.explode_outer("keys"))
     in_force = (F.col("effective_date") <= F.col("day")) & (F.col("end_date").isNull() | (F.col("end_date") > F.col("day")))
-    chosen = in_force & category_selected(F.col("category"), F.col("product_categories"))
-    if r.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-        joined = inspections.join(F.broadcast(r), chosen)
-    else:
-        last = F.coalesce(F.date_sub("end_date", 1), F.lit("2100-01-01").cast("date"))
-        months = F.explode(F.sequence(F.trunc("effective_date", "month"), F.greatest(F.trunc(last, "month"), F.trunc("effective_date", "month")), F.expr("interval 1 month")))
-        joined = inspections.withColumn("month", F.trunc("day", "month")).join(r.withColumn("month", months), "month").filter(chosen).drop("month")
+    own = F.get(F.filter("product_categories", lambda c: F.array_contains(F.col("keys"), F.concat(F.lit(ONE), c)) & category_selected(F.col("category"), F.array(c))), 0)
+    joined = looked.join(r, "key").filter(in_force & ((F.col("key") == ANY) | (F.size("product_categories") == 1) | (F.col("key") == F.concat(F.lit(ONE), own)))).drop("key", "keys")
     order = F.row_number().over(W.partitionBy("id").orderBy("effective_date", "version", "rule_version_id"))
     return joined.withColumn("rule_order", order)
 

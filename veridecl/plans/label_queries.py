@@ -208,7 +208,15 @@ def d1_classifier_text(spark, sf):
     return cl.classifier_text(names, found)
 
 
-@query()
+@query(
+    with_views("products_v")
+    + """, w AS (SELECT id, ' ' || unnest(string_split_regex(lower(product_name), '\\s+')) || ' ' AS w FROM products_v),
+g AS (SELECT id, unnest([substr(w, i, n) FOR i IN range(1, greatest(length(w) - n + 1, 1) + 1)]) AS gram FROM w CROSS JOIN (SELECT unnest([2, 3, 4]) AS n) WHERE w <> '  ' AND (n = 2 OR length(w) >= n)),
+c AS (SELECT id, gram, count(*) AS n FROM g GROUP BY ALL),
+k AS (SELECT gram, sum(n) AS total, count(*) AS df FROM c GROUP BY gram ORDER BY total DESC, gram LIMIT 5000),
+r AS (SELECT id, gram, (ln(n) + 1) * (ln((1 + (SELECT count(*) FROM products_v)) / (1 + df)) + 1) AS w FROM c JOIN k USING (gram))
+SELECT id, gram, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight FROM r"""
+)
 def d2_char_ngram_tfidf(spark, sf):
     rows = cl.char_ngram_tfidf(view(spark, sf, "products_v").select("id", F.col("product_name").alias("text")))
     return rows.withColumn("weight", F.round("weight", 6))

@@ -284,19 +284,36 @@ def f13_pipeline_warnings(spark, sf):
     return co.pipeline_warnings(images).select("id", (~F.col("pipeline_passed")).alias("low"), "warning")
 
 
-@query(IMAGES + f""", fd AS (SELECT inspection_id, count(*) nf, string_agg(fld || ':' || CASE WHEN verdict = 'PASS' AND coalesce(fc, 0) < 0.5 THEN 'LOW_CONF' ELSE verdict END, ',' ORDER BY rule_version_id) AS declarations FROM f WHERE {_OPEN} GROUP BY 1),
-vd AS (SELECT inspection_id, string_agg(upper(severity) || ':' || fld, ',' ORDER BY rule_version_id) AS violations, count(*) nv FROM f WHERE verdict = 'FAIL' AND {_OPEN} GROUP BY 1)
-SELECT dec.inspection_id, overall_status AS compliance_status, overall_status = 'COMPLIANT' AS seal, coalesce(declarations, '') AS declarations, coalesce(violations, '') AS violations, CASE WHEN l.image_id IS NULL THEN 0 ELSE coalesce(nv, 0) END AS n_evidence FROM dec LEFT JOIN fd USING (inspection_id) LEFT JOIN vd USING (inspection_id) LEFT JOIN {_LATEST} l USING (inspection_id)""")
-def l5_report_facts(spark, sf):
+REPORTS = IMAGES + f""", fd AS (SELECT inspection_id, count(*) nf, string_agg(fld || ':' || CASE WHEN verdict = 'PASS' AND coalesce(fc, 0) < 0.5 THEN 'LOW_CONF' ELSE verdict END, ',' ORDER BY rule_version_id) AS declarations FROM f WHERE {_OPEN} GROUP BY 1),
+vd AS (SELECT inspection_id, string_agg(n || ':' || upper(severity) || ':' || fld || ':' || detail || ':Section ' || rule_key, ';' ORDER BY rule_version_id) AS violations, count(*) nv,
+ string_agg(DISTINCT 'Section ' || rule_key, ',' ORDER BY 'Section ' || rule_key) AS legal_references
+ FROM (SELECT *, row_number() OVER (PARTITION BY inspection_id ORDER BY rule_version_id) n FROM f WHERE verdict = 'FAIL' AND {_OPEN}) GROUP BY 1),
+reports AS (SELECT sha256('report~' || dec.inspection_id) AS report_id, dec.inspection_id, overall_status AS compliance_status, status_reason, overall_status = 'COMPLIANT' AS seal, coalesce(declarations, '') AS declarations, coalesce(violations, '') AS violations, coalesce(legal_references, '') AS legal_references,
+ CASE WHEN l.image_id IS NULL OR nv IS NULL THEN '' ELSE array_to_string(list_transform(range(nv), lambda k: CAST(l.image_id AS VARCHAR)), ',') END AS evidence FROM dec LEFT JOIN fd USING (inspection_id) LEFT JOIN vd USING (inspection_id) LEFT JOIN {_LATEST} l USING (inspection_id))
+"""
+
+
+def reports(spark, sf):
     from ..operators.reports import report_facts
 
-    found = verdicts(spark, sf)
-    decided = decisions(spark, sf, found)
-    kept = co.open_verdicts(found, decided)
-    bad = co.violations(kept)
-    facts = report_facts(decided, co.field_compliance(kept), bad, co.evidence(bad, view(spark, sf, "images_v")))
-    spell = lambda a, f: F.array_join(F.transform(a, f), ",")
-    return facts.select("inspection_id", "compliance_status", "seal", spell("declarations", lambda x: F.concat_ws(":", x["field_type"], x["status"])).alias("declarations"), spell("violations", lambda x: F.concat_ws(":", x["severity"], x["field"])).alias("violations"), F.size("evidence").cast("long").alias("n_evidence"))
+    rules = view(spark, sf, "rules_v")
+    references = rules.select("rule_version_id", F.col("rule_key").alias("title"), F.concat(F.lit("Section "), "rule_key").alias("legal_reference"))
+    return report_facts(view(spark, sf, "inspections_v"), verdicts(spark, sf), view(spark, sf, "declarations_v"), view(spark, sf, "images_v"), references)
+
+
+def spelled(facts):
+    """Reports with their nested columns as text."""
+    spell = lambda a, f, sep=",": F.array_join(F.transform(a, f), sep).alias(a)
+    parts = ("number", "severity", "field_type", "detail", "legal_reference")
+    return facts.select(
+        "report_id", "inspection_id", "compliance_status", "status_reason", "seal", spell("declarations", lambda x: F.concat_ws(":", x["field_type"], x["status"])), spell("violations", lambda x: F.concat_ws(":", *(x[c] for c in parts)), ";"),
+        F.array_join("legal_references", ",").alias("legal_references"), spell("evidence", lambda x: x["image_id"].cast("string")),
+    )
+
+
+@query(REPORTS + "SELECT * FROM reports")
+def l5_report_facts(spark, sf):
+    return spelled(reports(spark, sf))
 
 
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderstatus <> 'O' AND o_orderdate <= TIMESTAMP '1998-01-01' THEN 'done' WHEN o_orderstatus = 'O' THEN 'cancelled' ELSE 'scheduled' END AS new_status FROM orders")

@@ -62,7 +62,7 @@ COMMON = {
  WHEN 5 THEN CASE WHEN d.doc_id % 2 = 0 THEN 'Consumer Care: 1800-123-4567' ELSE 'Best before 6 months' END
  ELSE CASE d.doc_id % 4 WHEN 0 THEN 'Country of Origin: India' WHEN 1 THEN 'Made in Nepal' WHEN 2 THEN 'भारत 2kg' ELSE 'Net 2kg' END END AS text,
  CAST(0.40 + ((d.doc_id*7 + s.seq*13) % 60)/100.0 AS DOUBLE) confidence
- FROM {documents} d CROSS JOIN {seqs} s""",
+ FROM {documents} d {seqs}""",
 }
 _TABLES = ("part", "orders", "customer", "nation", "region", "lineitem", "events", "documents")
 
@@ -77,11 +77,14 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         day = lambda x: x and dt.date.fromisoformat(x)
         return spark.createDataFrame([(*r[:3], day(r[3]), day(r[4]), *r[5:]) for r in RULES], RULE_SCHEMA)
     used = {t: table(spark, sf_dir, t) for t in _TABLES if f"{{{t}}}" in COMMON[name]}
-    text = COMMON[name].replace("{sha}", "sha2(text, 256)").replace("{at}", "timestampadd(SECOND, doc_id, TIMESTAMP_NTZ '2024-01-01 00:00:00')").replace("{seqs}", "(SELECT explode(sequence(0, 6)) seq)")
+    text = COMMON[name].replace("{sha}", "sha2(text, 256)").replace("{at}", "timestampadd(SECOND, doc_id, TIMESTAMP_NTZ '2024-01-01 00:00:00')").replace("{seqs}", "LATERAL VIEW explode(sequence(0, 6)) s AS seq")
     df = spark.sql(text, **used)
     for column, kind in df.dtypes:
         if kind == "timestamp_ntz":
             df = df.withColumn(column, F.col(column).cast("timestamp"))
+    if name == "ocr_tokens_v":
+        # all that is done with tokens groups them by inspection, and a small file would be one task's work
+        df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "inspection_id")
     return df
 
 
@@ -104,7 +107,7 @@ def with_views(*names: str) -> str:
             columns = ",".join(c.split()[0] for c in RULE_SCHEMA.split(", "))
             text = f"SELECT rule_version_id, rule_key, version, CAST(effective_date AS DATE) effective_date, CAST(end_date AS DATE) end_date, is_published, product_categories, exclude_categories, package_type, validation_type, field, pattern, must_contain FROM (VALUES\n {rows}) t({columns})"
         else:
-            text = COMMON[name].replace("{sha}", "sha256(text)").replace("{at}", "TIMESTAMP '2024-01-01 00:00:00' + to_seconds(CAST(doc_id AS BIGINT))").replace("{seqs}", "(SELECT unnest([0,1,2,3,4,5,6]) seq)")
+            text = COMMON[name].replace("{sha}", "sha256(text)").replace("{at}", "TIMESTAMP '2024-01-01 00:00:00' + to_seconds(CAST(doc_id AS BIGINT))").replace("{seqs}", "CROSS JOIN (SELECT unnest([0,1,2,3,4,5,6]) seq) s")
             for t in _TABLES:
                 text = text.replace(f"{{{t}}}", t)
         parts.append(f"{name} AS (\n{text})")
