@@ -130,6 +130,10 @@ def evidence(found: DataFrame, images: DataFrame) -> DataFrame:
     return found.join(latest_images(images), "inspection_id").select("inspection_id", "rule_version_id", "image_id", check_id("inspection_id", "rule_version_id", "image_id").alias("id"))
 
 
+def evidence_counts(shown: DataFrame) -> DataFrame:
+    return shown.groupBy("inspection_id").agg(F.count("*").alias("n_evidence"))
+
+
 def pipeline_warnings(images: DataFrame, least: float = 0.7) -> DataFrame:
     low = F.col("quality_score") < least
     return images.withColumn("warning", F.when(low, F.format_string("Low image quality: %.2f", "quality_score"))).withColumn("pipeline_passed", ~low)

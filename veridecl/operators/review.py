@@ -15,16 +15,27 @@ def _queued() -> Column:
     return (F.col("verdict") == "needs_review") | F.coalesce(F.col("confidence") < REVIEW_BELOW, F.lit(False))
 
 
-def review_items(checks: DataFrame) -> DataFrame:
-    """Checks that need a person: so judged, or of low confidence; without a declaration the field is unknown."""
+def review_items(checks: DataFrame, declarations: DataFrame | None = None) -> DataFrame:
+    """Checks that need a person: so judged, or of low confidence; without a declaration the field is unknown.
+
+    With declarations (declaration_id, field_type, text), the field and value are those of the check's declaration_id.
+    """
     status = F.when(F.col("verdict") == "pass", "confirmed").otherwise("pending")
-    return checks.filter(_queued()).select("id", "inspection_id", F.coalesce("field_type", F.lit("unknown")).alias("field_type"), "verdict", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), status.alias("status"), "ord")
+    rows, value = checks.filter(_queued()), []
+    if declarations is not None:
+        said = declarations.select("declaration_id", F.col("field_type").alias("said_field"), F.col("text").alias("value"))
+        rows = rows.join(said, "declaration_id", "left").withColumn("field_type", F.col("said_field"))
+        value = ["value"]
+    return rows.select("id", "inspection_id", F.coalesce("field_type", F.lit("unknown")).alias("field_type"), "verdict", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), status.alias("status"), "ord", *value)
 
 
-def review_queue(checks: DataFrame, status: str) -> DataFrame:
-    """Items of one status, with how many there are and how many are pending in all."""
+def review_queue(checks: DataFrame, status: str, inspections: DataFrame | None = None, region: str | None = None) -> DataFrame:
+    """Items of one status, with how many there are and how many are pending in all; of one region's inspections
+    (id, region) only, if one is named."""
     items = review_items(checks)
-    totals = items.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "pending").alias("pending"))
+    if region is not None:
+        items = items.join(inspections.filter(F.col("region") == region).select(F.col("id").alias("inspection_id")), "inspection_id", "left_semi")
+    totals = items.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "pending").alias("pending"))  # one row
     return items.filter(F.col("status") == status).crossJoin(F.broadcast(totals))
 
 

@@ -28,14 +28,26 @@ def events(spark, sf):
     return au.audit_events(view(spark, sf, "requests_v"))
 
 
-@query(ITEMS + "SELECT id, inspection_id, field_type, verdict, confidence, status FROM it")
+@query(
+    with_views("checks_v", "declarations_v")
+    + """, said AS (SELECT concat_ws('-', inspection_id, CAST(ord AS VARCHAR)) AS declaration_id, max(field_type) AS f, max(text) AS value FROM declarations_v WHERE confidence >= 0.3 GROUP BY 1)
+SELECT id, inspection_id, coalesce(f, 'unknown') AS field_type, verdict, coalesce(confidence, 0) AS confidence, CASE WHEN verdict = 'pass' THEN 'confirmed' ELSE 'pending' END AS status, value
+FROM checks_v LEFT JOIN said ON said.declaration_id = concat_ws('-', inspection_id, CAST(ord AS VARCHAR)) WHERE verdict = 'needs_review' OR confidence < 0.7"""
+)
 def g1_review_items(spark, sf):
-    return re_.review_items(checks(spark, sf)).drop("ord")
+    """Checks with the declaration that they belong to, if it is sure enough to be kept."""
+    key = F.concat_ws("-", "inspection_id", F.col("ord").cast("string")).alias("declaration_id")
+    said = view(spark, sf, "declarations_v").filter("confidence >= 0.3").groupBy(key).agg(F.max("field_type").alias("field_type"), F.max("text").alias("text"))
+    return re_.review_items(checks(spark, sf).withColumn("declaration_id", key), said).drop("ord")
 
 
-@query(ITEMS + "SELECT id, status, (SELECT count(*) FROM it) AS total, (SELECT count(*) FROM it WHERE status = 'pending') AS pending FROM it WHERE status = 'confirmed'")
+@query(
+    with_views("checks_v", "inspections_v")
+    + """, it AS (SELECT id, CASE WHEN verdict = 'pass' THEN 'confirmed' ELSE 'pending' END AS status FROM checks_v WHERE (verdict = 'needs_review' OR confidence < 0.7) AND inspection_id IN (SELECT id FROM inspections_v WHERE region = 'ASIA'))
+SELECT id, status, (SELECT count(*) FROM it) AS total, (SELECT count(*) FROM it WHERE status = 'pending') AS pending FROM it WHERE status = 'confirmed'"""
+)
 def g2_review_queue(spark, sf):
-    return re_.review_queue(checks(spark, sf), "confirmed").select("id", "status", "total", "pending")
+    return re_.review_queue(checks(spark, sf), "confirmed", view(spark, sf, "inspections_v"), "ASIA").select("id", "status", "total", "pending")
 
 
 @query(ITEMS + "SELECT count(*) total, count(*) FILTER (WHERE status = 'pending') pending, count(*) FILTER (WHERE status = 'confirmed') confirmed, round(count(*) FILTER (WHERE status = 'pending') / count(*), 4) pending_ratio FROM it")
@@ -45,12 +57,12 @@ def g3_queue_summary(spark, sf):
 
 def _reviews(spark, sf):
     """Reviews of checks: one for each line, dated by its ship date."""
-    l = spark.read.parquet(f"{sf}/lineitem.parquet").filter("l_suppkey % 3 = 0")
+    l = spark.read.parquet(f"{sf}/lineitem.parquet")
     key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     return l.select(key.alias("check_id"), F.when(F.col("l_partkey") % 2 == 0, "confirm").otherwise("override").alias("kind"), F.when(F.col("l_partkey") % 5 == 0, "ok").otherwise("misread label").alias("reason"), F.col("l_quantity").cast("string").alias("corrected_value"), F.col("l_shipdate").alias("created_at"))
 
 
-_REVIEWS = ", rv AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) check_id, CASE WHEN l_partkey % 2 = 0 THEN 'confirm' ELSE 'override' END kind, CASE WHEN l_partkey % 5 = 0 THEN 'ok' ELSE 'misread label' END reason, l_shipdate FROM lineitem WHERE l_suppkey % 3 = 0), ok AS (SELECT check_id, max(kind) kind FROM rv WHERE kind = 'confirm' OR length(trim(reason)) >= 5 GROUP BY 1) "
+_REVIEWS = ", rv AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) check_id, CASE WHEN l_partkey % 2 = 0 THEN 'confirm' ELSE 'override' END kind, CASE WHEN l_partkey % 5 = 0 THEN 'ok' ELSE 'misread label' END reason, l_shipdate FROM lineitem), ok AS (SELECT check_id, max(kind) kind FROM rv WHERE kind = 'confirm' OR length(trim(reason)) >= 5 GROUP BY 1) "
 
 
 @query(CHECKS + _REVIEWS + "SELECT c.id, c.verdict AS verdict_before, CASE WHEN kind IS NOT NULL THEN 'pass' ELSE verdict END AS verdict, CASE WHEN kind IS NOT NULL THEN 1.0 ELSE confidence END AS confidence, coalesce(kind, 'none') AS review FROM checks_v c LEFT JOIN ok ON ok.check_id = c.id")

@@ -10,7 +10,8 @@ from ..sources import schemas
 from ..sources.adapters import view, with_views
 from .registry import inspected, query
 
-TODAY = "2025-01-01"
+#: The day on which the versions made of lines are looked at.
+PAST = "1996-06-01"
 _CASE = """list_contains(coalesce(product_categories, []), 'ALL') OR len(coalesce(product_categories, [])) = 0"""
 _MATCH = "category = c OR starts_with(category, c || ' >') OR contains(category, ' > ' || c || ' > ')"
 CHAIN = (
@@ -55,7 +56,6 @@ dec AS (SELECT *, CASE WHEN n_extracted < 3 THEN 'INSUFFICIENT_EVIDENCE' WHEN n_
  CASE WHEN n_extracted < 3 THEN 0 ELSE n_fail END AS n_violations FROM d)
 """
 )
-RULES = with_views("rules_v")
 _OPEN = "inspection_id NOT IN (SELECT inspection_id FROM dec WHERE overall_status = 'INSUFFICIENT_EVIDENCE')"
 
 
@@ -76,19 +76,6 @@ def open_verdicts(spark, sf):
     return co.open_verdicts(found, decisions(spark, sf, found))
 
 
-@query(RULES + "SELECT rule_version_id, rule_key, version, strftime(effective_date, '%Y-%m-%d') effective_date, is_published, field, validation_type, (SELECT count(*) FROM orders) AS n FROM rules_v")
-def a2_load_rules(spark, sf):
-    """The rules written as versions with JSON content, and parsed again."""
-    flat = view(spark, sf, "rules_v")
-    validation = F.when(F.col("validation_type").isNotNull(), F.struct(F.col("validation_type").alias("type"), "field", "pattern", "must_contain"))
-    content = F.to_json(F.struct(F.struct("product_categories", "exclude_categories", "package_type").alias("applies_when"), validation.alias("validation")))
-    rules = flat.select("rule_key").distinct().select(F.sha2("rule_key", 256).alias("id"), "rule_key", F.col("rule_key").alias("title"))
-    versions = flat.select(F.col("rule_version_id").alias("id"), F.sha2("rule_key", 256).alias("rule_id"), "version", content.alias("content"), "effective_date", "end_date", F.when(F.col("is_published"), F.lit("2020-01-01").cast("timestamp")).alias("published_at"))
-    n = spark.read.parquet(f"{sf}/orders.parquet").agg(F.count("*").alias("n"))
-    out = ru.load_rules(rules, versions).crossJoin(n)
-    return out.select("rule_version_id", "rule_key", "version", _day("effective_date"), "is_published", F.nullif(F.col("field"), F.lit("")).alias("field"), "validation_type", "n")
-
-
 @query(CHAIN + "SELECT id, rule_version_id, rule_order FROM app")
 def e1_applicable_rules(spark, sf):
     return ru.applicable_rules(inspected(spark, sf), view(spark, sf, "rules_v")).select("id", "rule_version_id", F.col("rule_order").cast("long").alias("rule_order"))
@@ -154,40 +141,50 @@ def e12_missing_declarations(spark, sf):
     return ru.missing_declarations(inspected(spark, sf), view(spark, sf, "rules_v"), view(spark, sf, "declarations_v"))
 
 
-# The rules are few, so each of these is taken with how many inspections a version meets.
-_COUNTED = CHAIN + ", n AS (SELECT rule_version_id, count(*) AS n FROM app GROUP BY 1) "
-_CURRENT = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rule_key ORDER BY effective_date DESC, version DESC, rule_version_id) rn FROM rules_v WHERE is_published AND (end_date IS NULL OR end_date >= DATE '{TODAY}')) WHERE rn = 1)"
+def _as_versions(spark, sf):
+    """Each part as a rule whose versions are its lines by ship date: for the interval operators at size."""
+    l = spark.read.parquet(f"{sf}/lineitem.parquet")
+    start = F.to_date("l_shipdate")
+    return l.select(F.col("l_partkey").cast("string").alias("rule_key"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").alias("rule_version_id"), F.col("l_linenumber").cast("int").alias("version"), start.alias("effective_date"), F.when(F.col("l_linestatus") == "F", F.date_add(start, 30)).alias("end_date"), (F.col("l_returnflag") != "R").alias("is_published")).dropDuplicates(["rule_version_id"])
+
+
+_VERSIONS = "WITH w AS (SELECT DISTINCT ON (rule_version_id) * FROM (SELECT CAST(l_partkey AS VARCHAR) rule_key, concat_ws('-', l_orderkey, l_linenumber, l_suppkey, l_partkey) rule_version_id, l_linenumber AS version, CAST(l_shipdate AS DATE) effective_date, CASE WHEN l_linestatus='F' THEN CAST(l_shipdate AS DATE) + 30 END end_date, l_returnflag <> 'R' is_published, l_partkey FROM lineitem)) "
 
 
-def _counted(spark, sf, rows):
-    n = ru.applicable_rules(inspected(spark, sf), view(spark, sf, "rules_v")).groupBy("rule_version_id").agg(F.count("*").alias("n"))
-    return rows.join(n, "rule_version_id", "left").fillna(0, ["n"])
+_CURRENT = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rule_key ORDER BY effective_date DESC, version DESC, rule_version_id) rn FROM w WHERE is_published AND (end_date IS NULL OR end_date >= DATE '{PAST}')) WHERE rn = 1)"
 
 
-@query(_COUNTED + f"SELECT c.rule_key, c.rule_version_id, c.version, coalesce(n, 0) n FROM {_CURRENT} c LEFT JOIN n USING (rule_version_id)")
+@query(
+    _VERSIONS
+    + """SELECT rule_version_id, rule_key, version, strftime(effective_date, '%Y-%m-%d') effective_date, is_published, CASE l_partkey % 3 WHEN 0 THEN 'mrp' WHEN 1 THEN 'needed' END AS field,
+ CASE l_partkey % 3 WHEN 0 THEN 'format_check' WHEN 1 THEN 'presence_only' END AS validation_type, CASE WHEN l_partkey % 3 = 0 THEN '^v' || rule_key END AS pattern FROM w"""
+)
+def a2_load_rules(spark, sf):
+    """Rules whose versions are lines, written as JSON content and parsed: with all of a validation, without its type, and without one."""
+    rows = _as_versions(spark, sf)
+    n = F.col("rule_key").cast("long") % 3
+    whole = F.to_json(F.struct(F.struct(F.lit("format_check").alias("type"), F.lit("mrp").alias("field"), F.concat(F.lit("^v"), "rule_key").alias("pattern")).alias("validation")))
+    typeless = F.lit('{"required_field": "needed", "validation": {"field": ""}}')
+    content = F.when(n == 0, whole).when(n == 1, typeless).otherwise(F.lit("{}"))
+    rules = rows.select("rule_key").distinct().select(F.sha2("rule_key", 256).alias("id"), "rule_key", F.col("rule_key").alias("title"))
+    versions = rows.select(F.col("rule_version_id").alias("id"), F.sha2("rule_key", 256).alias("rule_id"), "version", content.alias("content"), "effective_date", "end_date", F.when(F.col("is_published"), F.lit("2020-01-01").cast("timestamp")).alias("published_at"))
+    out = ru.load_rules(rules, versions)
+    return out.select("rule_version_id", "rule_key", "version", _day("effective_date"), "is_published", F.nullif(F.col("field"), F.lit("")).alias("field"), "validation_type", "pattern")
+
+
+@query(_VERSIONS + f"SELECT rule_key, rule_version_id, version, strftime(effective_date, '%Y-%m-%d') effective_date FROM {_CURRENT}")
 def e13_current_version(spark, sf):
-    return _counted(spark, sf, ru.current_version(view(spark, sf, "rules_v"), TODAY)).select("rule_key", "rule_version_id", "version", "n")
+    return ru.current_version(_as_versions(spark, sf), PAST).select("rule_key", "rule_version_id", "version", _day("effective_date"))
 
 
-@query(_COUNTED + f"SELECT c.rule_key, c.rule_version_id, coalesce(n, 0) n FROM (SELECT * FROM {_CURRENT} WHERE rule_key ILIKE '%a%' AND effective_date >= DATE '2020-01-01' ORDER BY rule_key LIMIT 4 OFFSET 0) c LEFT JOIN n USING (rule_version_id)")
+@query(_VERSIONS + f"SELECT rule_key, rule_version_id FROM {_CURRENT} WHERE rule_key ILIKE '%1%' AND effective_date >= DATE '1995-01-01' ORDER BY rule_key LIMIT 20 OFFSET 20")
 def e14_list_rules(spark, sf):
-    return _counted(spark, sf, ru.list_rules(view(spark, sf, "rules_v"), TODAY, like="a", after="2020-01-01", page=1, page_size=4)).select("rule_key", "rule_version_id", "n")
+    return ru.list_rules(_as_versions(spark, sf), PAST, like="1", after="1995-01-01", page=2, page_size=20).select("rule_key", "rule_version_id")
 
 
-@query(CHAIN + "SELECT d.*, n.n FROM (SELECT rule_key, string_agg(CAST(version AS VARCHAR), ',' ORDER BY version) versions, count(*) FILTER (WHERE is_published) n_published, min(version) FILTER (WHERE is_published) current_version FROM rules_v GROUP BY 1) d LEFT JOIN (SELECT rule_key, count(*) n FROM app GROUP BY 1) n USING (rule_key)")
+@query(_VERSIONS + "SELECT rule_key, string_agg(CAST(version AS VARCHAR), ',' ORDER BY version) versions, count(*) FILTER (WHERE is_published) n_published, min(version) FILTER (WHERE is_published) current_version FROM w GROUP BY 1")
 def e15_rule_detail(spark, sf):
-    n = ru.applicable_rules(inspected(spark, sf), view(spark, sf, "rules_v")).groupBy("rule_key").agg(F.count("*").alias("n"))
-    return ru.rule_detail(view(spark, sf, "rules_v")).join(n, "rule_key", "left")
-
-
-def _as_versions(spark, sf):
-    """Each part as a rule whose versions are its lines by ship date: for the interval operators at size."""
-    l = spark.read.parquet(f"{sf}/lineitem.parquet")
-    start = F.to_date("l_shipdate")
-    return l.select(F.col("l_partkey").cast("string").alias("rule_key"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").alias("rule_version_id"), F.col("l_linenumber").cast("int").alias("version"), start.alias("effective_date"), F.when(F.col("l_linestatus") == "F", F.date_add(start, 30)).alias("end_date"), (F.col("l_returnflag") != "R").alias("is_published")).dropDuplicates(["rule_version_id"])
-
-
-_VERSIONS = "WITH w AS (SELECT DISTINCT ON (rule_version_id) * FROM (SELECT CAST(l_partkey AS VARCHAR) rule_key, concat_ws('-', l_orderkey, l_linenumber, l_suppkey, l_partkey) rule_version_id, l_linenumber AS version, CAST(l_shipdate AS DATE) effective_date, CASE WHEN l_linestatus='F' THEN CAST(l_shipdate AS DATE) + 30 END end_date, l_returnflag <> 'R' is_published, l_partkey FROM lineitem)) "
+    return ru.rule_detail(_as_versions(spark, sf))
 
 
 @query(_VERSIONS + ", x AS (SELECT rule_key, rule_version_id, effective_date, coalesce(end_date, DATE '9999-12-31') AS last FROM w WHERE is_published) SELECT a.rule_key, count(*) AS n FROM x a JOIN x b ON a.rule_key = b.rule_key AND a.rule_version_id < b.rule_version_id AND a.effective_date <= b.last AND a.last >= b.effective_date GROUP BY 1")
@@ -273,9 +270,11 @@ _LATEST = "(SELECT inspection_id, CAST(arg_max(id, uploaded_at) AS BIGINT) image
 IMAGES = CHAIN + ", images_v AS (SELECT doc_id id, CAST(doc_id AS VARCHAR) inspection_id, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(CAST(doc_id AS BIGINT)) uploaded_at FROM documents) "
 
 
-@query(IMAGES + f"SELECT f.inspection_id, f.rule_version_id, image_id FROM f JOIN {_LATEST} USING (inspection_id) WHERE verdict = 'FAIL' AND {_OPEN}")
+@query(IMAGES + f"SELECT f.inspection_id, f.rule_version_id, image_id, count(*) OVER (PARTITION BY f.inspection_id) AS n_evidence FROM f JOIN {_LATEST} USING (inspection_id) WHERE verdict = 'FAIL' AND {_OPEN}")
 def f12_evidence(spark, sf):
-    return co.evidence(co.violations(open_verdicts(spark, sf)), view(spark, sf, "images_v")).drop("id")
+    """Evidence rows, each with how many its inspection has."""
+    shown = co.evidence(co.violations(open_verdicts(spark, sf)), view(spark, sf, "images_v")).drop("id")
+    return shown.join(co.evidence_counts(shown), "inspection_id")
 
 
 @query("SELECT doc_id AS id, doc_id % 100 / 100.0 < 0.7 AS low, CASE WHEN doc_id % 100 / 100.0 < 0.7 THEN printf('Low image quality: %.2f', CAST(doc_id % 100 / 100.0 AS DOUBLE)) END AS warning FROM documents")
