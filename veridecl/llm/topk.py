@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from .shared import materialize
 
-#: Pivots of the Voronoi cells at most, and bytes of the vectors whose scores give a query its first bound: distinct
-#: vectors with the smallest hashes.
-PIVOTS, WITNESS_BYTES = 64, 4 << 20
+#: Pivots of the Voronoi cells: a quarter of the square root of the number of vectors, between these. At most MOST_PIVOTS
+#: vectors and summaries of cells come to the driver.
+LEAST_PIVOTS, MOST_PIVOTS = 64, 1024
+#: Bytes of the vectors whose scores give a query its first bound: distinct vectors with the smallest hashes.
+WITNESS_BYTES = 4 << 20
 #: Queries of one group at most, and about how many distinct vectors meet them in one task.
 GROUP, SLOT = 4096, 16_384
 _LIMIT = float(1 << 52)
@@ -103,7 +105,7 @@ def _bounds(pivots: np.ndarray, radii: np.ndarray, witnesses: list, k: int):
     return run
 
 
-def _solve(k: int):
+def _solve(k: int, pivots: int):
     """The k best of one slot of data for every query of one group, over the cells that the query wants."""
 
     def run(asked: pa.Table, data: pa.Table) -> pa.Table:
@@ -113,7 +115,7 @@ def _solve(k: int):
             one = lambda t, c: t.column(c).chunk(0)
             q, x = _matrix(one(asked, "v")), _matrix(one(data, "v"))
             query_ids, floors = one(asked, "vec_id").to_pylist(), one(asked, "floor").to_numpy()
-            wanted = np.zeros((len(q), PIVOTS), bool)
+            wanted = np.zeros((len(q), pivots), bool)
             for line, cells in zip(wanted, one(asked, "wanted").to_pylist()):
                 line[cells] = True
             members, cells = one(data, "ids").to_pylist(), one(data, "cell").to_numpy()
@@ -137,12 +139,20 @@ def _solve(k: int):
 def _top_k_of_length(data: DataFrame, asked: DataFrame, length: int, k: int) -> DataFrame:
     least = data.mapInArrow(_least_ids(k + 1), "v array<double>, ids array<long>").groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
     distinct = materialize(least, "vectors")
-    first = distinct.orderBy(F.xxhash64("v"), "v").limit(max(PIVOTS, min(1024, WITNESS_BYTES // (8 * length)))).collect()
-    pivots = np.array([r["v"] for r in first[:PIVOTS]], np.float64)
+    many = min(MOST_PIVOTS, max(LEAST_PIVOTS, int(distinct.count() ** 0.5 / 4)))
+    first = distinct.orderBy(F.xxhash64("v"), "v").limit(max(many, min(1024, WITNESS_BYTES // (8 * length)))).collect()
+    pivots = np.array([r["v"] for r in first[:many]], np.float64)
     cells = materialize(distinct.mapInArrow(_cells(pivots), "v array<double>, ids array<long>, cell int, away double"), "cells")
     summary = {r["cell"]: r for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()}  # one row a pivot
     radii = np.array([summary[c]["radius"] if c in summary else 0.0 for c in range(len(pivots))])
-    slots = max(1, -(-sum(r["n"] for r in summary.values()) // SLOT))
+    # data go to tasks by units: small cells together, large ones in several slots
+    unit, filled, unit_of, slots = 0, 0, {}, {}
+    for cell in sorted(summary, key=lambda c: float(pivots[c] @ pivots[0])):  # like cells next to each other
+        if filled and filled + summary[cell]["n"] > SLOT:
+            unit, filled = unit + 1, 0
+        unit_of[cell], filled = unit, filled + summary[cell]["n"]
+        slots[unit] = -(-filled // SLOT)
+    number = lambda table: F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
 
     placed = asked.mapInArrow(_cells(pivots), "vec_id long, v array<double>, cell int, away double").drop("away")
     placed = materialize(placed.mapInArrow(_bounds(pivots, radii, first, k), "vec_id long, v array<double>, cell int, floor long, wanted array<int>"), "queries")
@@ -156,14 +166,16 @@ def _top_k_of_length(data: DataFrame, asked: DataFrame, length: int, k: int) ->
         group, filled = (group + split, 0) if split > 1 else (group, filled + sizes[cell])
     if not groups:
         return asked.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    table = F.create_map(*[F.lit(x) for c, (g, _) in groups.items() for x in (c, g)])
-    splits = F.create_map(*[F.lit(x) for c, (_, n) in groups.items() for x in (c, n)])
+    table, splits = number({c: g for c, (g, _) in groups.items()}), number({c: n for c, (_, n) in groups.items()})
     placed = placed.withColumn("g", (table[F.col("cell")] + F.pmod(F.xxhash64("vec_id"), splits[F.col("cell")])).cast("int")).drop("cell")
 
+    # a query goes only to the units that hold a cell that it wants, and a cell only to groups that want it
+    units, sizes = number(unit_of), number(slots)
     need = placed.select((F.col("g") + 0).alias("to"), F.explode("wanted").alias("cell")).distinct()
-    sent = cells.select("v", "ids", "cell", F.pmod(F.xxhash64("v", F.lit(7)), F.lit(slots)).cast("int").alias("at")).join(need, "cell")
-    spread = placed.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    found = spread.groupBy("g", "slot").cogroup(sent.groupBy("to", "at")).applyInArrow(_solve(k), "query_id long, vec_id long, score long")
+    sent = cells.withColumn("unit", units[F.col("cell")]).select("v", "ids", "cell", "unit", F.pmod(F.xxhash64("v", F.lit(7)), sizes[F.col("unit")]).cast("int").alias("at")).join(need, "cell")
+    spread = placed.withColumn("unit", F.explode(F.array_distinct(F.transform("wanted", lambda c: units[c]))))
+    spread = spread.withColumn("slot", F.explode(F.sequence(F.lit(0), sizes[F.col("unit")] - 1)))
+    found = spread.groupBy("g", "unit", "slot").cogroup(sent.groupBy("to", "unit", "at")).applyInArrow(_solve(k, len(pivots)), "query_id long, vec_id long, score long")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")
