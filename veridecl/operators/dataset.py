@@ -68,13 +68,26 @@ def image_entries(boxes: DataFrame) -> DataFrame:
 
 
 def split_train_val(entries: DataFrame, share: float = 0.2, seed: int = 42) -> DataFrame:
-    """Every image to train or val; val takes the share of all, from the strict pool only, at least one if there is any,
-    by a hash with a seed. The number of images that go to val is found first, so only those are ordered."""
-    counts = entries.agg(F.count("*").alias("n"), F.count_if("strict").alias("s"))
-    n, s = counts.first()
-    most = min(max(1, int(n * share)), s)
-    val = entries.filter("strict").orderBy(F.xxhash64(F.lit(seed), "image_id"), "image_id").limit(most).select("image_id", F.lit(True).alias("v"))
-    return entries.join(val, "image_id", "left").withColumn("split", F.when(F.col("v"), "val").otherwise("train")).drop("v")
+    """Every image to train or val; val takes the share of all, from the strict pool only, at least one if there is any:
+    those of the smallest hashes with a seed.
+
+    The first 16 bits of the hashes are counted to find where the share ends (at most 65,536 counts come to the driver);
+    only the images of that one range are ordered.
+    """
+    h = F.xxhash64(F.lit(seed), "image_id")
+    ranged = entries.withColumn("range", F.shiftright(h, 48))
+    counts = ranged.groupBy("range").agg(F.count("*").alias("n"), F.count_if("strict").alias("s")).orderBy("range").collect()
+    left = min(max(1, int(sum(r["n"] for r in counts) * share)), sum(r["s"] for r in counts))
+    cut = None
+    for row in counts:
+        cut = row["range"]
+        if row["s"] >= left:
+            break
+        left -= row["s"]
+    last = ranged.filter(F.col("strict") & (F.col("range") == F.lit(cut))).orderBy(h, "image_id").limit(left).select("image_id", F.lit(True).alias("v"))
+    before = F.col("strict") & (F.col("range") < F.lit(cut))
+    rows = ranged.join(last, "image_id", "left")
+    return rows.withColumn("split", F.when(before | F.col("v"), "val").otherwise("train")).drop("v", "range")
 
 
 def annotation_summary(entries: DataFrame, reasons: DataFrame) -> DataFrame:
@@ -121,8 +134,8 @@ def match_predictions(predictions: DataFrame, truth: DataFrame, least: float = 0
 def average_precision(matches: DataFrame, truth: DataFrame, chunks: int = 1000) -> DataFrame:
     """Per class the area under the envelope of precision over recall; null without truth.
 
-    The curve of a class has a point for each prediction, by falling confidence, image and seq. No window holds a whole
-    class: predictions are cut into ``chunks`` ranges of confidence, numbered inside, and shifted by the counts of the
+    The curve of a class has a point for each prediction, by falling confidence, image and seq. Windows hold what falls
+    into one range of confidence, a whole class only if all its predictions are that much alike: predictions are cut into ``chunks`` ranges of confidence, numbered inside, and shifted by the counts of the
     ranges before; the envelope is the best precision further on in the range or in the ranges after.
     """
     range_ = F.coalesce(F.floor(F.col("confidence") * -chunks), F.lit(1 << 40)).alias("chunk")
