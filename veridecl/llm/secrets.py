@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,35 +34,26 @@ def _kind_value(values: dict, kind: Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[kind]
 
 
-def _pieces(kind: str) -> Column:
-    """Of a text with matches of one kind: for each match, the characters before it since the last one, its length and
-    that of the group that counts; null without a match.
+def _matches(texts: DataFrame, kind: str) -> DataFrame:
+    """Rows (digest, kind, start, end) of the non-overlapping matches of one kind, from the left, in code points.
 
     A split at the pattern gives what lies between the matches, so that a match starts where the lengths of all before
-    it add up.
+    it add up. Only texts with a match are split; equal texts count once. Each kind has its own scan, with a filter that
+    is compiled: one scan that looks for all kinds takes half as long again.
     """
     pattern = DIRECT.get(kind) or (BASE[kind][0] if kind in BASE else WEAK[kind])
     group = BASE[kind][1] if kind in BASE else 0
+    least = BASE[kind][2] if kind in BASE else 0
     text, regex = F.col("text"), F.lit(pattern)
     lengths = lambda values: F.transform(values, F.length)
     found = F.arrays_zip(
         lengths(F.split(text, pattern, -1)).alias("gap"), lengths(F.regexp_extract_all(text, regex, F.lit(0))).alias("all"), lengths(F.regexp_extract_all(text, regex, F.lit(group))).alias("part")
     )
-    return F.when(text.rlike(pattern), F.struct(F.lit(kind).alias("kind"), found.alias("found")))
-
-
-def _matches(texts: DataFrame) -> DataFrame:
-    """Rows (digest, kind, start, end) of the non-overlapping matches of each kind, from the left, in code points.
-
-    One scan looks for all kinds; only texts with a match of a kind are split by it, and equal texts count once.
-    """
-    each = texts.select("digest", F.explode(F.array_compact(F.array(*map(_pieces, RANK)))).alias("x"))
-    rows = each.select("digest", F.col("x.kind").alias("kind"), F.posexplode("x.found").alias("n", "m"))
-    rows = rows.select("digest", "kind", "n", "m.gap", "m.all", "m.part").filter("all is not null").dropDuplicates(["digest", "kind", "n"])
-    before = W.partitionBy("digest", "kind").orderBy("n").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = texts.filter(text.rlike(pattern)).select("digest", F.posexplode(found).alias("n", "m"))
+    rows = rows.select("digest", "n", "m.gap", "m.all", "m.part").filter("all is not null").dropDuplicates(["digest", "n"])
+    before = W.partitionBy("digest").orderBy("n").rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("all")).over(before))
-    least = F.coalesce(_kind_value({k: n for k, (_, _, n) in BASE.items()}, F.col("kind")), F.lit(0))
-    return rows.filter(F.col("part") >= least).select("digest", "kind", (F.col("end") - F.col("all")).alias("start"), "end")
+    return rows.filter(F.col("part") >= least).select("digest", F.lit(kind).alias("kind"), (F.col("end") - F.col("all")).alias("start"), "end")
 
 
 def _outside_base(parts: DataFrame) -> DataFrame:
@@ -100,7 +93,8 @@ def secret_spans(documents: DataFrame) -> DataFrame:
     stands for them, beside other parts too.
     """
     texts = documents.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("digest", F.sha2("text", 256))
-    parts = _outside_base(_matches(texts))
+    found = [_matches(texts, kind) for kind in RANK]
+    parts = _outside_base(functools.reduce(DataFrame.unionByName, found))
     base = F.col("kind").isin(*BASE)
     weak = _linked(parts)
     return parts.filter(base).withColumn("base", F.lit(True)).unionByName(weak.withColumn("base", F.lit(False)))
