@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .components import connected_components
-from .shared import materialize
+from .shared import materialize, passing_tables
 
 TextsOf = Callable[[DataFrame], DataFrame]
 
@@ -258,12 +258,18 @@ def _joined(left: DataFrame, groups: DataFrame, links: DataFrame) -> tuple[DataF
 
 
 def linked_groups(profile: DataFrame, texts_of: TextsOf, *, shingle: int, percent: int, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
-    """Classes (f1, f2, rep) of texts with equal sets, and components (node, component) of linked ones.
+    """Classes (f1, f2, rep) of texts with equal sets, and components (node, component) of linked ones, a table of its own.
 
     profile: a written table of PROFILE rows. texts_of: of rows (doc_id), those ids' texts as rows (doc_id, text).
     """
+    classes = profile.filter("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
+    with passing_tables():
+        groups = _groups(profile, classes, texts_of, shingle, percent, scheme)
+        return classes, materialize(groups.select("node", "component"), "components", lasting=True)
+
+
+def _groups(profile: DataFrame, classes: DataFrame, texts_of: TextsOf, shingle: int, percent: int, scheme: Scheme) -> DataFrame:
     usable = profile.filter("n_shingles > 0 and doc_id is not null")
-    classes = usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
     reps = usable.join(classes.withColumnRenamed("rep", "doc_id"), ["f1", "f2", "doc_id"], "left_semi")
     reps = reps.select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "signature").dropDuplicates(["rep", "bands"])
     reps = materialize(reps, "reps")
@@ -282,12 +288,12 @@ def linked_groups(profile: DataFrame, texts_of: TextsOf, *, shingle: int, percen
     placed = placed.select("bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("c"))
     left = materialize(_still_open(placed), "open")
     if left.isEmpty():
-        return classes, groups
+        return groups
     common = _in_common(texts.join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle)
     left = left.join(common, "rep").filter(f"100 * common >= {percent} * n_shingles")
     left = materialize(_still_open(left), "common")
     if left.isEmpty():
-        return classes, groups
+        return groups
     plain = _centres(left).filter("c <> cz").select(F.least("rep", "z").alias("a"), F.greatest("rep", "z").alias("b")).distinct()
     more = plain.join(pairs, ["a", "b"], "left_anti")
     second = materialize(_confirm(more, reps, texts, shingle, percent, scheme.slack), "second")
@@ -295,7 +301,7 @@ def linked_groups(profile: DataFrame, texts_of: TextsOf, *, shingle: int, percen
     late = _possible(_still_open(left), texts, shingle, percent)
     late = materialize(_confirm(late, reps, texts, shingle, percent, scheme.slack), "late")
     _, groups = _joined(left, groups, late)
-    return classes, groups
+    return groups
 
 
 def _texts_of(docs: DataFrame) -> TextsOf:

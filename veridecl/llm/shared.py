@@ -9,6 +9,9 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,12 +31,33 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a Parquet table in the shared folder, and read again."""
+_tables: ContextVar[list[DataFrame] | None] = ContextVar("tables", default=None)
+
+
+def materialize(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+    """``df`` written as a Parquet table in the shared folder, and read again.
+
+    Inside passing_tables() it goes at the end, unless it is ``lasting``.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    if not lasting and _tables.get() is not None:
+        _tables.get().append(table)
+    return table
+
+
+@contextmanager
+def passing_tables() -> Iterator[None]:
+    """Deletes the tables that materialize() makes inside, but for lasting ones: what is returned must rest on those."""
+    token = _tables.set([])
+    try:
+        yield
+    finally:
+        for table in _tables.get():
+            forget(table)
+        _tables.reset(token)
 
 
 def forget(df: DataFrame) -> None:
