@@ -323,7 +323,7 @@ def l6_due_reports(spark, sf):
     return due_reports(orders, "1998-01-01 00:00:00").select("id", "new_status")
 
 
-@query()
+@query(with_views("inspections_v") + "SELECT overall_status, region, count(*) AS n FROM inspections_v GROUP BY ALL")
 def a1_load(spark, sf):
     """Inspections written as the typed entity and scanned again."""
     import uuid
