@@ -109,7 +109,16 @@ def k3_merge_proposals(spark, sf):
     return ds.merge_proposals(*_models(spark, sf)).drop("confidence")
 
 
-@query()
+@query(
+    BOXES
+    + """, p AS (SELECT * FROM boxes_v WHERE class_name = 'package' QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY confidence DESC, seq) = 1), q AS (SELECT * FROM p WHERE confidence >= 0.5),
+k AS (SELECT o_orderkey AS image_id, coalesce(x1, 0) px1, coalesce(y1, 0) py1, coalesce(x2, 120) px2, coalesce(y2, 100) py2 FROM orders LEFT JOIN q ON o_orderkey = image_id),
+c AS (SELECT b.*, b.seq % 2 AS source FROM boxes_v b JOIN k USING (image_id) WHERE class_name = 'label' AND x2 - x1 >= 12 AND y2 - y1 >= 12 AND (x1 + x2) / 2 BETWEEN px1 AND px2 AND (y1 + y2) / 2 BETWEEN py1 AND py2),
+l AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY source, confidence DESC, seq) = 1),
+m AS (SELECT k.*, CAST(0.19 AS DOUBLE) a, CAST(0.18 AS DOUBLE) b, CAST(0.81 AS DOUBLE) c, CAST(0.78 AS DOUBLE) d, px2 - px1 AS w, py2 - py1 AS h FROM k)
+SELECT m.image_id, CASE WHEN l.image_id IS NULL THEN 'central' WHEN source = 0 THEN 'first' ELSE 'second' END AS origin, CAST(coalesce(x1, floor(px1 + w * a)) AS INT) x1, CAST(coalesce(y1, floor(py1 + h * b)) AS INT) y1,
+ CAST(coalesce(x2, floor(px1 + w * m.c)) AS INT) x2, CAST(coalesce(y2, floor(py1 + h * d)) AS INT) y2 FROM m LEFT JOIN l USING (image_id)"""
+)
 def k4_choose_label(spark, sf):
     labels = boxes(spark, sf).filter("class_name = 'label'")
     return ds.choose_label(ge.package_boxes(images(spark, sf), boxes(spark, sf)), labels.filter("seq % 2 = 0"), labels.filter("seq % 2 = 1"))
