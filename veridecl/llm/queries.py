@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, near_dedup, packing, secrets, substring_dedup, suffix_dedup, topk, toxicity, url_filter
+from . import chat, decontaminate, near_dedup, packing, periodic, secrets, sharding, substring_dedup, suffix_dedup, topk, toxicity, url_filter, variants
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,8 +63,20 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(_table(spark, sf_dir, "documents"), 16)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(_table(spark, sf_dir, "documents"), drop=True)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(_table(spark, sf_dir, "documents"), plant=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_suffix_dedup, op2_url_filter, op3_decontaminate, op4_top_k, op5_substring_dedup, op6_secrets, op7_chat_format, op8_packing, op9_toxicity, op10_near_dedup)
+    found = (op1_suffix_dedup, op2_url_filter, op3_decontaminate, op4_top_k, op5_substring_dedup, op6_secrets, op7_chat_format, op8_packing, op9_toxicity, op10_near_dedup, op11_sharding, op12_spelling_variants, op13_periodic_runs)
     return {query.__name__: query for query in found}
 
 
