@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from dataclasses import dataclass
+
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, StringIndexer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Category keys and the paths they stand for.
@@ -55,38 +56,108 @@ def char_ngrams(text: Column, low: int = 2, high: int = 4) -> Column:
     return F.flatten(F.transform(padded, lambda w: F.flatten(F.array(*[grams(w, n) for n in range(low, high + 1)]))))
 
 
-def char_ngram_tfidf(rows: DataFrame, vocabulary: int = 5000) -> DataFrame:
-    """Rows (id, gram, weight): 1 + ln(tf) times ln((1 + n) / (1 + df)) + 1, of length 1 for each id.
+def gram_counts(rows: DataFrame) -> DataFrame:
+    """How often each gram stands in each text of rows (id, text): id, gram, n."""
+    return rows.select("id", F.explode(char_ngrams(F.col("text"))).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("n"))
 
-    Only the ``vocabulary`` grams that stand most often in all texts count; of equally frequent ones the first in order.
-    """
-    grams = rows.select("id", F.explode(char_ngrams(F.col("text"))).alias("gram"))
-    counts = grams.groupBy("id", "gram").agg(F.count("*").alias("n"))
+
+def known_grams(rows: DataFrame, counts: DataFrame, vocabulary: int) -> DataFrame:
+    """The ``vocabulary`` grams that stand most often in all texts (of equally frequent ones the first in order), with
+    idf: ln((1 + texts) / (1 + texts with it)) + 1."""
     known = counts.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "gram").limit(vocabulary)
     texts = rows.agg(F.count("*").alias("texts"))  # one row
-    df = known.crossJoin(F.broadcast(texts)).select("gram", (F.log((1 + F.col("texts")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = counts.join(F.broadcast(df), "gram").select("id", "gram", ((F.log("n") + 1) * F.col("idf")).alias("w"))  # vocabulary rows at most
+    return known.crossJoin(F.broadcast(texts)).select("gram", (F.log((1 + F.col("texts")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def gram_weights(counts: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows (id, gram, weight): 1 + ln(n) times idf, of length 1 for each id. known is broadcast: a vocabulary at most."""
+    raw = counts.join(F.broadcast(known), "gram").withColumn("w", (F.log("n") + 1) * F.col("idf"))
     norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norm, "id").select("id", "gram", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def train_classifier(labelled: DataFrame, vocabulary: int = 5000) -> PipelineModel:
-    """A model from rows (text, label); at most MOST_LABELLED of them, by a hash of the text."""
-    rows = labelled.orderBy(F.xxhash64("text"), "text", "label").limit(MOST_LABELLED).withColumn("grams", char_ngrams(F.col("text")))
-    stages = [
-        StringIndexer(inputCol="label", outputCol="y", handleInvalid="keep"), CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=vocabulary), IDF(inputCol="tf", outputCol="raw"), Normalizer(inputCol="raw", outputCol="features"),
-        LogisticRegression(featuresCol="features", labelCol="y", family="multinomial", maxIter=50, regParam=0.001),
-    ]
-    return Pipeline(stages=stages).fit(rows)
+def char_ngram_tfidf(rows: DataFrame, vocabulary: int = 5000) -> DataFrame:
+    """Rows (id, gram, weight): 1 + ln(tf) times ln((1 + n) / (1 + df)) + 1, of length 1 for each id.
+
+    Only the ``vocabulary`` grams that stand most often in all texts count; of equally frequent ones the first in order.
+    """
+    counts = gram_counts(rows)
+    return gram_weights(counts, known_grams(rows, counts, vocabulary))
+
+
+@dataclass(frozen=True)
+class NameModel:
+    """A linear model over the weights of char_ngram_tfidf(): for each known gram its idf and a weight for each label,
+    and an intercept for each label. A vocabulary of rows at most, so it is held by the driver and broadcast."""
+
+    labels: list[str]
+    intercepts: list[float]
+    grams: list[tuple[str, float, list[float]]]
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        spark.createDataFrame(self.grams, _GRAMS).coalesce(1).write.mode("overwrite").parquet(f"{path}/grams")
+        spark.createDataFrame(list(zip(range(len(self.labels)), self.labels, self.intercepts)), _LABELS).coalesce(1).write.mode("overwrite").parquet(f"{path}/labels")
+
 
+_GRAMS, _LABELS = "gram string, idf double, weights array<double>", "n int, label string, intercept double"
 
-def classify(rows: DataFrame, model: PipelineModel) -> DataFrame:
-    """Rows with label and confidence; an empty text is other_uncategorized at 0."""
-    stages = PipelineModel(model.stages[1:])
-    names = F.array(*map(F.lit, [*model.stages[0].labels, "other_uncategorized"]))
-    scored = stages.transform(rows.withColumn("grams", char_ngrams(F.coalesce("text", F.lit(""))))).withColumn("p", vector_to_array("probability"))
+
+def load_model(spark: SparkSession, path: str) -> NameModel:
+    """A model that save() wrote."""
+    labels = spark.read.parquet(f"{path}/labels").orderBy("n").collect()
+    grams = spark.read.parquet(f"{path}/grams").orderBy("gram").collect()
+    return NameModel([r["label"] for r in labels], [r["intercept"] for r in labels], [(r["gram"], r["idf"], list(r["weights"])) for r in grams])
+
+
+def train_classifier(labelled: DataFrame, vocabulary: int = 5000, most: int = MOST_LABELLED) -> NameModel:
+    """A multinomial logistic regression on the weights of char_ngram_tfidf(), from rows (text, label).
+
+    It is fitted on at most ``most`` rows, those first by a hash of the text, and the vocabulary and idf are those of
+    the same rows. Rows without a label are left out; a null text has no grams.
+    """
+    order = [F.xxhash64("text"), F.col("text"), F.col("label")]
+    rows = labelled.filter("label is not null").select(F.coalesce("text", F.lit("")).alias("text"), "label").orderBy(*order).limit(most)
+    rows = rows.withColumn("id", F.row_number().over(W.orderBy(*order))).persist()  # most rows, by one task
+    try:
+        labels = sorted(r["label"] for r in rows.select("label").distinct().collect())
+        counts = gram_counts(rows)
+        known = sorted(map(tuple, known_grams(rows, counts, vocabulary).collect()))
+        if not known or len(labels) < 2:
+            return NameModel(labels, [0.0] * len(labels), [(gram, idf, [0.0] * len(labels)) for gram, idf in known])
+        spark = labelled.sparkSession
+        place = spark.createDataFrame([(k, *row) for k, row in enumerate(known)], "k int, gram string, idf double")
+        cells = gram_weights(counts, place).join(F.broadcast(place.select("gram", "k")), "gram").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "weight"))).alias("cells"))
+        size = len(known)
+        vector = F.udf(lambda cells: Vectors.sparse(size, [(c[0], c[1]) for c in cells or []]), VectorUDT())  # at most ``most`` rows
+        number = (F.array_position(F.array(*map(F.lit, labels)), F.col("label")) - 1).cast("double")
+        fitted = LogisticRegression(family="multinomial", maxIter=50, regParam=0.001).fit(rows.join(cells, "id", "left").select(number.alias("label"), vector("cells").alias("features")))
+        weights = fitted.coefficientMatrix.toArray()
+        return NameModel(labels, [float(x) for x in fitted.interceptVector.toArray()], [(gram, idf, [float(x) for x in weights[:, k]]) for k, (gram, idf) in enumerate(known)])
+    finally:
+        rows.unpersist()
+
+
+def classify(rows: DataFrame, model: NameModel, key: str = "id") -> DataFrame:
+    """Rows with label and confidence, the greatest probability; an empty text is other_uncategorized at 0.
+
+    ``key`` is unique among the rows; of equal probabilities the first label counts. Grams meet the broadcast model, and
+    each text's are added up again: where rows are already dealt by the key, nothing is shuffled.
+    """
+    spark = rows.sparkSession
     blank = F.trim(F.coalesce("text", F.lit(""))) == ""
-    return scored.withColumn("label", F.when(blank, "other_uncategorized").otherwise(F.get(names, F.col("prediction").cast("int")))).withColumn("confidence", F.when(blank, 0.0).otherwise(F.array_max("p"))).select(*rows.columns, "label", "confidence")
+    if not model.labels:
+        return rows.withColumn("label", F.lit("other_uncategorized")).withColumn("confidence", F.lit(0.0))
+    grams = rows.select(F.col(key).alias("__id"), F.explode_outer(char_ngrams(F.coalesce("text", F.lit("")))).alias("gram"))
+    counts = grams.groupBy("__id", "gram").agg(F.count("*").alias("n"))
+    met = counts.join(F.broadcast(spark.createDataFrame(model.grams, _GRAMS)), "gram", "left").withColumn("x", (F.log("n") + 1) * F.col("idf"))
+    some = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    sums = met.groupBy("__id").agg(F.sqrt(some(F.col("x") * F.col("x"))).alias("norm"), *[some(F.col("x") * F.col("weights")[k]).alias(f"s{k}") for k in range(len(model.labels))])
+    norm = F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0)
+    scored = sums.select("__id", F.array(*[F.col(f"s{k}") / norm + F.lit(b) for k, b in enumerate(model.intercepts)]).alias("z"))
+    scored = scored.select("__id", F.array_position("z", F.array_max("z")).cast("int").alias("best"), (1 / F.aggregate(F.transform("z", lambda z: F.exp(z - F.array_max("z"))), F.lit(0.0), lambda a, x: a + x)).alias("sure"))
+    out = rows.join(scored, F.col(key) == F.col("__id"), "left")
+    label = F.get(F.array(*map(F.lit, model.labels)), F.col("best") - 1)
+    return out.select(*rows.columns, F.when(blank, "other_uncategorized").otherwise(label).alias("label"), F.when(blank, 0.0).otherwise(F.col("sure")).alias("confidence"))
 
 
 def route_category(rows: DataFrame) -> DataFrame:

@@ -134,6 +134,37 @@ def evidence_counts(shown: DataFrame) -> DataFrame:
     return shown.groupBy("inspection_id").agg(F.count("*").alias("n_evidence"))
 
 
+def outcomes(inspections: DataFrame, verdicts: DataFrame, declarations: DataFrame, images: DataFrame) -> DataFrame:
+    """One nested row for each inspection: the decision, the counts that it rests on, and all that follows from it.
+
+    Returns inspection_id, overall_status, status_reason, n_extracted, n_pass, n_fail, n_na, image_id, and arrays by
+    rule_version_id: checks (id, rule_version_id, field_type, verdict, confidence), violations (rule_version_id, rule_key,
+    field, severity, issue_description, detected_value, compliance_check_id) and evidence (rule_version_id, image_id, id).
+
+    Verdicts are gathered by inspection once, and everything is read off that one array; decisions that don't rest on
+    verdicts (HELD) have none of the three. An inspection has as many verdicts as rules apply to it.
+    """
+    own = field_columns()
+    one = F.struct("rule_version_id", "rule_key", own["field_type"].alias("field"), own["status"].alias("status"), own["field_confidence"].alias("sure"), "verdict", severity(F.col("field_type"), F.col("verdict_type")).alias("severity"), "detail", "text", is_low().alias("low"))
+    gathered = verdicts.groupBy("inspection_id").agg(F.array_sort(F.collect_list(one)).alias("vs"))
+    rows = inspections.select(F.col("id").alias("inspection_id")).join(gathered, "inspection_id", "left").join(count_extracted(declarations), "inspection_id", "left").join(latest_images(images), "inspection_id", "left")
+    some = lambda test: F.filter(F.coalesce("vs", F.array()), test)
+    counts = {"n_pass": lambda x: x["verdict"] == "PASS", "n_fail": lambda x: x["verdict"] == "FAIL", "n_na": lambda x: x["verdict"] == "NOT_APPLICABLE", "n_low": lambda x: x["low"]}
+    rows = rows.withColumns({"n_extracted": F.coalesce("n_extracted", F.lit(0)), **{name: F.size(some(test)) for name, test in counts.items()}})
+    status, reason = overall(*map(F.col, ("n_extracted", "n_pass", "n_fail", "n_low")))
+    rows = rows.withColumn("overall_status", status).withColumn("status_reason", reason)
+    rows = rows.withColumn("vs", F.when(~F.col("overall_status").isin(*HELD), F.col("vs")))
+    id_ = lambda *parts: F.sha2(F.concat_ws("~", "inspection_id", *parts), 256)
+    check = lambda x: F.struct(id_(x["rule_version_id"]).alias("id"), x["rule_version_id"].alias("rule_version_id"), x["field"].alias("field_type"), F.lower(F.translate(x["status"], " ", "_")).alias("verdict"), x["sure"].alias("confidence"))
+    found = lambda x: F.struct(*(x[c].alias(c) for c in ("rule_version_id", "rule_key", "field", "severity")), x["detail"].alias("issue_description"), x["text"].alias("detected_value"), id_(x["rule_version_id"]).alias("compliance_check_id"))
+    shown = lambda x: F.struct(x["rule_version_id"].alias("rule_version_id"), F.col("image_id").alias("image_id"), id_(x["rule_version_id"], F.col("image_id").cast("string")).alias("id"))
+    failed = some(counts["n_fail"])
+    return rows.select(
+        "inspection_id", "overall_status", "status_reason", "n_extracted", "n_pass", "n_fail", "n_na", "image_id", F.transform(F.coalesce("vs", F.array()), check).alias("checks"), F.transform(failed, found).alias("violations"),
+        F.transform(F.filter(failed, lambda x: F.col("image_id").isNotNull()), shown).alias("evidence"),
+    )
+
+
 def pipeline_warnings(images: DataFrame, least: float = 0.7) -> DataFrame:
     low = F.col("quality_score") < least
     return images.withColumn("warning", F.when(low, F.format_string("Low image quality: %.2f", "quality_score"))).withColumn("pipeline_passed", ~low)

@@ -1,11 +1,11 @@
-"""The whole audit of a batch of labels, from tokens to decisions."""
+"""The whole audit of a batch of labels, from tokens to decisions, violations and evidence."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import compliance, extract, rules
+from . import classify, compliance, extract, rules
 
 
 def as_declarations(extracted: DataFrame) -> DataFrame:
@@ -14,9 +14,30 @@ def as_declarations(extracted: DataFrame) -> DataFrame:
     return extracted.select("inspection_id", name.alias("field_type"), F.when(F.col("value") != extract.MISSING, F.col("value")).alias("text"), "confidence", "ord")
 
 
-def run_pipeline(tokens: DataFrame, inspections: DataFrame, rule_versions: DataFrame) -> DataFrame:
-    """Decisions with workflow status, for inspections (id, category, package_type, day) and their recognised tokens."""
-    declarations = as_declarations(extract.extract_declarations(extract.normalize_tokens(tokens)))
-    verdicts = rules.evaluate_rules(inspections, rule_versions, declarations)
-    decisions = compliance.evaluate_compliance(inspections, verdicts, declarations)
-    return decisions.withColumn("status", compliance.inspection_status(F.col("overall_status")))
+def quality_warnings(images: DataFrame) -> DataFrame:
+    """What is to be said of the latest image of each inspection (quality_score): inspection_id, warnings."""
+    latest = images.groupBy("inspection_id").agg(F.max_by("quality_score", F.struct("uploaded_at", "id")).alias("quality_score"))
+    return compliance.pipeline_warnings(latest).select("inspection_id", F.array_compact(F.array("warning")).alias("warnings"))
+
+
+def run_pipeline(tokens: DataFrame, inspections: DataFrame, rule_versions: DataFrame, images: DataFrame, model: classify.NameModel) -> DataFrame:
+    """All stages for inspections (id, product_name, package_type, day), their recognised tokens and their images (id,
+    inspection_id, uploaded_at, quality_score): extraction, classification by a stored model, the rules of that category on
+    that day, the decision, its violations and their evidence, and the workflow status.
+
+    One row for each inspection, those without tokens or images too: inspection_id, category, category_confidence,
+    needs_manual_selection, overall_status, status_reason, n_extracted, n_pass, n_fail, n_na, status, violations, evidence,
+    n_evidence, warnings. Tokens are grouped by inspection once; all joins but that of the rules are by inspection.
+    """
+    extracted = extract.extract_declarations(extract.normalize_tokens(tokens))
+    names = inspections.select(F.col("id").alias("inspection_id"), "product_name")
+    scored = classify.route_category(classify.classify(classify.classifier_text(names, extracted), model, "inspection_id"))
+    found = scored.select("inspection_id", F.col("path").alias("category"), F.col("confidence").alias("category_confidence"), "needs_manual_selection")
+    seen = inspections.join(found.select(F.col("inspection_id").alias("id"), "category"), "id").select("id", "category", "package_type", "day")
+    declarations = as_declarations(extracted)
+    out = compliance.outcomes(inspections, rules.evaluate_rules(seen, rule_versions, declarations), declarations, images)
+    out = out.join(found, "inspection_id").join(quality_warnings(images), "inspection_id", "left")
+    return out.select(
+        "inspection_id", "category", "category_confidence", "needs_manual_selection", "overall_status", "status_reason", "n_extracted", "n_pass", "n_fail", "n_na", compliance.inspection_status(F.col("overall_status")).alias("status"),
+        "violations", "evidence", F.size("evidence").alias("n_evidence"), F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"),
+    )

@@ -14,10 +14,7 @@ from .registry import inspected, query
 PAST = "1996-06-01"
 _CASE = """list_contains(coalesce(product_categories, []), 'ALL') OR len(coalesce(product_categories, [])) = 0"""
 _MATCH = "category = c OR starts_with(category, c || ' >') OR contains(category, ' > ' || c || ' > ')"
-CHAIN = (
-    with_views("products_v", "inspections_v", "rules_v", "declarations_v")
-    + f""",
-i AS (SELECT i.id, p.category, i.package_type, CAST(i.created_at AS DATE) AS day FROM inspections_v i LEFT JOIN products_v p ON i.product_id = p.id),
+RULED = f"""
 app AS (SELECT i.id, i.category, i.package_type, i.day, r.rule_version_id, r.rule_key, r.version, r.effective_date, r.product_categories, r.exclude_categories, r.package_type AS rpt, r.validation_type, r.field, r.pattern, r.must_contain,
   row_number() OVER (PARTITION BY i.id ORDER BY r.effective_date, r.version, r.rule_version_id) AS rule_order
   FROM i JOIN rules_v r ON r.effective_date <= i.day AND (r.end_date IS NULL OR r.end_date > i.day)
@@ -55,8 +52,14 @@ dec AS (SELECT *, CASE WHEN n_extracted < 3 THEN 'INSUFFICIENT_EVIDENCE' WHEN n_
   WHEN n_fail > 0 THEN n_pass || ' rule(s) passed, ' || n_fail || ' rule(s) failed.' ELSE 'No applicable rules found for this product category and date.' END AS status_reason,
  CASE WHEN n_extracted < 3 THEN 0 ELSE n_fail END AS n_violations FROM d)
 """
+#: From inspections ``i``, rules_v and declarations_v to decisions.
+CHAIN = (
+    with_views("products_v", "inspections_v", "rules_v", "declarations_v")
+    + """,
+i AS (SELECT i.id, p.category, i.package_type, CAST(i.created_at AS DATE) AS day FROM inspections_v i LEFT JOIN products_v p ON i.product_id = p.id),"""
+    + RULED
 )
-_OPEN = "inspection_id NOT IN (SELECT inspection_id FROM dec WHERE overall_status = 'INSUFFICIENT_EVIDENCE')"
+OPEN = "inspection_id NOT IN (SELECT inspection_id FROM dec WHERE overall_status = 'INSUFFICIENT_EVIDENCE')"
 
 
 def _day(c: str):
@@ -71,9 +74,8 @@ def decisions(spark, sf, found=None):
     return co.evaluate_compliance(view(spark, sf, "inspections_v"), found or verdicts(spark, sf), view(spark, sf, "declarations_v"))
 
 
-def open_verdicts(spark, sf):
-    found = verdicts(spark, sf)
-    return co.open_verdicts(found, decisions(spark, sf, found))
+def outcomes(spark, sf):
+    return co.outcomes(view(spark, sf, "inspections_v"), verdicts(spark, sf), view(spark, sf, "declarations_v"), view(spark, sf, "images_v"))
 
 
 @query(CHAIN + "SELECT id, rule_version_id, rule_order FROM app")
@@ -249,16 +251,14 @@ def f8_evaluate_compliance(spark, sf):
     return decisions(spark, sf)
 
 
-@query(CHAIN + f"SELECT check_id AS id, inspection_id, rule_version_id, fld AS field_type, lower(verdict) AS verdict, CAST(fc AS DOUBLE) AS confidence FROM f WHERE {_OPEN}")
+@query(CHAIN + f"SELECT check_id AS id, inspection_id, rule_version_id, fld AS field_type, lower(verdict) AS verdict, CAST(fc AS DOUBLE) AS confidence FROM f WHERE {OPEN}")
 def f9_compliance_checks(spark, sf):
-    return co.compliance_checks(co.field_compliance(open_verdicts(spark, sf)))
+    return outcomes(spark, sf).select("inspection_id", F.inline("checks"))
 
 
-@query(CHAIN + f"SELECT inspection_id, rule_version_id, fld AS field, severity, check_id AS compliance_check_id FROM f WHERE verdict = 'FAIL' AND {_OPEN}")
+@query(CHAIN + f"SELECT inspection_id, rule_version_id, fld AS field, severity, check_id AS compliance_check_id FROM f WHERE verdict = 'FAIL' AND {OPEN}")
 def f10_violation_rows(spark, sf):
-    found = open_verdicts(spark, sf)
-    checks = co.compliance_checks(co.field_compliance(found))
-    return co.violation_rows(co.violations(found), checks).select("inspection_id", "rule_version_id", "field", "severity", "compliance_check_id")
+    return outcomes(spark, sf).select("inspection_id", F.inline("violations")).select("inspection_id", "rule_version_id", "field", "severity", "compliance_check_id")
 
 
 @query(with_views("inspections_v") + "SELECT id, CASE overall_status WHEN 'COMPLIANT' THEN 'approved' WHEN 'NON_COMPLIANT' THEN 'flagged' WHEN 'PARTIALLY_COMPLIANT' THEN 'flagged' WHEN 'NEEDS_HUMAN_REVIEW' THEN 'pending_review' WHEN 'INSUFFICIENT_EVIDENCE' THEN 'insufficient' ELSE 'pending' END AS status FROM inspections_v")
@@ -270,11 +270,10 @@ _LATEST = "(SELECT inspection_id, CAST(arg_max(id, uploaded_at) AS BIGINT) image
 IMAGES = CHAIN + ", images_v AS (SELECT doc_id id, CAST(doc_id AS VARCHAR) inspection_id, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(CAST(doc_id AS BIGINT)) uploaded_at FROM documents) "
 
 
-@query(IMAGES + f"SELECT f.inspection_id, f.rule_version_id, image_id, count(*) OVER (PARTITION BY f.inspection_id) AS n_evidence FROM f JOIN {_LATEST} USING (inspection_id) WHERE verdict = 'FAIL' AND {_OPEN}")
+@query(IMAGES + f"SELECT f.inspection_id, f.rule_version_id, image_id, count(*) OVER (PARTITION BY f.inspection_id) AS n_evidence FROM f JOIN {_LATEST} USING (inspection_id) WHERE verdict = 'FAIL' AND {OPEN}")
 def f12_evidence(spark, sf):
     """Evidence rows, each with how many its inspection has."""
-    shown = co.evidence(co.violations(open_verdicts(spark, sf)), view(spark, sf, "images_v")).drop("id")
-    return shown.join(co.evidence_counts(shown), "inspection_id")
+    return outcomes(spark, sf).select("inspection_id", F.size("evidence").cast("long").alias("n_evidence"), F.inline("evidence")).drop("id")
 
 
 @query("SELECT doc_id AS id, doc_id % 100 / 100.0 < 0.7 AS low, CASE WHEN doc_id % 100 / 100.0 < 0.7 THEN printf('Low image quality: %.2f', CAST(doc_id % 100 / 100.0 AS DOUBLE)) END AS warning FROM documents")
@@ -283,10 +282,10 @@ def f13_pipeline_warnings(spark, sf):
     return co.pipeline_warnings(images).select("id", (~F.col("pipeline_passed")).alias("low"), "warning")
 
 
-REPORTS = IMAGES + f""", fd AS (SELECT inspection_id, count(*) nf, string_agg(fld || ':' || CASE WHEN verdict = 'PASS' AND coalesce(fc, 0) < 0.5 THEN 'LOW_CONF' ELSE verdict END, ',' ORDER BY rule_version_id) AS declarations FROM f WHERE {_OPEN} GROUP BY 1),
+REPORTS = IMAGES + f""", fd AS (SELECT inspection_id, count(*) nf, string_agg(fld || ':' || CASE WHEN verdict = 'PASS' AND coalesce(fc, 0) < 0.5 THEN 'LOW_CONF' ELSE verdict END, ',' ORDER BY rule_version_id) AS declarations FROM f WHERE {OPEN} GROUP BY 1),
 vd AS (SELECT inspection_id, string_agg(n || ':' || upper(severity) || ':' || fld || ':' || detail || ':Section ' || rule_key, ';' ORDER BY rule_version_id) AS violations, count(*) nv,
  string_agg(DISTINCT 'Section ' || rule_key, ',' ORDER BY 'Section ' || rule_key) AS legal_references
- FROM (SELECT *, row_number() OVER (PARTITION BY inspection_id ORDER BY rule_version_id) n FROM f WHERE verdict = 'FAIL' AND {_OPEN}) GROUP BY 1),
+ FROM (SELECT *, row_number() OVER (PARTITION BY inspection_id ORDER BY rule_version_id) n FROM f WHERE verdict = 'FAIL' AND {OPEN}) GROUP BY 1),
 reports AS (SELECT sha256('report~' || dec.inspection_id) AS report_id, dec.inspection_id, overall_status AS compliance_status, status_reason, overall_status = 'COMPLIANT' AS seal, coalesce(declarations, '') AS declarations, coalesce(violations, '') AS violations, coalesce(legal_references, '') AS legal_references,
  CASE WHEN l.image_id IS NULL OR nv IS NULL THEN '' ELSE array_to_string(list_transform(range(nv), lambda k: CAST(l.image_id AS VARCHAR)), ',') END AS evidence FROM dec LEFT JOIN fd USING (inspection_id) LEFT JOIN vd USING (inspection_id) LEFT JOIN {_LATEST} l USING (inspection_id))
 """

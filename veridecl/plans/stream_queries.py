@@ -8,13 +8,16 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import audit as au
+from ..operators import classify as cl
+from ..operators import extract as ex
 from ..operators import pipeline as pl
 from ..operators import reports as rp
 from ..sources.adapters import COMMON, view, with_views
-from ..streaming import jobs
+from ..streaming import jobs, keyed, tables
 from .audit_queries import REQ
+from .label_queries import NORM
 from .registry import query
-from .rule_queries import REPORTS, reports, spelled
+from .rule_queries import OPEN, REPORTS, RULED, reports, spelled
 
 
 def folder(spark):
@@ -69,33 +72,127 @@ def l10_stream_dedup(spark, sf):
     return _run(spark, jobs.stream_dedup(uploads)).select("content_hash")
 
 
-def _facts(spark, sf):
+_LOGINS = with_views("requests_v") + """, a AS (SELECT event_id, actor_id, ts, lag(ts, 2) OVER (PARTITION BY actor_id ORDER BY ts, event_id) AS since FROM requests_v WHERE path = '/api/v1/auth/login')
+SELECT event_id, actor_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, strftime(since, '%Y-%m-%d %H:%M:%S') AS since FROM a WHERE ts - since < INTERVAL 3 DAY"""
+
+
+@query(_LOGINS)
+def l9_sliding_login_alerts(spark, sf):
+    """The third login and more in any three days of a client, by state over a sliding window."""
+    out = _run(spark, keyed.sliding_login_alerts(_requests(spark, sf), 3 * 86400, 2))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return out.select("event_id", "actor_id", day("ts"), day("since"))
+
+
+def _by_slices(spark, rows, n, by, path, start):
+    """Rows as files that come in ``n`` slices, by the number ``by`` of each row; ``start`` is given the stream of the
+    files each time, and takes it up where it was."""
+    for k in range(n):
+        rows.filter(by == k).write.mode("append").parquet(f"{path}/in")
+        start(spark.readStream.schema(rows.schema).parquet(f"{path}/in")).awaitTermination()
+
+
+@query("SELECT sha256(text) AS content_hash, min(doc_id) AS id FROM documents GROUP BY 1")
+def l10_upload_ledger(spark, sf):
+    """All documents as uploads in three batches, some days apart: each content once, whenever it came first."""
+    path = f"{folder(spark)}/ledger-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    category = F.when(F.col("doc_id") % 3 == 0, "Industrial/Bulk").when(F.col("doc_id") % 3 == 1, "Food & Beverage > Beverages")
-    return docs.select(F.col("doc_id").cast("string").alias("id"), category.alias("category"), F.lit("retail").alias("package_type"), F.lit("2025-06-01").cast("date").alias("day"))
+    third = F.floor(F.col("doc_id") * 3 / (docs.agg(F.max("doc_id")).first()[0] + 1))
+    rows = docs.select(F.sha2("text", 256).alias("content_hash"), F.col("doc_id").alias("id"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(days=third.cast("int") * 30, secs=F.pmod("doc_id", F.lit(86400)))).alias("uploaded_at"), third.alias("k"))
+    _by_slices(spark, rows, 3, F.col("k"), path, lambda stream: tables.stream_ledger(stream.drop("k"), f"{path}/ledger", f"{path}/ck"))
+    return tables.read_ledger(spark, f"{path}/ledger").select("content_hash", "id")
+
+
+@query(with_views("inspections_v") + "SELECT strftime(date_trunc('day', created_at), '%Y-%m-%d') AS day, overall_status, count(*) AS n FROM inspections_v GROUP BY ALL")
+def l12_rollup_upserts(spark, sf):
+    """Inspections in four batches by date, each changing the keys that it has."""
+    path = f"{folder(spark)}/rollup-{uuid.uuid4().hex}"
+    rows = view(spark, sf, "inspections_v").select("created_at", "overall_status")
+    first, last = rows.agg(F.unix_seconds(F.min("created_at")), F.unix_seconds(F.max("created_at"))).first()
+    quarter = F.floor((F.unix_seconds("created_at") - first) * 4 / (last - first + 1))
+    _by_slices(spark, rows, 4, quarter, path, lambda stream: tables.stream_rollup_upserts(stream, f"{path}/out", f"{path}/ck"))
+    return tables.read_rollup(spark, f"{path}/out").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "overall_status", "n")
 
 
-@query()
+def _facts(spark, sf):
+    """An inspection for each document, of its source as the product, on a day that follows from its id."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    day = F.date_add(F.lit("2021-01-01").cast("date"), (F.col("doc_id") * 37 % 2000).cast("int"))
+    kind = F.when(F.col("doc_id") % 9 == 0, "wholesale").otherwise("retail")
+    return docs.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("product_name"), kind.alias("package_type"), day.alias("day"))
+
+
+def _images(spark, sf):
+    """A picture of three inspections of four."""
+    rows = view(spark, sf, "images_v").filter(F.col("id") % 4 != 3)
+    return rows.select("id", "inspection_id", "uploaded_at", (F.col("id") % 100 / F.lit(100.0)).alias("quality_score"))
+
+
+#: Inspections whose category was chosen by hand, for the pipeline's model: those first by a hash of the id.
+LABELLED = 2000
+#: What was chosen, by doc_id % 3; the maker's line on the label goes with it.
+CHOSEN = ["household_home_care", "food_beverage_beverages", "personal_care_cosmetics"]
+
+
+def category_model(spark, sf):
+    """A model of the categories chosen by hand, stored and read again."""
+    path = f"{folder(spark)}/model-{uuid.uuid4().hex}"
+    facts = _facts(spark, sf).select(F.col("id").alias("inspection_id"), "product_name")
+    some = facts.orderBy(F.xxhash64("inspection_id"), "inspection_id").limit(LABELLED).persist()
+    said = ex.extract_declarations(ex.normalize_tokens(view(spark, sf, "ocr_tokens_v").join(F.broadcast(some.select("inspection_id")), "inspection_id")))
+    label = F.get(F.array(*map(F.lit, CHOSEN)), (F.col("inspection_id").cast("long") % 3).cast("int"))
+    cl.train_classifier(cl.classifier_text(some, said).withColumn("label", label)).save(spark, path)
+    some.unpersist()
+    return cl.load_model(spark, path)
+
+
+PIPELINE = (
+    NORM
+    + ", "
+    + with_views("rules_v").removeprefix("WITH ")
+    + f""",
+declarations_v AS (SELECT inspection_id, 0 AS ord, CASE field_type WHEN 'manufacturer' THEN 'manufacturer_name' ELSE field_type END AS field_type, nullif(value, 'NOT_FOUND') AS text, confidence FROM full_),
+inspections_v AS (SELECT CAST(doc_id AS VARCHAR) AS id FROM documents),
+i AS (SELECT CAST(doc_id AS VARCHAR) AS id, [{", ".join(f"'{cl.CATEGORIES[k]}'" for k in CHOSEN)}][doc_id % 3 + 1] AS category, CASE WHEN doc_id % 9 = 0 THEN 'wholesale' ELSE 'retail' END AS package_type, DATE '2021-01-01' + CAST(doc_id * 37 % 2000 AS INT) AS day FROM documents),"""
+    + RULED
+    + f""", vio AS (SELECT inspection_id, count(*) AS nv, string_agg(rule_version_id || '|' || fld || '|' || severity || '|' || detail || '|' || coalesce(text, '') || '|' || check_id, ';' ORDER BY rule_version_id) AS violations,
+ string_agg(rule_version_id || '|' || inspection_id || '|' || sha256(inspection_id || '~' || rule_version_id || '~' || inspection_id), ';' ORDER BY rule_version_id) AS evidence FROM f WHERE verdict = 'FAIL' AND {OPEN} GROUP BY 1)
+SELECT dec.inspection_id, i.category, overall_status, status_reason, n_extracted, n_pass, n_fail, n_na, CASE overall_status WHEN 'COMPLIANT' THEN 'approved' WHEN 'INSUFFICIENT_EVIDENCE' THEN 'insufficient' ELSE 'flagged' END AS status,
+ coalesce(violations, '') AS violations, CASE WHEN CAST(dec.inspection_id AS BIGINT) % 4 <> 3 THEN coalesce(evidence, '') ELSE '' END AS evidence, CASE WHEN CAST(dec.inspection_id AS BIGINT) % 4 <> 3 THEN coalesce(nv, 0) ELSE 0 END AS n_evidence,
+ CASE WHEN CAST(dec.inspection_id AS BIGINT) % 4 <> 3 AND CAST(dec.inspection_id AS BIGINT) % 100 < 70 THEN printf('Low image quality: %.2f', CAST(CAST(dec.inspection_id AS BIGINT) % 100 / 100.0 AS DOUBLE)) ELSE '' END AS warnings
+FROM dec JOIN i ON i.id = dec.inspection_id LEFT JOIN vio USING (inspection_id)"""
+)
+
+
+def _told(rows):
+    """What the pipeline gives, with its nested columns as text, and without how sure it is of the category."""
+    spell = lambda name, *parts: F.array_join(F.transform(name, lambda x: F.concat_ws("|", *(F.coalesce(x[p].cast("string"), F.lit("")) for p in parts))), ";").alias(name)
+    return rows.select(
+        "inspection_id", "category", "overall_status", "status_reason", "n_extracted", "n_pass", "n_fail", "n_na", "status", spell("violations", "rule_version_id", "field", "severity", "issue_description", "detected_value", "compliance_check_id"),
+        spell("evidence", "rule_version_id", "image_id", "id"), "n_evidence", F.array_join("warnings", ";").alias("warnings"),
+    )
+
+
+@query(PIPELINE)
 def l7_run_pipeline(spark, sf):
-    """Tokens to decisions, for every label."""
-    return pl.run_pipeline(view(spark, sf, "ocr_tokens_v"), _facts(spark, sf), view(spark, sf, "rules_v"))
+    """Tokens to category, decision, violations, evidence and status, for every label."""
+    return _told(pl.run_pipeline(view(spark, sf, "ocr_tokens_v"), _facts(spark, sf), view(spark, sf, "rules_v"), _images(spark, sf), category_model(spark, sf)))
 
 
-@query()
+@query(PIPELINE)
 def l11_stream_pipeline(spark, sf):
-    """The same by batches of a stream; equal to l7_run_pipeline."""
+    """The same from a stream of three batches, each with some tokens of every inspection; equal to l7_run_pipeline."""
     path = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
-    docs = _stream(spark, sf, "documents").select("doc_id", "source")
-    facts, rules = _facts(spark, sf), view(spark, sf, "rules_v")
-    text = COMMON["ocr_tokens_v"].replace("{seqs}", "LATERAL VIEW explode(sequence(0, 6)) s AS seq")
+    facts, rules, images, model = _facts(spark, sf), view(spark, sf, "rules_v"), _images(spark, sf), category_model(spark, sf)
+    tokens = view(spark, sf, "ocr_tokens_v").withColumn("n_tokens", F.lit(7)).withColumn("ts", F.timestamp_seconds(F.lit(1735689600) + F.col("inspection_id").cast("long") % 3600))
+    batch = (F.col("inspection_id").cast("long") + F.col("seq")) % 3
 
-    def decide(batch):
-        tokens = batch.sparkSession.sql(text, documents=batch)
-        here = batch.select(F.col("doc_id").cast("string").alias("id")).distinct()
-        return pl.run_pipeline(tokens, facts.join(here, "id", "left_semi"), rules)
+    def decide(gathered):
+        here = gathered.select(F.col("inspection_id").alias("id")).distinct()
+        return pl.run_pipeline(gathered, facts.join(here, "id", "left_semi"), rules, images, model)
 
-    jobs.stream_pipeline(docs, decide, f"{path}/out", f"{path}/ck").awaitTermination()
-    return spark.read.parquet(f"{path}/out").drop("batch")
+    _by_slices(spark, tokens, 3, batch, path, lambda stream: jobs.stream_pipeline(keyed.gather_labels(stream, late="2 hours"), decide, f"{path}/out", f"{path}/ck"))
+    return _told(spark.read.parquet(f"{path}/out"))
 
 
 @query(with_views("inspections_v") + "SELECT strftime(date_trunc('day', created_at), '%Y-%m-%d') AS day, overall_status, count(*) AS n FROM inspections_v GROUP BY ALL")

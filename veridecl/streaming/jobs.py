@@ -35,10 +35,16 @@ def stream_rollup(inspections: DataFrame, late: str = LATE) -> DataFrame:
 
 
 def stream_pipeline(tokens: DataFrame, decide: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
-    """Each batch of tokens through ``decide``, into a folder of its own that a repeated batch overwrites."""
+    """Each batch of tokens through ``decide``, into a folder of its own that a repeated batch overwrites; of empty batches
+    only the first, so that there is a table with columns."""
 
     def each(batch: DataFrame, number: int) -> None:
-        decide(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.persist()  # else what is behind it, such as keyed state, runs for each use
+        try:
+            if not number or not batch.isEmpty():
+                decide(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        finally:
+            batch.unpersist()
 
     return tokens.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
