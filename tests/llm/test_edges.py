@@ -6,9 +6,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from veridecl.llm import chat, packing, secrets, suffix_dedup, topk, toxicity, url_filter
+from veridecl.llm import chat, near_dedup, packing, secrets, substring_dedup, suffix_dedup, topk, toxicity, url_filter
+from veridecl.llm import textvec as tv
 from veridecl.llm.components import connected_components
 
 KEY = "AKIA" + "Z9" * 9
@@ -35,6 +37,46 @@ def test_components_against_a_search(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def thue_morse(bits):
+    word = [0]
+    for _ in range(bits):
+        word += [1 - x for x in word]
+    return word
+
+
+def test_words_that_polynomials_confuse_are_not_linked(spark):
+    """Sums of powers modulo 2**64 are equal for a Thue-Morse word and its complement, whatever the base."""
+    w = thue_morse(10)
+    a, b = ("".join("ab"[x ^ flip] for x in w) for flip in (0, 1))
+    c, d = (" ".join(("left", "right")[x ^ flip] for x in thue_morse(11)) for flip in (0, 1))
+    rows = [(1, a), (2, b), (3, f"x {a} y"), (4, f"x {b} y"), (5, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, shingle=3, percent=85).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+    data = np.frombuffer(f"{a} {b} {a[:700]} {b[:700]} {a}".encode(), np.uint8)
+    starts, ends, _ = tv.word_spans(data, np.array([0, len(data)]), tv.NOT_SPACE)
+    hashes = tv.word_hashes(data, starts, ends)
+    assert hashes[0] == hashes[4] and len(set(hashes.tolist())) == 4
+    words = np.concatenate([np.frombuffer(np.array([hash_of(x) for x in t.split()], np.uint64).tobytes(), np.uint64) for t in (c, d)])
+    one, two = substring_dedup._hash_pair(words, np.array([0, 2048]), np.array([2048, 4096]))
+    assert one[0] != one[1] and two[0] != two[1]
+
+
+def hash_of(word):
+    return int.from_bytes(hashlib.sha256(word.encode()).digest()[:8], "little")
+
+
+def test_word_hashes_follow_bytes_only():
+    rng = random.Random(4)
+    words = [bytes(rng.choice(b"ab\xc3\xa9") for _ in range(rng.randrange(1, 40))) for _ in range(400)]
+    for join in (b" ", b"  \n"):
+        data = np.frombuffer(join.join(words), np.uint8)
+        starts, ends, _ = tv.word_spans(data, np.array([0, len(data)]), tv.NOT_SPACE)
+        hashes = tv.word_hashes(data, starts, ends).tolist()
+        assert len(hashes) == 400 and len(set(zip(words, hashes))) == len(set(words)) == len(set(hashes))
+    assert len(tv.word_hashes(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64))) == 0
+
+
 def test_weak_parts_inside_base_spans_count_once(spark):
     text = f"id {KEY} secret=aB3dE6gH9jK2mN5pQ8sT1vW4yZ7 end"
     rows = [(1, text, "x", "y"), (1, text, "x", "y"), (None, text, "x", "y"), (2, "é" * 300_000 + text, "x", "y"), (3, None, "x", "y")]

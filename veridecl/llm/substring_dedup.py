@@ -57,14 +57,13 @@ def _anchors(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _hash_pair(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of each run of word hashes."""
-    out = []
-    for salt in (0, 0x5851F42D4C957F2D):
-        coded = tv.mix(hashes ^ _U(salt))
-        up, down = tv._powers.get(len(coded) + 1)
-        sums = np.zeros(len(coded) + 1, np.uint64)
-        np.cumsum(coded * up[: len(coded)], out=sums[1:])
-        out.append(tv.mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64)).view(np.int64))
+    """Two independent hashes of each run of word hashes (none empty): sums of words mixed with their places in the run."""
+    size = end - begin
+    first = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(first, size)
+    words, places = hashes[np.repeat(begin, size) + place], tv.mix(place.astype(np.uint64) + _U(1))
+    coded = (tv.mix(words ^ tv.mix(places + _U(salt))) for salt in (0, 0x5851F42D4C957F2D))
+    out = [tv.mix(np.add.reduceat(c, first) + size.astype(np.uint64)).view(np.int64) if len(size) else np.zeros(0, np.int64) for c in coded]
     return out[0], out[1]
 
 
