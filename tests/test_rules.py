@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -43,6 +44,46 @@ def test_applicable_rules_against_all_pairs(spark, most_broadcast, monkeypatch):
     assert got == sorted(want)
 
 
+def test_matching_rules_without_the_end_of_a_path(spark):
+    versions = spark.createDataFrame([(f"r{i}", need) for i, need in enumerate(REQUIRED)], "rule_version_id string, product_categories array<string>")
+    seen = spark.createDataFrame([(f"{i}", c) for i, c in enumerate(CATEGORIES)], "id string, category string")
+    for match in (rules.category_selected, rules.category_applies):
+        got = sorted(map(tuple, rules.matching_rules(seen, versions, match).select("id", "rule_version_id").collect()))
+        every = seen.crossJoin(versions).filter(match(F.col("category"), F.col("product_categories"))).select("id", "rule_version_id")
+        assert got == sorted(map(tuple, every.collect()))
+
+
+def test_overlaps_by_sweep_against_all_pairs(spark):
+    rng = random.Random(6)
+    day = lambda: DAY(2020, 1, 1) + dt.timedelta(rng.randrange(1200))
+    rows = []
+    for key in range(12):
+        for k in range(rng.randrange(1, 30)):
+            start = None if rng.random() < 0.03 else rng.choice([day(), DAY(2020, 6, 1), DAY(2020, 12, 31)])
+            end = rng.choice([None, day(), start, DAY(2021, 1, 1)])  # some end before they start
+            rows.append((f"k{key}", f"v{rng.randrange(100):02d}-{key}-{k}", start, end, rng.random() < 0.9))
+    got = sorted(map(tuple, rules.overlapping_versions(spark.createDataFrame(rows, "rule_key string, rule_version_id string, effective_date date, end_date date, is_published boolean")).collect()))
+    far = DAY(9999, 12, 31)
+    want = []
+    for a in rows:
+        for b in rows:
+            if a[0] == b[0] and a[1] < b[1] and a[4] and b[4] and a[2] and b[2] and a[2] <= (b[3] or far) and (a[3] or far) >= b[2]:
+                want.append((a[0], a[1], b[1]))
+    assert got == sorted(want) and len(want) > 200
+
+
+def test_rules_meet_only_inspections_of_their_time(spark):
+    """Of two thousand rules that follow one another, an inspection meets those of its part of time before dates are tested."""
+    versions = [(f"r{k}", "R", k, DAY(2000, 1, 1) + dt.timedelta(k), DAY(2000, 1, 1) + dt.timedelta(k + 1), True, None, None, None, None, None, None, None) for k in range(2000)]
+    flat = "rule_version_id string, rule_key string, version int, effective_date date, end_date date, is_published boolean, product_categories array<string>, exclude_categories array<string>, package_type string, validation_type string, field string, pattern string, must_contain array<string>"
+    r, part = rules.time_parts(spark.createDataFrame(versions, flat))
+    assert r.groupBy("part").count().agg(F.max("count")).first()[0] <= 2000 // rules.DATE_PARTS + 2 and r.count() <= 2000 + rules.DATE_PARTS
+    days = spark.createDataFrame([(DAY(1999, 12, 31),), (DAY(2000, 1, 1),), (DAY(2050, 1, 1),), (None,)], "day date")
+    assert [x[0] for x in days.select(part(F.col("day"))).collect()] == [None, 0, r.agg(F.max("part")).first()[0], None]
+    none, part = rules.time_parts(spark.createDataFrame([], flat))
+    assert none.count() == 0 and rules.applicable_rules(spark.createDataFrame([("1", "Food", "retail", DAY(2020, 1, 1))], "id string, category string, package_type string, day date"), spark.createDataFrame([], flat)).count() == 0
+
+
 def test_char_ngrams_against_a_loop(spark):
     texts = ["a bc", "Sun Flower Oil", "  ", "", "ab  abcd é", "x"]
 

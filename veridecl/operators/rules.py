@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from ..sources.schemas import CONTENT
 ANY, ONE = "*", "="
 #: Rules are broadcast up to so many bytes, as JSON; the join is the same beyond.
 MOST_BROADCAST = 8 << 20
+#: Parts that the time of the rules is cut into at most.
+DATE_PARTS = 64
 FLAT = ("rule_version_id", "rule_key", "version", "effective_date", "end_date", "is_published", "product_categories", "exclude_categories", "package_type", "validation_type", "field", "pattern", "must_contain")
 
 # The seeded rules, effective from 2020-01-01, for retail packages of all categories but industrial ones.
@@ -92,28 +96,56 @@ def small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if size <= MOST_BROADCAST else rows
 
 
-def applicable_rules(inspections: DataFrame, rules: DataFrame, published_only: bool = False) -> DataFrame:
-    """Rows of inspections (id, category, package_type, day) with each rule in force on the day that is selected for the
-    category; rule_order is by effective_date, then version and id.
+def matching_rules(rows: DataFrame, rules: DataFrame, match: Callable[[Column, Column], Column] = category_selected, on: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` (category and more) with each of ``rules`` (product_categories and more) for which match() holds.
 
-    An equi-join by category, at every size: a rule has a row for each category that it requires, or one for ANY, and an
-    inspection one for each category that its path holds. A rule that is met by several of its categories is taken by
-    the first of them. Dates are tested on what the keys bring together. Rules are broadcast if their size allows it.
+    An equi-join by category, at every size: a rule has a row for each category that it requires, or one for ANY, and a
+    row of ``rows`` one for each category that its path holds. A rule that is met by several of its categories is taken by
+    the first of them. ``on``: further columns that must be equal. Rules are broadcast if their size allows it.
     """
-    rules = rules.filter("is_published") if published_only else rules
-    r = rules.select(*[F.col(c).alias("rule_package_type" if c == "package_type" else c) for c in FLAT])
     required = F.coalesce("product_categories", F.array().cast("array<string>"))
     free = (F.size(required) == 0) | F.array_contains(required, "ALL")
     named = F.transform(F.array_distinct(required), lambda c: F.concat(F.lit(ONE), c))
-    r = r.withColumn("key", F.explode(F.when(free, F.array(F.lit(ANY))).otherwise(named)))
-    r = small(r)
+    r = small(rules.withColumn("key", F.explode(F.when(free, F.array(F.lit(ANY))).otherwise(named))))
     # keys are never empty; a plain explode() would test that, working them out twice
-    looked = inspections.withColumn("keys", category_keys(F.col("category"))).withColumn("key", F.explode_outer("keys"))
+    looked = rows.withColumn("keys", category_keys(F.col("category"))).withColumn("key", F.explode_outer("keys"))
+    own = F.get(F.filter("product_categories", lambda c: F.array_contains(F.col("keys"), F.concat(F.lit(ONE), c)) & match(F.col("category"), F.array(c))), 0)
+    # keys are what category_selected() finds, so that nothing is left to be tested of a rule's only category
+    sure = F.size("product_categories") == 1 if match is category_selected else F.lit(False)
+    hit = (F.col("key") == ANY) | sure | (F.col("key") == F.concat(F.lit(ONE), own))
+    return looked.join(r, ["key", *on]).filter(hit).drop("key", "keys")
+
+
+def time_parts(rules: DataFrame) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """Rules with a row for each ``part`` of time in which they are in force, and the part of a day; null before the first.
+
+    The time from the first effective_date to the last is cut into DATE_PARTS equal parts at most, the last one without
+    an end: after it no rule begins. A day lies in one part, so inspections don't grow, and meet only rules of that part.
+    """
+    first, last = rules.agg(F.min("effective_date"), F.max("effective_date")).first()  # rules are few
+    if first is None:
+        return rules.withColumn("part", F.lit(0)).filter(F.lit(False)), lambda day: F.lit(None).cast("int")
+    width = (last - first).days // DATE_PARTS + 1
+    most = (last - first).days // width
+    part = lambda day: F.least(F.floor(F.date_diff(day, F.lit(first)) / width), F.lit(most)).cast("int")
+    open_ = rules.filter(F.col("end_date").isNull() | (F.col("end_date") > F.col("effective_date"))).filter("effective_date is not null")
+    to = F.when(F.col("end_date").isNull(), most).otherwise(part(F.date_sub("end_date", 1)))
+    return open_.withColumn("part", F.explode(F.sequence(part(F.col("effective_date")), to))), lambda day: F.when(day >= F.lit(first), part(day))
+
+
+def applicable_rules(inspections: DataFrame, rules: DataFrame, published_only: bool = False) -> DataFrame:
+    """Rows of inspections (id, category, package_type, day) with each rule in force on the day that is selected for the
+    category; rule_order is by effective_date, then version and id.
+
+    An equi-join by category and part of time (matching_rules(), time_parts()), whatever the number of rules; the dates
+    are tested on what it brings together.
+    """
+    rules = rules.filter("is_published") if published_only else rules
+    r, part = time_parts(rules.select(*[F.col(c).alias("rule_package_type" if c == "package_type" else c) for c in FLAT]))
+    joined = matching_rules(inspections.withColumn("part", part(F.col("day"))), r, on=("part",))
     in_force = (F.col("effective_date") <= F.col("day")) & (F.col("end_date").isNull() | (F.col("end_date") > F.col("day")))
-    own = F.get(F.filter("product_categories", lambda c: F.array_contains(F.col("keys"), F.concat(F.lit(ONE), c)) & category_selected(F.col("category"), F.array(c))), 0)
-    joined = looked.join(r, "key").filter(in_force & ((F.col("key") == ANY) | (F.size("product_categories") == 1) | (F.col("key") == F.concat(F.lit(ONE), own)))).drop("key", "keys")
     order = F.row_number().over(W.partitionBy("id").orderBy("effective_date", "version", "rule_version_id"))
-    return joined.withColumn("rule_order", order)
+    return joined.filter(in_force).drop("part").withColumn("rule_order", order)
 
 
 def best_declaration(declarations: DataFrame) -> DataFrame:
@@ -185,11 +217,32 @@ def rule_detail(rules: DataFrame) -> DataFrame:
 
 
 def overlapping_versions(rules: DataFrame) -> DataFrame:
-    """Pairs of published versions of one rule whose inclusive intervals overlap; an open end is 9999-12-31."""
-    ends = rules.filter("is_published").select("rule_key", "rule_version_id", "effective_date", F.coalesce("end_date", F.lit("9999-12-31").cast("date")).alias("last"))
-    a, b = ends.alias("a"), ends.alias("b")
-    meet = (F.col("a.rule_key") == F.col("b.rule_key")) & (F.col("a.rule_version_id") < F.col("b.rule_version_id")) & (F.col("a.effective_date") <= F.col("b.last")) & (F.col("a.last") >= F.col("b.effective_date"))
-    return a.join(b, meet).select(F.col("a.rule_key").alias("rule_key"), F.col("a.rule_version_id").alias("first"), F.col("b.rule_version_id").alias("second"))
+    """Pairs of published versions of one rule whose inclusive intervals overlap; an open end is 9999-12-31.
+
+    A sweep: a rule's versions are numbered by their start, and one that ends on some day overlaps exactly those that
+    start after it and not after that day, which are consecutive numbers. So the work is to number starts and ends, and
+    then in proportion to the pairs. Numbers are counted within a year of a rule and shifted by the years before, so a
+    rule with very many versions is no task's work.
+    """
+    open_end = F.lit("9999-12-31").cast("date")
+    rows = rules.filter("is_published").filter("effective_date is not null").select("rule_key", "rule_version_id", F.col("effective_date").alias("start"), F.coalesce("end_date", open_end).alias("last"))
+    starts = rows.select("*", F.lit(1).alias("starts"), F.col("start").alias("on"))
+    # an open end needs no counting: all that start later
+    ends = rows.filter(F.col("last") < open_end).select("*", F.lit(0).alias("starts"), F.col("last").alias("on"))
+    events = starts.unionByName(ends).withColumn("year", F.year("on"))
+    counts = events.groupBy("rule_key", "year").agg(F.sum("starts").alias("k"))
+    rule = W.partitionBy("rule_key")
+    before = counts.select("rule_key", "year", F.coalesce(F.sum("k").over(rule.orderBy("year").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("k").over(rule).alias("total"))
+    # of one day the starts come first: an end is inclusive
+    so_far = W.partitionBy("rule_key", "year").orderBy("on", F.desc("starts"), "rule_version_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    numbered = events.withColumn("n", F.sum("starts").over(so_far)).join(before, ["rule_key", "year"]).withColumn("n", F.col("before") + F.col("n"))
+    at = numbered.groupBy("rule_key", "rule_version_id", "start", "last").agg(F.max(F.when(F.col("starts") == 1, F.col("n"))).alias("n"), F.max(F.when(F.col("starts") == 0, F.col("n"))).alias("to"), F.max("total").alias("total"))
+    at = at.withColumn("to", F.coalesce("to", "total"))
+    later = at.filter("to > n").select("rule_key", F.col("rule_version_id").alias("one"), F.col("start").alias("from"), F.explode(F.sequence(F.col("n") + 1, F.col("to"))).alias("n"))
+    met = later.join(at.select("rule_key", "n", F.col("rule_version_id").alias("other"), "last"), ["rule_key", "n"])
+    # an interval that ends before it starts overlaps less than its start says
+    met = met.filter((F.col("from") <= F.col("last")) & (F.col("one") != F.col("other")))
+    return met.select("rule_key", F.least("one", "other").alias("first"), F.greatest("one", "other").alias("second"))
 
 
 def next_version(rules: DataFrame) -> DataFrame:

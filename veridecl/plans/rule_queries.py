@@ -85,9 +85,9 @@ def e1_applicable_rules(spark, sf):
 
 def _category_query(match, suffix):
     def run(spark, sf):
-        rules = F.broadcast(view(spark, sf, "rules_v").select("rule_version_id", "product_categories"))
+        rules = view(spark, sf, "rules_v").select("rule_version_id", "product_categories")
         products = view(spark, sf, "products_v").select("id", "category")
-        return products.join(rules, match(F.col("category"), F.col("product_categories"))).select("id", "rule_version_id")
+        return ru.matching_rules(products, rules, match).select("id", "rule_version_id")
 
     tail = " OR ends_with(category, ' > ' || c)" if suffix else ""
     return run, with_views("products_v", "rules_v") + f" SELECT p.id, r.rule_version_id FROM products_v p JOIN rules_v r ON ({_CASE} OR len(list_filter(r.product_categories, lambda c: {_MATCH}{tail})) > 0)"
