@@ -33,7 +33,7 @@ def inspected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from . import audit_queries, geometry_queries, label_queries, rule_queries, stream_queries  # noqa: F401
+    from . import audit_queries, entity_queries, geometry_queries, label_queries, rule_queries, stream_queries  # noqa: F401
 
     return dict(_QUERIES)
 
