@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -100,6 +102,28 @@ def annotation_summary(entries: DataFrame, reasons: DataFrame) -> DataFrame:
     return rows.unionByName(skipped)
 
 
+def label_fallback_rate(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """The share of accepted images (entries) one of whose packages has no label found, but its middle (choose_label())."""
+    fallback = labels.groupBy("image_id").agg(F.bool_or(F.col("origin") == "central").alias("f"))
+    rows = entries.select("image_id").join(fallback, "image_id", "left")
+    return rows.agg(F.lit("label_fallback_rate").alias("metric"), F.when(F.count("*") > 0, F.round(F.count_if("f") / F.count("*"), 3)).otherwise(0.0).alias("value"))
+
+
+def combine_splits(synthetic: DataFrame, real: DataFrame, annotated: DataFrame, sample: int = 20, seed: int = 42, strict_only: bool = False) -> DataFrame:
+    """Training and validation sets (image_id, pool, split) of two pools (image_id, split; real also strict).
+
+    Train: all of both, of the real pool only the strict one if so asked. Val: all of the real one, and a seeded sample of
+    the synthetic one. Images without an annotation are left out, sampled ones too.
+    """
+    one = lambda rows, pool, split: rows.select("image_id", F.lit(pool).alias("pool"), F.lit(split).alias("split"))
+    train = real.filter("split = 'train'")
+    parts = [
+        one(synthetic.filter("split = 'train'"), "synthetic", "train"), one(train.filter("strict") if strict_only else train, "real", "train"),
+        one(sample_images(synthetic.filter("split = 'val'"), sample, seed), "synthetic", "val"), one(real.filter("split = 'val'"), "real", "val"),
+    ]
+    return functools.reduce(DataFrame.unionByName, parts).join(annotated.select("image_id").distinct(), "image_id", "left_semi")
+
+
 def combine_datasets(first: DataFrame, second: DataFrame, annotated: DataFrame, strict_only: bool = False) -> DataFrame:
     """Both pools, without images that have no annotation, and without those outside the strict pool if so asked."""
     rows = first.unionByName(second).join(annotated.select("image_id").distinct(), "image_id", "left_semi")

@@ -95,6 +95,13 @@ def h2_audit_by_id(spark, sf):
     return au.audit_by_id(events(spark, sf), 102).select(*_EV.split(", "))
 
 
+@query(REQ + f"SELECT {_EV} FROM ev WHERE event_id = (SELECT max(event_id) FROM events WHERE event_type = 'purchase' AND event_id % 6 = 2)")
+def h2_last_rule_change(spark, sf):
+    """The last change of a rule, looked up by its id."""
+    last = spark.read.parquet(f"{sf}/events.parquet").filter("event_type = 'purchase' AND event_id % 6 = 2").agg(F.max("event_id")).first()[0]
+    return au.audit_by_id(events(spark, sf), last).select(*_EV.split(", "))
+
+
 @query(REQ + f"SELECT {_EV} FROM ev WHERE entity_type = 'rule' AND entity_id = '12'")
 def h3_entity_trail(spark, sf):
     return au.entity_trail(events(spark, sf), "rule", "12").select(*_EV.split(", "))

@@ -109,7 +109,7 @@ def k3_merge_proposals(spark, sf):
     return ds.merge_proposals(*_models(spark, sf)).drop("confidence")
 
 
-@query(
+_CHOICE = (
     BOXES
     + """, p AS (SELECT * FROM boxes_v WHERE class_name = 'package' QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY confidence DESC, seq) = 1), q AS (SELECT * FROM p WHERE confidence >= 0.5),
 k AS (SELECT o_orderkey AS image_id, coalesce(x1, 0) px1, coalesce(y1, 0) py1, coalesce(x2, 120) px2, coalesce(y2, 100) py2 FROM orders LEFT JOIN q ON o_orderkey = image_id),
@@ -119,7 +119,14 @@ m AS (SELECT k.*, CAST(0.19 AS DOUBLE) a, CAST(0.18 AS DOUBLE) b, CAST(0.81 AS D
 SELECT m.image_id, CASE WHEN l.image_id IS NULL THEN 'central' WHEN source = 0 THEN 'first' ELSE 'second' END AS origin, CAST(coalesce(x1, floor(px1 + w * a)) AS INT) x1, CAST(coalesce(y1, floor(py1 + h * b)) AS INT) y1,
  CAST(coalesce(x2, floor(px1 + w * m.c)) AS INT) x2, CAST(coalesce(y2, floor(py1 + h * d)) AS INT) y2 FROM m LEFT JOIN l USING (image_id)"""
 )
+
+
+@query(_CHOICE)
 def k4_choose_label(spark, sf):
+    return _labels(spark, sf)
+
+
+def _labels(spark, sf):
     labels = boxes(spark, sf).filter("class_name = 'label'")
     return ds.choose_label(ge.package_boxes(images(spark, sf), boxes(spark, sf)), labels.filter("seq % 2 = 0"), labels.filter("seq % 2 = 1"))
 
@@ -154,6 +161,20 @@ def k8_combine_datasets(spark, sf):
     return ds.combine_datasets(rows.filter(even).withColumn("pool", F.lit("a")), rows.filter(~even).withColumn("pool", F.lit("b")), boxes(spark, sf).filter("class_name = 'label'"), strict_only=True).select("image_id", "n_boxes", "pool")
 
 
+@query(f"SELECT 'label_fallback_rate' AS metric, round(count(*) FILTER (WHERE image_id IN (SELECT image_id FROM ({_CHOICE}) WHERE origin = 'central')) / count(*), 3) AS value FROM (SELECT DISTINCT l_orderkey AS image_id FROM lineitem)")
+def k7_label_fallback_rate(spark, sf):
+    return ds.label_fallback_rate(_entries(spark, sf), _labels(spark, sf))
+
+
+@query(_ENTRIES + """, s AS (SELECT image_id % 2 = 0 AS synthetic, image_id % 5 = 0 AS val, count(*) AS n, count(*) FILTER (WHERE strict) AS k FROM en GROUP BY ALL)
+SELECT CASE WHEN synthetic THEN 'synthetic' ELSE 'real' END AS pool, CASE WHEN val THEN 'val' ELSE 'train' END AS split, CAST(sum(CASE WHEN synthetic AND val THEN least(n, 20) WHEN synthetic OR val THEN n ELSE k END) AS BIGINT) AS n FROM s GROUP BY ALL""")
+def k8_combined_splits(spark, sf):
+    """Pools and splits of a combined set with a sample of synthetic images to validate on: how many images each has."""
+    rows = _entries(spark, sf).withColumn("split", F.when(F.col("image_id") % 5 == 0, "val").otherwise("train"))
+    even = F.col("image_id") % 2 == 0
+    return ds.combine_splits(rows.filter(even), rows.filter(~even), boxes(spark, sf), strict_only=True).groupBy("pool", "split").agg(F.count("*").alias("n"))
+
+
 def _matches(spark, sf):
     rows = boxes(spark, sf)
     return ds.match_predictions(rows.filter("seq % 2 = 0"), rows.filter("seq % 2 = 1")), rows.filter("seq % 2 = 1")

@@ -314,6 +314,13 @@ def l5_report_facts(spark, sf):
     return spelled(reports(spark, sf))
 
 
+@query(CHAIN + "SELECT sha256('report~' || i.id) AS report_id, i.id AS inspection_id, count(d.ord) AS n_notes, coalesce(string_agg(d.field_type || ':' || coalesce(d.text, '') || ':' || printf('%.2f', d.confidence), ',' ORDER BY d.ord, d.field_type), '') AS notes FROM i LEFT JOIN declarations_v d ON d.inspection_id = i.id AND coalesce(d.confidence, 1.0) < 0.5 GROUP BY i.id")
+def l5_confidence_notes(spark, sf):
+    """Of each report the declarations that were read with little confidence."""
+    said = F.transform("notes", lambda x: F.concat_ws(":", x["field_type"], F.coalesce(x["text"], F.lit("")), F.format_string("%.2f", x["confidence"])))
+    return reports(spark, sf).select("report_id", "inspection_id", F.size("notes").cast("long").alias("n_notes"), F.array_join(said, ",").alias("notes"))
+
+
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderstatus <> 'O' AND o_orderdate <= TIMESTAMP '1998-01-01' THEN 'done' WHEN o_orderstatus = 'O' THEN 'cancelled' ELSE 'scheduled' END AS new_status FROM orders")
 def l6_due_reports(spark, sf):
     from ..operators.reports import due_reports
