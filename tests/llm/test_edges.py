@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from veridecl.llm import chat, near_dedup, packing, secrets, substring_dedup, suffix_dedup, topk, toxicity, url_filter
 from veridecl.llm import textvec as tv
@@ -100,6 +101,29 @@ def test_columns_of_the_models_names_stay(spark):
     assert twice == 60
 
 
+def test_held_out_labels_don_t_reach_their_own_predictions(spark):
+    """Turning the labels of one fold over changes the other folds' predictions, but none of its own."""
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(40)]
+    rows = []
+    for i in range(360):
+        some = rng.sample(words, 12)
+        rows.append((i, some + (["vile"] if i % 3 == 0 else ["kind"]) + [f"only{i % 90}"], float(i % 3 == 0 and rng.random() < 0.9), float(i % 4 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, __w array<string>, y_low_quality double, y_toxic double").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(toxicity.FOLDS))).persist()
+    chain = toxicity.Chain.__new__(toxicity.Chain)
+    chain.names = ["low_quality", "toxic"]
+    turned = docs.withColumn("y_low_quality", F.when(F.col("fold") == 0, 1 - F.col("y_low_quality")).otherwise(F.col("y_low_quality")))
+    one, two = ({r.doc_id: (r.fold, r.p_low_quality) for r in chain.out_of_fold(d, "low_quality", []).collect()} for d in (docs, turned))
+    assert sorted(one) == sorted(two) == list(range(360))
+    for i, (fold, p) in one.items():
+        assert (abs(two[i][1] - p) < 1e-9) == (fold == 0)
+    # and a fold's predictions are those of a model of the other folds alone
+    alone = chain.out_of_fold(docs.filter("fold <> 0 or doc_id % 2 = 0"), "low_quality", [])
+    assert all(abs(one[r.doc_id][1] - r.p_low_quality) < 1e-9 for r in alone.filter("fold = 0").collect())
+    hits = [p > 0.5 for i, (_, p) in one.items() if i % 3 == 0]
+    assert sum(hits) > 0.9 * len(hits)
+
+
 def test_url_rules_against_counting(spark):
     """Of all token sets that are frequent with the label, those that are sure and beat all their subsets."""
     rng = random.Random(12)

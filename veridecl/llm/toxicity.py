@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression
@@ -67,23 +68,29 @@ class Chain:
                 self.links = [_Link(train, f"y_{n}", []) for n in self.names]
                 return
             self.vocabulary = self._telling_words(train)
-            ready = self.vocabulary.transform(train).drop("__w").persist()
-            earlier: list[str] = []
+            ready, earlier = train, []
             for name in self.names:
-                self.links.append(_Link(ready, f"y_{name}", earlier))
+                self.links.append(_Link(self.vocabulary.transform(ready), f"y_{name}", earlier))
                 if name != self.names[-1]:
-                    parts = [_Link(ready.filter(F.col("fold") != k), f"y_{name}", earlier).score(ready.filter(F.col("fold") == k), f"p_{name}") for k in range(FOLDS)]
-                    out_of_fold = parts[0]
-                    for part in parts[1:]:
-                        out_of_fold = out_of_fold.unionByName(part)
-                    before, ready = ready, out_of_fold.persist()
+                    before, ready = ready, self.out_of_fold(ready, name, earlier).persist()
                     ready.count()
-                    before.unpersist()
+                    if before is not train:
+                        before.unpersist()
                     earlier.append(f"p_{name}")
             ready.unpersist()
         finally:
             train.unpersist()
 
+    def out_of_fold(self, rows: DataFrame, name: str, earlier: Sequence[str]) -> DataFrame:
+        """Labelled rows with p_<name> from models that know nothing of them: for each fold the words are chosen and the
+        model is fitted by the other folds only."""
+        parts = []
+        for k in range(FOLDS):
+            others = rows.filter(F.col("fold") != k)
+            known = self._telling_words(others)
+            parts.append(_Link(known.transform(others), f"y_{name}", earlier).score(known.transform(rows.filter(F.col("fold") == k)), f"p_{name}").drop("__words"))
+        return functools.reduce(DataFrame.unionByName, parts)
+
     def _telling_words(self, train: DataFrame) -> CountVectorizerModel:
         labels = [f"y_{n}" for n in self.names]
         total = train.agg(*(F.avg(y).alias(y) for y in labels)).first()
