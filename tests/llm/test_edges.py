@@ -146,6 +146,20 @@ def test_url_rules_against_counting(spark):
     assert url_filter.filter_urls(pages.filter("page_id > 9"), labels).count() == 0
 
 
+def test_url_tokens_that_go_together_are_mined_as_one(spark):
+    """Sixty urls of one template with 30 query names, of which no set of names is mined apart."""
+    query = "&".join(f"name{chr(97 + k // 26)}{chr(97 + k % 26)}=1" for k in range(30))
+    urls = [f"https://bad.io/x?{query}"] * 60 + [f"https://good.io/{w}" for w in ("x", "x", "y")] * 30 + ["https://bad.io/y", "https://other.io/z?nameab=3"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i >= 60), 0) for i in range(151)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: (r.verdict, r.mined) for r in url_filter.filter_urls(pages, labels).collect()}
+    assert {got[i][0] for i in range(60)} == {"block"} and {got[i] for i in range(60, 150)} == {("allow", None)}
+    # one name of the class is enough; a host that a good page has too is sure enough
+    assert got[151] == ("block", "q:nameab") and got[150] == ("block", "d:bad.io")
+    rows = spark.createDataFrame([(["a", "b", "z"], True)] * 3 + [(["z"], True), (["z"], False)], "tokens array<string>, bad boolean")
+    assert sorted((r.rule, r.confidence, r.support) for r in url_filter.mine_rules(rows).collect()) == [("a|b", 1.0, 0.6), ("z", 0.8, 0.8)]
+
+
 def test_packing_edges(spark):
     P = pytest.importorskip("public_tokenizers")
     path = str(P.path("byte_bpe_50k.json"))

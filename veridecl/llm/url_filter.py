@@ -50,19 +50,46 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(*parts)))
 
 
+def token_classes(labelled: DataFrame, rows: int) -> list[tuple[int, int, list[str]]]:
+    """Classes of tokens that stand in exactly the same rows (tokens, bad), as (rows, bad rows, tokens in order).
+
+    Only tokens that enough bad rows hold: no other can be part of a rule. Each stands in a share SUPPORT of all rows, so
+    there are as many as a row has tokens, over SUPPORT, at most; the driver holds them. Whether two tokens stand in the
+    same rows is told by their counts and by two sums of 64-bit hashes over the distinct sets of tokens that hold them.
+    """
+    sets = labelled.groupBy("tokens").agg(F.count("*").alias("n"), F.count_if("bad").alias("b"))
+    hash_ = lambda *salt: F.xxhash64("tokens", *map(F.lit, salt)).cast("decimal(20,0)")
+    each = sets.select(F.explode("tokens").alias("token"), "n", "b", hash_().alias("h1"), hash_(1).alias("h2"))
+    counts = each.groupBy("token").agg(*(F.sum(c).alias(c) for c in ("n", "b", "h1", "h2"))).filter(F.col("b") >= SUPPORT * rows)
+    classes = counts.groupBy("n", "b", "h1", "h2").agg(F.array_sort(F.collect_list("token")).alias("tokens"))  # of one url at most
+    return sorted((int(r["n"]), int(r["b"]), list(r["tokens"])) for r in classes.collect())
+
+
 def mine_rules(labelled: DataFrame) -> DataFrame:
-    """Rules (rule, tokens, confidence, support) that block, mined from rows (tokens, bad).
+    """Rules (rule, tokens, classes, confidence, support) that block, mined from rows (tokens, bad).
+
+    Tokens that stand in exactly the same rows count as one, else each set of them would be a combination of its own:
+    one of them is mined, and the rule holds the whole class (``classes``; in ``rule`` they are parted by ``|``), any of
+    which will do. A class that stands in all rows changes nothing beside others and is judged alone.
 
-    FP-growth finds the combinations of tokens that come with the label often enough. A rule is pruned if another,
-    whose tokens it holds all, is as confident: level by level, each combination takes over the best confidence of those
-    that lack one of its tokens. No labels, or no bad ones: no rules.
+    FP-growth finds the combinations that come with the label often enough. A rule is pruned if another, whose tokens it
+    holds all, is as confident: level by level, each combination takes over the best confidence of those that lack one of
+    its tokens. No labels, or no bad ones: no rules.
     """
     spark = labelled.sparkSession
-    empty = spark.createDataFrame([], "rule string, tokens array<string>, confidence double, support double")
-    bad = labelled.filter("bad")
-    if bad.isEmpty():
-        return empty
-    items = labelled.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
+    columns = "rule string, tokens array<string>, classes array<array<string>>, confidence double, support double"
+    rows, hits = labelled.agg(F.count("*"), F.count_if("bad")).first()
+    if not hits:
+        return spark.createDataFrame([], columns)
+    classes = token_classes(labelled, rows)
+    everywhere = [(c[2][0], c[2], c[1] / c[0], c[1] / rows) for c in classes if c[0] == rows and c[1] / c[0] >= CONFIDENCE]
+    alone = spark.createDataFrame([("|".join(t), [first], [t], sure, share) for first, t, sure, share in everywhere], columns)
+    known = {c[2][0]: c for c in classes if c[0] < rows}
+    if not known:
+        return alone
+    # a token stands for its class: a row holds all of it or none
+    kept = F.array_intersect("tokens", F.array(*map(F.lit, known)))
+    items = labelled.select(F.when(F.col("bad"), F.concat(kept, F.array(F.lit(BAD)))).otherwise(kept).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=SUPPORT, minConfidence=0.0).fit(items)
     # unsure combinations too: they pass on what their subsets reach
     rules = model.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD))
@@ -76,8 +103,13 @@ def mine_rules(labelled: DataFrame) -> DataFrame:
         best = F.max(F.greatest("confidence", "shorter")).alias("shorter")
         level = materialize(subsets.join(level, "tokens").groupBy(F.col("whole").alias("tokens"), F.col("own").alias("confidence")).agg(best), "level")
         levels = levels.unionByName(level)
-    kept = levels.filter((F.col("confidence") >= CONFIDENCE) & (F.col("shorter") < F.col("confidence"))).select("tokens")
-    return rules.join(kept, "tokens").select(F.array_join("tokens", "&").alias("rule"), "tokens", "confidence", "support")
+    chosen = levels.filter((F.col("confidence") >= CONFIDENCE) & (F.col("shorter") < F.col("confidence"))).select("tokens")
+    members = spark.createDataFrame([(token, n, group) for token, (n, _, group) in known.items()], "token string, n long, members array<string>")
+    parts = chosen.select("tokens", F.explode("tokens").alias("token")).join(F.broadcast(members), "token")
+    # the rarest class first: a rule is looked up by it
+    whole = parts.groupBy("tokens").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token", "members"))), lambda x: x["members"]).alias("classes"))
+    name = F.array_join(F.array_sort(F.transform("classes", lambda c: F.array_join(c, "|"))), "&")
+    return rules.join(whole, "tokens").select(name.alias("rule"), "tokens", "classes", "confidence", "support").unionByName(alone)
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
@@ -86,7 +118,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     A listed rule fits its host and all subdomains if the path starts with its path; the longest that fits decides.
     Else the mined rules do: block if the url holds all tokens of one, else allow. ``labels`` (doc_id, quality, toxic)
     tells of the page with that page_id: bad if toxic is 1 or quality is 0. ``mined`` is the first mined rule that
-    fits in the order of text, or null.
+    fits in the order of text, with one token of each class, or null.
 
     Urls are matched by an inverted index from tokens to rules: once for each distinct set of tokens, however many
     pages share it. Null urls and urls without ``://`` have an empty host and path and no tokens: allow. Repeated rows
@@ -100,10 +132,13 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     known = labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
     mined = mine_rules(rows.filter(F.size("tokens") > 0).join(known, "page_id").select("tokens", "bad"))
 
-    index = mined.select("rule", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
-    shapes = rows.select("key", "tokens").dropDuplicates(["key"]).select("key", F.explode("tokens").alias("token"))
-    hits = shapes.join(index, "token").groupBy("key", "rule", "size").count().filter("count = size")
-    blocked = hits.groupBy("key").agg(F.min("rule").alias("mined"))
+    # a rule stands in the index under its rarest class only, and is then tested whole
+    index = mined.select("rule", "classes", F.explode(F.get("classes", 0)).alias("token"))
+    shapes = rows.select("key", "tokens").dropDuplicates(["key"]).select("key", F.explode("tokens").alias("token"), "tokens")
+    hits = shapes.join(index, "token").filter(F.forall("classes", lambda c: F.arrays_overlap(c, F.col("tokens"))))
+    # of each class the first token that the url holds
+    said = F.array_join(F.array_sort(F.transform("classes", lambda c: F.array_min(F.array_intersect(c, F.col("tokens"))))), "&")
+    blocked = hits.groupBy("key").agg(F.min(said).alias("mined"))
 
     listed = _listed(F.col("host"), F.col("path"), rules)
     out = rows.select("page_id", "host", "path", "key", listed.alias("fit")).join(blocked, "key", "left")
