@@ -160,6 +160,71 @@ def test_url_tokens_that_go_together_are_mined_as_one(spark):
     assert sorted((r.rule, r.confidence, r.support) for r in url_filter.mine_rules(rows).collect()) == [("a|b", 1.0, 0.6), ("z", 0.8, 0.8)]
 
 
+def plain_cuts(ends, total):
+    """The least cost over the same places, from every place to every one before it."""
+    places, full, boundaries = [0], [1024], dict(ends)
+    while full or boundaries:
+        at = min([*boundaries, *full[:1]])
+        if at > total:
+            break
+        if full and full[0] == at:
+            full.pop(0)
+        if at in boundaries or at - places[-1] >= packing.NEAR:
+            places.append(at)
+            full.append(at + 1024)
+        boundaries.pop(at, None)
+    penalty = dict(ends)
+    least = {0: 0}
+    for k, j in enumerate(places[1:], 1):
+        least[j] = penalty.get(j, packing.TRUNCATED) + min(least[i] + 1024 - j + i for i in places[:k] if i >= j - 1024)
+    return least[total]
+
+
+def test_cuts_by_the_queue_are_least(monkeypatch):
+    rng = random.Random(11)
+    for case in range(60):
+        ends, at = [], 0
+        while at < rng.choice([900, 6000, 20_000]):
+            at += rng.choice([1, 3, 9, 20, 60, 700, 1024, 5000] if case % 2 else [5, 12, 30])
+            ends.append((at, rng.choice([0, 1, 1, 1])))
+        ends[-1] = (at, 0)
+        cuts, given = packing.WindowCuts(), []
+        for k, end in enumerate(ends):
+            cuts.add(*end)
+            if rng.random() < 0.2:  # whenever it is asked
+                given += cuts.settled()
+        given += cuts.last()
+        penalty = dict(ends)
+        assert given[-1] == at and all(0 < b - a <= 1024 for a, b in zip([0, *given], given))
+        assert sum(1024 - (b - a) + penalty.get(b, packing.TRUNCATED) for a, b in zip([0, *given], given)) == plain_cuts(ends, at)
+        assert len(cuts.place) == 1
+
+
+def test_sequences_end_at_sentences_and_are_full(spark):
+    P = pytest.importorskip("public_tokenizers")
+    rng = random.Random(3)
+    texts = [" ".join(" ".join(rng.choice(("time", "goes", "on", "and", "still")) for _ in range(rng.randrange(4, 30))) + "." for _ in range(rng.randrange(1, 90))) for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    path = str(P.path("byte_bpe_50k.json"))
+    for anywhere in (False, True):
+        rows = packing.pack(docs, path, anywhere).collect()
+        sizes = Counter()
+        for r in rows:
+            sizes[r.sequence_id] += r.length
+        total = sum(sizes.values())
+        assert total == sum({r.doc_id: r.doc_tokens for r in rows}.values()) and max(sizes.values()) <= 1024
+        if not anywhere:
+            assert len(sizes) <= 1.02 * total / 1024 + 1
+            from tokenizers import Tokenizer
+
+            tokenizer, cut = Tokenizer.from_file(path), 0
+            ids = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+            for r in rows:
+                if r.start + r.length < r.doc_tokens:
+                    cut += not tokenizer.decode([ids[r.doc_id][r.start + r.length - 1]]).rstrip().endswith(".")
+            assert cut <= 0.1 * len(sizes)
+
+
 def test_packing_edges(spark):
     P = pytest.importorskip("public_tokenizers")
     path = str(P.path("byte_bpe_50k.json"))

@@ -1,8 +1,9 @@
-"""Order-preserving packing of documents into sequences, by dynamic programming over all places."""
+"""Order-preserving packing of documents into sequences: cuts at the least cost, by dynamic programming."""
 
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,9 @@ from . import textvec as tv
 LENGTH, END = 1024, 0
 #: Penalties, in tokens of padding, of a cut after a sentence and of a cut elsewhere inside a document.
 AT_SENTENCE, ANYWHERE = 1, 6
-#: Tokens that are laid out at a time; the last, unfinished sequence is carried into the next block.
+#: Of WindowCuts: the penalty of a full window that ends elsewhere, and how far the last place to cut must be before that.
+TRUNCATED = NEAR = 24
+#: Tokens after which cuts that are settled are looked for and laid out.
 BLOCK = 1 << 17
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -80,50 +83,138 @@ def best_cuts(boundaries: list[tuple[int, int]], total: int) -> list[int]:
     return ends[::-1]
 
 
+class WindowCuts:
+    """The cuts of a row of tokens into windows of LENGTH at most, whose padding and penalties cost least, as it goes on.
+
+    Places to cut are the ends of documents and sentences, and the end of a full window from any place, if no place lies
+    within NEAR tokens before it. Every window is taken to be padded to LENGTH, so f(j), the least cost up to place j, is
+    its penalty plus LENGTH - j plus the least f(i) + i of the places in the LENGTH tokens before it. Those that can be
+    the least for some later place stand in a monotone queue: by rising position and by rising f(i) + i.
+
+    A cut is settled when the best ways to all places in the queue go through it, as later ones come from there.
+    """
+
+    def __init__(self) -> None:
+        self.place, self.cost, self.back = [0], [0], [-1]
+        self.queue, self.full = deque([0]), deque([LENGTH])
+        self.laid = 0  # of these, all up to it are given
+
+    def add(self, position: int, penalty: int) -> None:
+        """The end of a document or sentence; positions must rise."""
+        while self.full and self.full[0] < position:
+            full = self.full.popleft()
+            if full - self.place[-1] >= NEAR:
+                self._try(full, TRUNCATED)
+        if self.full and self.full[0] == position:
+            self.full.popleft()
+        self._try(position, penalty)
+
+    def _try(self, position: int, penalty: int) -> None:
+        place, cost, queue = self.place, self.cost, self.queue
+        while place[queue[0]] < position - LENGTH:
+            queue.popleft()
+        i = queue[0]
+        least = penalty + LENGTH - position + cost[i] + place[i]
+        # of equal ones the earlier stays in front: the longer window
+        while queue and cost[queue[-1]] + place[queue[-1]] > least + position:
+            queue.pop()
+        queue.append(len(place))
+        place.append(position)
+        cost.append(least)
+        self.back.append(i)
+        self.full.append(position + LENGTH)
+
+    def _way(self, at: int) -> list[int]:
+        way = []
+        while at > self.laid:
+            way.append(at)
+            at = self.back[at]
+        return way[::-1]
+
+    def settled(self) -> list[int]:
+        """More cuts that no later place can change."""
+        ways = [self._way(i) for i in self.queue]
+        same = 0
+        while all(same < len(w) and w[same] == ways[0][same] for w in ways):
+            same += 1
+        return self._give(ways[0][:same])
+
+    def last(self) -> list[int]:
+        """All cuts that are left, up to the last place."""
+        return self._give(self._way(len(self.place) - 1))
+
+    def _give(self, way: list[int]) -> list[int]:
+        if not way:
+            return []
+        cuts = [self.place[i] for i in way]
+        # places before the last cut given are done with
+        drop = way[-1]
+        self.place, self.cost = self.place[drop:], self.cost[drop:]
+        self.back = [max(0, b - drop) for b in self.back[drop:]]
+        self.queue = deque(i - drop for i in self.queue)
+        return cuts
+
+
+class AnywhereCuts:
+    """Cuts at any token, by best_cuts() for some BLOCK tokens at a time: less padding, more sentences cut."""
+
+    def __init__(self) -> None:
+        self.places, self.begin = [], 0
+
+    def add(self, position: int, penalty: int) -> None:
+        self.places.append((position, penalty))
+
+    def _cuts(self, keep: int) -> list[int]:
+        total = self.places[-1][0] - self.begin if self.places else 0
+        cuts = [c for c in best_cuts([(p - self.begin, x) for p, x in self.places], total) if c <= total - keep]
+        if cuts:
+            cuts = [c + self.begin for c in cuts]
+            self.begin = cuts[-1]
+            self.places = [x for x in self.places if x[0] > self.begin]
+        return cuts
+
+    def settled(self) -> list[int]:
+        return self._cuts(2 * LENGTH)
+
+    def last(self) -> list[int]:
+        return self._cuts(0)
+
+
 class _Packer:
     """Lays documents out in the order in which they come, in sequences numbered from ``first``."""
 
-    def __init__(self, first: int, stops: np.ndarray) -> None:
-        self.sequence, self.stops = first, stops
-        self.pieces: list[tuple[int | None, int, np.ndarray, int]] = []  # doc, ids before, ids, ids of the whole document
-        self.waiting = 0
+    def __init__(self, first: int, stops: np.ndarray, cuts: WindowCuts | AnywhereCuts) -> None:
+        self.sequence, self.stops, self.cuts = first, stops, cuts
+        self.pieces: deque[tuple[int | None, int, np.ndarray, int]] = deque()  # doc, ids before, ids, ids of the whole document
+        self.begin = self.total = self.looked = 0
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> Iterator[list[tuple]]:
+    def add(self, doc_id: int | None, ids: np.ndarray) -> list[tuple]:
+        """Takes a document; returns the rows that are settled, now and then."""
         self.pieces.append((doc_id, 0, ids, len(ids)))
-        self.waiting += len(ids)
-        if self.waiting >= BLOCK:
-            yield self.lay(last=False)
-
-    def lay(self, last: bool) -> list[tuple]:
-        """The finished rows; what lies in the last windows is kept for the next block unless this is the last."""
-        if not self.waiting:
+        for place in (np.flatnonzero(self.stops[ids[:-1]]) + 1 + self.total).tolist():
+            self.cuts.add(place, AT_SENTENCE)
+        self.total += len(ids)
+        self.cuts.add(self.total, 0)
+        if self.total - self.looked < BLOCK:
             return []
-        boundaries, at = [], 0
-        for _, _, ids, _ in self.pieces:
-            inner = np.flatnonzero(self.stops[ids[:-1]]) + 1 + at
-            boundaries += [(p, AT_SENTENCE) for p in inner.tolist()]
-            at += len(ids)
-            boundaries.append((at, 0 if ids[-1] == END else AT_SENTENCE))
-        ends = best_cuts(boundaries, at)
-        if not last:
-            ends = ends[: int(np.searchsorted(ends, at - 2 * LENGTH))]
-        rows, piece, used, begin = [], 0, 0, 0
+        self.looked = self.total
+        return self.lay(self.cuts.settled())
+
+    def lay(self, ends: list[int]) -> list[tuple]:
+        """Rows of the sequences that end there."""
+        rows = []
         for end in ends:
             offset = 0
-            while offset < end - begin:
-                doc_id, before, ids, whole = self.pieces[piece]
-                part = ids[used : used + end - begin - offset]
-                rows.append((doc_id, before + used, len(part), zlib.crc32(part.astype("<u4").tobytes()), whole, self.sequence, offset))
+            while offset < end - self.begin:
+                doc_id, before, ids, whole = self.pieces[0]
+                part = ids[: end - self.begin - offset]
+                rows.append((doc_id, before, len(part), zlib.crc32(part.astype("<u4").tobytes()), whole, self.sequence, offset))
                 offset += len(part)
-                used += len(part)
-                if used == len(ids):
-                    piece, used = piece + 1, 0
-            begin, self.sequence = end, self.sequence + 1
-        rest = self.pieces[piece:]
-        if rest and used:
-            doc_id, before, ids, whole = rest[0]
-            rest[0] = (doc_id, before + used, ids[used:], whole)
-        self.pieces, self.waiting = rest, at - begin
+                if len(part) == len(ids):
+                    self.pieces.popleft()
+                else:
+                    self.pieces[0] = (doc_id, before + len(part), ids[len(part) :], whole)
+            self.begin, self.sequence = end, self.sequence + 1
         return rows
 
 
@@ -131,27 +222,26 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SCHEMA)], schema=SCHEMA)
 
 
-def _pack(tokenizer: str):
+def _pack(tokenizer: str, anywhere: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .tokens import load
 
         encode, stops = load(tokenizer)
-        packer = _Packer(TaskContext.get().partitionId() << 36, stops)
+        packer = _Packer(TaskContext.get().partitionId() << 36, stops, AnywhereCuts() if anywhere else WindowCuts())
         for batch in batches:
             for part in tv.text_slices(batch, "text"):
                 rows: list[tuple] = []
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    for more in packer.add(doc_id, np.append(encode(text or ""), END)):
-                        rows += more
+                    rows += packer.add(doc_id, np.append(encode(text or ""), END))
                 if rows:
                     yield _batch(rows)
-        if rows := packer.lay(last=True):
+        if rows := packer.lay(packer.cuts.last()):
             yield _batch(rows)
 
     return run
 
 
-def pack(documents: DataFrame, tokenizer: str) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, anywhere: bool = False) -> DataFrame:
     """All tokens of all documents in sequences of at most 1024 with little padding; one row for each piece.
 
     ``tokenizer`` is the place of a tokenizer file that every executor has. A document is its ids and then id 0.
@@ -159,11 +249,12 @@ def pack(documents: DataFrame, tokenizer: str) -> DataFrame:
     unsigned 32-bit integers), doc_tokens, sequence_id, offset (in the sequence, without gaps from 0).
 
     Documents keep the order in which the partitions hold them, and each partition packs its own, so nothing is
-    shuffled; a task that runs again makes the same rows. Windows end at document or sentence ends, or elsewhere at a
-    penalty, as best_cuts() says, at the least cost of each BLOCK. Padding: a sequence is filled to 1024 unless its length is a power of two.
+    shuffled; a task that runs again makes the same rows. Sequences end at document or sentence ends, or with a full
+    window where none is near, at the least padding and penalty over the whole partition (WindowCuts); what is settled is
+    laid out as it goes, so a task holds some windows and a document. ``anywhere`` cuts at any token instead (AnywhereCuts).
 
     Empty or null texts: the one id 0. Repeated rows are packed each; a null doc_id stays null. A very long text is
     cut into as many pieces as it needs. An empty table gives no rows. Further columns are ignored.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_pack(tokenizer), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return docs.mapInArrow(_pack(tokenizer, anywhere), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
