@@ -9,7 +9,8 @@ from veridecl.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
-CHECKED = ["b6_normalize_tokens", "c10_extract_declarations", "e11_evaluate_rules", "e16_overlapping_versions", "f8_evaluate_compliance", "f10_violation_rows", "g4_apply_reviews", "h4_audit_events", "i4_dedup_images", "j2_iou", "k10_average_precision", "l3_trends", "l4_category_rates", "l5_report_facts"]
+CHECKED = ["b6_normalize_tokens", "c10_extract_declarations", "e11_evaluate_rules", "e16_overlapping_versions", "f8_evaluate_compliance", "f10_violation_rows", "g4_apply_reviews", "h4_audit_events", "i4_dedup_images", "j2_iou", "k10_average_precision", "l3_trends", "l4_category_rates", "l5_report_facts",
+    "a1_check_entities", "a5_label_files", "a9_read_images", "e1_applicable_rules", "e3_category_applies", "f9_compliance_checks", "f12_evidence", "h2_last_rule_change", "k7_label_fallback_rate", "k8_combined_splits", "l5_confidence_notes", "l7_run_pipeline", "l9_sliding_login_alerts", "l10_upload_ledger", "l12_rollup_upserts"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
