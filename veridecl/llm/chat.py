@@ -150,5 +150,6 @@ def _digests(rows: list, names: list[str]) -> pa.RecordBatch:
 def digests(segments: DataFrame) -> DataFrame:
     """One row for each conversation that format_conversations() returned, read back from its output: conv_id, n_turns,
     turns_sha256 (of role, \\n, text, \\n of each turn), loss_chars, loss_sha256 (of the unescaped text under the loss
-    mask), formatted_chars. Takes the rows as they lie in the partitions, without another shuffle."""
+    mask), formatted_chars. Takes the rows as they lie in the partitions, without another shuffle. A null conv_id is a
+    conversation too, null texts are empty, and repeated turns count each; no rows give none."""
     return segments.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -168,6 +168,7 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
     open_ = materialize(passages.join(often, "u1", "left_semi"), "open")
     forget(passages)
     one = _kept_and_removed(open_, owners, ["u1", "u2"], "passage")
+    forget(open_)  # what is shared has a table of its own now
 
     found = materialize(docs.select("o", "text").mapInArrow(_paragraphs, f"{PROFILE}, o long, at long"), "paragraphs")
 
@@ -209,7 +210,8 @@ def repeat_report(documents: DataFrame) -> DataFrame:
     maximal runs, comma-joined), keepers (the distinct ids of the copies that stay).
 
     A byte is removed where any of the spans that cover it is removed: another copy of that span stays, whatever else
-    of this document stays beside it.
+    of this document stays beside it. Null, empty, short and unlike texts have no row, equal rows have one, and documents
+    with a null doc_id one each; further columns are ignored, and an empty table gives no rows.
     """
     span = F.struct("start", "end", "cluster", "keeper", "removed", "kind")
     found = repeated_passages(documents).groupBy("doc_id", "o").agg(F.collect_set(span).alias("spans"))
