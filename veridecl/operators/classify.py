@@ -24,8 +24,8 @@ CATEGORIES = {
     "other_uncategorized": "Other/Uncategorized",
 }
 CONFIDENT = 0.6
-#: Labelled rows that a model is fitted on at most.
-MOST_LABELLED = 50_000
+#: Labelled rows that a model is fitted on at most, and partitions of them.
+MOST_LABELLED, FIT_PARTITIONS = 50_000, 4
 
 
 def category_paths(categories: DataFrame) -> DataFrame:
@@ -130,7 +130,9 @@ def train_classifier(labelled: DataFrame, vocabulary: int = 5000, most: int = MO
         size = len(known)
         vector = F.udf(lambda cells: Vectors.sparse(size, [(c[0], c[1]) for c in cells or []]), VectorUDT())  # at most ``most`` rows
         number = (F.array_position(F.array(*map(F.lit, labels)), F.col("label")) - 1).cast("double")
-        fitted = LogisticRegression(family="multinomial", maxIter=50, regParam=0.001).fit(rows.join(cells, "id", "left").select(number.alias("label"), vector("cells").alias("features")))
+        ready = rows.join(cells, "id", "left").select(number.alias("label"), vector("cells").alias("features"))
+        # each step of the fit is a job with a task for each partition: few for so few rows
+        fitted = LogisticRegression(family="multinomial", maxIter=50, regParam=0.001).fit(ready.coalesce(FIT_PARTITIONS))
         weights = fitted.coefficientMatrix.toArray()
         return NameModel(labels, [float(x) for x in fitted.interceptVector.toArray()], [(gram, idf, [float(x) for x in weights[:, k]]) for k, (gram, idf) in enumerate(known)])
     finally:

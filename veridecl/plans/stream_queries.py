@@ -42,18 +42,20 @@ def _requests(spark, sf):
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _run(spark, stream, mode="append"):
+def _run(spark, stream):
     path = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
-    if mode == "append":
-        jobs.run_to_table(stream, f"{path}/out", f"{path}/ck")
-    else:
-        def each(batch, _):
-            batch.write.mode("overwrite").parquet(f"{path}/out")
-
-        stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{path}/ck").trigger(availableNow=True).start().awaitTermination()
+    jobs.run_to_table(stream, f"{path}/out", f"{path}/ck")
     return spark.read.parquet(f"{path}/out")
 
 
+def _run_updates(spark, stream, value, *keys):
+    """A stream of changed counts to what each key has last: batches hand on what they changed, and state goes with the
+    watermark."""
+    path = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
+    tables.start_each(stream, lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}"), f"{path}/ck", "update").awaitTermination()
+    return spark.read.parquet(f"{path}/out").groupBy(*keys).agg(F.max_by(value, "batch").alias(value))
+
+
 @query(REQ + "SELECT event_id, actor_id, action, entity_type, entity_id FROM ev")
 def l8_stream_audit(spark, sf):
     return _run(spark, jobs.stream_audit(_requests(spark, sf))).select("event_id", "actor_id", "action", "entity_type", "entity_id")
@@ -61,7 +63,7 @@ def l8_stream_audit(spark, sf):
 
 @query(with_views("requests_v") + "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, actor_id, count(*) AS attempts FROM requests_v WHERE path = '/api/v1/auth/login' GROUP BY ALL HAVING count(*) > 2")
 def l9_stream_login_throttle(spark, sf):
-    out = _run(spark, jobs.stream_login_throttle(_requests(spark, sf), "1 day", 2), mode="complete")
+    out = _run_updates(spark, jobs.stream_login_throttle(_requests(spark, sf), "1 day", 2), "attempts", "window_start", "actor_id")
     return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "actor_id", "attempts")
 
 
@@ -199,7 +201,7 @@ def l11_stream_pipeline(spark, sf):
 def l12_stream_rollup(spark, sf):
     tables = {t: spark.read.parquet(f"{sf}/{t}.parquet") for t in ("part", "customer", "nation", "region")}
     rows = spark.sql(COMMON["inspections_v"], orders=_stream(spark, sf, "orders"), **tables).withColumn("created_at", F.col("created_at").cast("timestamp"))
-    out = _run(spark, jobs.stream_rollup(rows), mode="complete")
+    out = _run_updates(spark, jobs.stream_rollup(rows), "n", "day", "overall_status")
     return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "overall_status", "n")
 
 
