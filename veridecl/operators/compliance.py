@@ -144,10 +144,21 @@ def outcomes(inspections: DataFrame, verdicts: DataFrame, declarations: DataFram
     Verdicts are gathered by inspection once, and everything is read off that one array; decisions that don't rest on
     verdicts (HELD) have none of the three. An inspection has as many verdicts as rules apply to it.
     """
+    rows = inspections.select(F.col("id").alias("inspection_id")).join(gathered_verdicts(verdicts), "inspection_id", "left").join(count_extracted(declarations), "inspection_id", "left").join(latest_images(images), "inspection_id", "left")
+    return concluded(rows)
+
+
+def gathered_verdicts(verdicts: DataFrame, *also: str) -> DataFrame:
+    """One row for each inspection with its verdicts in an array; ``also`` names columns that its rows have alike. Rows
+    without a rule give no verdict."""
     own = field_columns()
     one = F.struct("rule_version_id", "rule_key", own["field_type"].alias("field"), own["status"].alias("status"), own["field_confidence"].alias("sure"), "verdict", severity(F.col("field_type"), F.col("verdict_type")).alias("severity"), "detail", "text", is_low().alias("low"))
-    gathered = verdicts.groupBy("inspection_id").agg(F.array_sort(F.collect_list(one)).alias("vs"))
-    rows = inspections.select(F.col("id").alias("inspection_id")).join(gathered, "inspection_id", "left").join(count_extracted(declarations), "inspection_id", "left").join(latest_images(images), "inspection_id", "left")
+    one = F.when(F.col("rule_version_id").isNotNull(), one)
+    return verdicts.groupBy("inspection_id").agg(F.array_sort(F.collect_list(one)).alias("vs"), *[F.first(c).alias(c) for c in also])
+
+
+def concluded(rows: DataFrame, *also: str) -> DataFrame:
+    """outcomes() of rows (inspection_id, vs, n_extracted, image_id), with the columns that ``also`` names."""
     some = lambda test: F.filter(F.coalesce("vs", F.array()), test)
     counts = {"n_pass": lambda x: x["verdict"] == "PASS", "n_fail": lambda x: x["verdict"] == "FAIL", "n_na": lambda x: x["verdict"] == "NOT_APPLICABLE", "n_low": lambda x: x["low"]}
     rows = rows.withColumns({"n_extracted": F.coalesce("n_extracted", F.lit(0)), **{name: F.size(some(test)) for name, test in counts.items()}})
@@ -160,7 +171,7 @@ def outcomes(inspections: DataFrame, verdicts: DataFrame, declarations: DataFram
     shown = lambda x: F.struct(x["rule_version_id"].alias("rule_version_id"), F.col("image_id").alias("image_id"), id_(x["rule_version_id"], F.col("image_id").cast("string")).alias("id"))
     failed = some(counts["n_fail"])
     return rows.select(
-        "inspection_id", "overall_status", "status_reason", "n_extracted", "n_pass", "n_fail", "n_na", "image_id", F.transform(F.coalesce("vs", F.array()), check).alias("checks"), F.transform(failed, found).alias("violations"),
+        "inspection_id", *also, "overall_status", "status_reason", "n_extracted", "n_pass", "n_fail", "n_na", "image_id", F.transform(F.coalesce("vs", F.array()), check).alias("checks"), F.transform(failed, found).alias("violations"),
         F.transform(F.filter(failed, lambda x: F.col("image_id").isNotNull()), shown).alias("evidence"),
     )
 

@@ -162,8 +162,8 @@ def complete_fields(declarations: DataFrame) -> DataFrame:
     return declarations.select("inspection_id", "field_type", "value", "confidence").unionByName(absent)
 
 
-def extract_declarations(tokens: DataFrame) -> DataFrame:
-    """All declarations of every inspection: inspection_id, field_type, value, confidence, ord.
+def gathered_declarations(tokens: DataFrame) -> DataFrame:
+    """All declarations of every inspection in one row: inspection_id, found (field_type, value, confidence; in order).
 
     One grouping by inspection gathers its tokens (tens of them); all fields are then found inside the row.
     """
@@ -186,7 +186,12 @@ def extract_declarations(tokens: DataFrame) -> DataFrame:
     rows = rows.select("inspection_id", F.concat(F.array(*fixed[:2]), dates, F.array(*fixed[2:])).alias("found"))
     names = F.transform("found", lambda x: x["field_type"])
     absent = F.transform(F.array_except(F.array(*map(F.lit, FIELD_TYPES)), names), lambda f: F.struct(f.alias("field_type"), F.lit(MISSING).alias("value"), F.lit(0.0).alias("confidence")))
-    return rows.select("inspection_id", F.posexplode(F.concat("found", absent)).alias("ord", "d")).select("inspection_id", "d.field_type", "d.value", "d.confidence", "ord")
+    return rows.select("inspection_id", F.concat("found", absent).alias("found"))
+
+
+def extract_declarations(tokens: DataFrame) -> DataFrame:
+    """All declarations of every inspection: inspection_id, field_type, value, confidence, ord."""
+    return gathered_declarations(tokens).select("inspection_id", F.posexplode("found").alias("ord", "d")).select("inspection_id", "d.field_type", "d.value", "d.confidence", "ord")
 
 
 def field_status(declarations: DataFrame) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..sources.schemas import CONTENT
 
-#: The key that rules for all categories are joined by; the keys of categories begin with another mark.
-ANY, ONE = "*", "="
+#: The keys that rules for all categories are joined by, and that no rule has; the keys of categories begin with another mark.
+ANY, NONE, ONE = "*", "-", "="
 #: Rules are broadcast up to so many bytes, as JSON; the join is the same beyond.
 MOST_BROADCAST = 8 << 20
 #: Parts that the time of the rules is cut into at most.
@@ -96,23 +96,27 @@ def small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if size <= MOST_BROADCAST else rows
 
 
-def matching_rules(rows: DataFrame, rules: DataFrame, match: Callable[[Column, Column], Column] = category_selected, on: tuple[str, ...] = ()) -> DataFrame:
+def matching_rules(rows: DataFrame, rules: DataFrame, match: Callable[[Column, Column], Column] = category_selected, on: tuple[str, ...] = (), spare: bool = False) -> DataFrame:
     """``rows`` (category and more) with each of ``rules`` (product_categories and more) for which match() holds.
 
     An equi-join by category, at every size: a rule has a row for each category that it requires, or one for ANY, and a
     row of ``rows`` one for each category that its path holds. A rule that is met by several of its categories is taken by
-    the first of them. ``on``: further columns that must be equal. Rules are broadcast if their size allows it.
+    the first of them. ``on``: further columns that must be equal. Rules are broadcast if their size allows it. With
+    ``spare``, each row comes once more, without a rule.
     """
     required = F.coalesce("product_categories", F.array().cast("array<string>"))
     free = (F.size(required) == 0) | F.array_contains(required, "ALL")
     named = F.transform(F.array_distinct(required), lambda c: F.concat(F.lit(ONE), c))
     r = small(rules.withColumn("key", F.explode(F.when(free, F.array(F.lit(ANY))).otherwise(named))))
     # keys are never empty; a plain explode() would test that, working them out twice
-    looked = rows.withColumn("keys", category_keys(F.col("category"))).withColumn("key", F.explode_outer("keys"))
+    looked = rows.withColumn("keys", category_keys(F.col("category")))
+    looked = looked.withColumn("key", F.explode_outer(F.concat(F.array(F.lit(NONE)), F.col("keys")) if spare else F.col("keys")))
     own = F.get(F.filter("product_categories", lambda c: F.array_contains(F.col("keys"), F.concat(F.lit(ONE), c)) & match(F.col("category"), F.array(c))), 0)
     # keys are what category_selected() finds, so that nothing is left to be tested of a rule's only category
     sure = F.size("product_categories") == 1 if match is category_selected else F.lit(False)
     hit = (F.col("key") == ANY) | sure | (F.col("key") == F.concat(F.lit(ONE), own))
+    if spare:
+        return looked.join(r, ["key", *on], "left").filter(F.col("rule_version_id").isNotNull() & hit | (F.col("key") == NONE)).drop("key", "keys")
     return looked.join(r, ["key", *on]).filter(hit).drop("key", "keys")
 
 
@@ -133,19 +137,20 @@ def time_parts(rules: DataFrame) -> tuple[DataFrame, Callable[[Column], Column]]
     return open_.withColumn("part", F.explode(F.sequence(part(F.col("effective_date")), to))), lambda day: F.when(day >= F.lit(first), part(day))
 
 
-def applicable_rules(inspections: DataFrame, rules: DataFrame, published_only: bool = False) -> DataFrame:
+def applicable_rules(inspections: DataFrame, rules: DataFrame, published_only: bool = False, spare: bool = False) -> DataFrame:
     """Rows of inspections (id, category, package_type, day) with each rule in force on the day that is selected for the
     category; rule_order is by effective_date, then version and id.
 
     An equi-join by category and part of time (matching_rules(), time_parts()), whatever the number of rules; the dates
-    are tested on what it brings together.
+    are tested on what it brings together. With ``spare``, each inspection has one more row, without a rule.
     """
     rules = rules.filter("is_published") if published_only else rules
     r, part = time_parts(rules.select(*[F.col(c).alias("rule_package_type" if c == "package_type" else c) for c in FLAT]))
-    joined = matching_rules(inspections.withColumn("part", part(F.col("day"))), r, on=("part",))
+    joined = matching_rules(inspections.withColumn("part", part(F.col("day"))), r, on=("part",), spare=spare)
     in_force = (F.col("effective_date") <= F.col("day")) & (F.col("end_date").isNull() | (F.col("end_date") > F.col("day")))
     order = F.row_number().over(W.partitionBy("id").orderBy("effective_date", "version", "rule_version_id"))
-    return joined.filter(in_force).drop("part").withColumn("rule_order", order)
+    kept = in_force | F.col("rule_version_id").isNull() if spare else in_force
+    return joined.filter(kept).drop("part").withColumn("rule_order", order)
 
 
 def best_declaration(declarations: DataFrame) -> DataFrame:
@@ -158,7 +163,13 @@ def evaluate_rules(inspections: DataFrame, rules: DataFrame, declarations: DataF
     """One verdict for each inspection and applicable rule version, with type and detail."""
     rows = applicable_rules(inspections, rules)
     best = best_declaration(declarations).select(F.col("inspection_id").alias("id"), F.col("field_type").alias("field"), "text")
-    rows = rows.join(best, ["id", "field"], "left").withColumn("gate", applies_when_gate(F.col("category"), F.col("package_type")))
+    return verdicts(rows.join(best, ["id", "field"], "left"))
+
+
+def verdicts(rows: DataFrame, *also: str) -> DataFrame:
+    """The verdict on each row of applicable_rules() with the text of the declaration that its rule looks at; ``also``
+    names columns that are handed on. A row without a rule has no verdict."""
+    rows = rows.withColumn("gate", applies_when_gate(F.col("category"), F.col("package_type")))
     text, field, kind = F.col("text"), F.col("field"), F.col("validation_type")
     missing = text.isNull()
     unmatched = (F.coalesce("pattern", F.lit("")) != "") & ~F.rlike(text, F.col("pattern"))
@@ -180,8 +191,8 @@ def evaluate_rules(inspections: DataFrame, rules: DataFrame, declarations: DataF
         verdict = F.when(test, value).otherwise(verdict if verdict is not None and test is not cases[-1][0] else F.struct(F.lit("PASS").alias("verdict"), F.lit("PRESENCE").alias("verdict_type"), F.concat(F.lit("Unknown validation type '"), kind, F.lit("'")).alias("detail")))
     # the target is not named where the rule doesn't get as far as its validation
     target = F.when(F.col("gate").isNull() & kind.isin("regex_and_presence", "presence_only", "format_check"), field)
-    rows = rows.withColumn("v", verdict)
-    return rows.select(F.col("id").alias("inspection_id"), "rule_version_id", "rule_key", "rule_order", target.alias("field_type"), "v.verdict", "v.verdict_type", "v.detail", "text", F.lit(None).cast("double").alias("confidence"))
+    rows = rows.withColumn("v", F.when(F.col("rule_version_id").isNotNull(), verdict))
+    return rows.select(F.col("id").alias("inspection_id"), *also, "rule_version_id", "rule_key", "rule_order", target.alias("field_type"), "v.verdict", "v.verdict_type", "v.detail", "text", F.lit(None).cast("double").alias("confidence"))
 
 
 def missing_declarations(inspections: DataFrame, rules: DataFrame, declarations: DataFrame) -> DataFrame:
