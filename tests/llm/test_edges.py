@@ -251,3 +251,27 @@ def test_suffix_chat_and_top_k_edges(spark):
     vectors = spark.createDataFrame([(i, [float(i), 1.0], 7, 7.0) for i in range(120)] + [(5, [5.0, 1.0], 7, 7.0)], "vec_id long, embedding array<double>, cell int, score double")
     best = topk.top_k(vectors, vectors.filter("vec_id = 100"), 2).collect()
     assert sorted((r.rank, r.vec_id, r.score) for r in best) == [(1, 119, 65536 * (100 * 119 + 1)), (2, 118, 65536 * (100 * 118 + 1))]
+
+
+def test_join_spread_is_the_plain_join(spark):
+    from veridecl.llm.shared import join_spread
+
+    # key 7 holds a third of the rows, null keys meet nothing, repeated rows stay, counts leave some keys out
+    rows = spark.createDataFrame([(7, i % 40, f"a{i}") for i in range(500)] + [(i % 97 + 10, i, f"b{i}") for i in range(1000)] + [(None, 1, "c")] + [(8, None, "d")] * 3, "k long, x long, v string")
+    few = spark.createDataFrame([(k, f"w{k}") for k in (7, 8, *range(10, 60))], "k long, w string")
+    counts = rows.groupBy("k").count().filter("count > 3")
+    for how in ("inner", "left"):
+        got = join_spread(rows, few, counts, ["k"], "x", how)
+        want = rows.join(few, "k", how)
+        assert got.columns == want.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    for nothing in (counts.filter("false"), spark.createDataFrame([], counts.schema)):
+        assert join_spread(rows, few, nothing, ["k"], "x").count() == rows.join(few, "k").count()
+    assert join_spread(rows.filter("false"), few, counts, ["k"], "x").count() == 0
+    # the hot key's rows meet theirs in several tasks
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        met = join_spread(rows, few.hint("merge"), counts, ["k"], "v").filter("k = 7")
+        assert met.select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")

@@ -14,6 +14,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @functools.cache
@@ -67,3 +68,23 @@ def forget(df: DataFrame) -> None:
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
+
+
+#: A key that more than one row in so many has is dealt over several tasks; there are fewer such keys than that.
+SHARES = 500
+
+
+def join_spread(rows: DataFrame, few: DataFrame, counts: DataFrame, keys: list[str], of: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``few``, which has a row for each of ``keys`` at most, where some keys hold many of the rows.
+
+    ``counts`` (keys, count) says how many rows a key has; keys of few rows may be absent. Keys of over a SHARES-th of
+    the sum of all counts, so fewer than SHARES, are broadcast; their rows are dealt on by a hash of the column ``of``,
+    and their row of ``few`` goes to each part. Wrong counts would only deal the rows otherwise. The result is that of
+    the plain join.
+    """
+    most = (counts.agg(F.sum("count")).first()[0] or 0) // SHARES + 1
+    hot = F.broadcast(counts.filter(F.col("count") > most).select(*keys, F.ceil(F.col("count") / most).cast("int").alias("__parts")))
+    parts = F.coalesce("__parts", F.lit(1))
+    left = rows.join(hot, keys, "left").withColumn("__part", F.pmod(F.xxhash64(of), parts).cast("int"))
+    right = few.join(hot, keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return left.join(right, [*keys, "__part"], how).drop("__part", "__parts")

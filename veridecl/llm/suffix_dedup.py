@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .shared import materialize
+from .shared import join_spread, materialize
 
 #: Bytes of the strings that may occur once only; bytes of the tokens whose least hash marks a string's anchor.
 LENGTH, TOKEN = 400, 128
@@ -209,15 +209,17 @@ def _with_spans(documents: DataFrame) -> DataFrame:
     docs = docs.withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit(1), "text"))
     blocks = materialize(docs.select("text", "t1", "t2").filter(F.octet_length("text") >= LENGTH).mapInArrow(_blocks, "t1 long, t2 long, start long, n int, anchor int, h1 long, h2 long"), "blocks")
     # a string whose anchor's token stands nowhere else occurs once
-    again = blocks.groupBy("h1").count().filter("count > 1").select("h1")
-    open_ = materialize(blocks.join(again, "h1", "left_semi"), "open")
+    again = materialize(blocks.groupBy("h1").count().filter("count > 1"), "again")
+    open_ = materialize(join_spread(blocks.withColumn("at", F.hash("t1", "start")), again.select("h1"), again, ["h1"], "at").drop("at"), "open")
     kinds = open_.groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min(F.struct("t1", "t2", "start", "n", "anchor")).alias("one"))
     kinds = materialize(kinds, "kinds")
     # blocks alike as a whole are repeated as a whole; of tokens with unlike blocks, one block of each kind is sorted
     unlike = kinds.groupBy("h1").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     wanted = kinds.join(unlike, "h1").select("one.t1", "one.t2", F.struct(F.col("h1"), F.col("h2"), F.col("one.anchor").alias("anchor"), F.col("one.start").alias("start"), F.col("one.n").alias("n")).alias("w"))
     wanted = wanted.groupBy("t1", "t2").agg(F.collect_list("w").alias("wanted"))
-    texts = docs.select("text", "t1", "t2").join(wanted, ["t1", "t2"]).select("text", "wanted")
+    # rows of one text, a third of all perhaps, are dealt by their ids
+    equal = materialize(docs.groupBy("t1", "t2").count().filter("count > 1"), "equal")
+    texts = join_spread(docs, wanted, equal, ["t1", "t2"], "doc_id").select("text", "wanted")
     cut = texts.mapInArrow(_cut_blocks, _BLOCK).dropDuplicates(["h1", "h2"])
     cut = materialize(cut.join(unlike, "h1"), "cut")
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -233,11 +235,11 @@ def _with_spans(documents: DataFrame) -> DataFrame:
 
     rows = open_.select("t1", "t2", "start", "n", "h1", "h2").dropDuplicates(["t1", "t2", "start"])
     judged = kinds.select("h1", "h2", "copies").join(found, ["h1", "h2"], "left").filter("copies > 1 or ranges is not null")
-    rows = rows.join(judged, ["h1", "h2"])
+    rows = join_spread(rows, judged, kinds.select("h1", "h2", F.col("copies").alias("count")), ["h1", "h2"], "t1")
     whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - 1).alias("z")))
     rows = rows.select("t1", "t2", "start", F.explode(F.when(F.col("copies") > 1, whole).otherwise(F.col("ranges"))).alias("r"))
     spans = rows.groupBy("t1", "t2").agg(F.collect_list(F.struct((F.col("start") + F.col("r.a")).alias("a"), (F.col("start") + F.col("r.z") + LENGTH).alias("b"))).alias("spans"))
-    return docs.join(spans, ["t1", "t2"], "left").select("doc_id", "text", "spans")
+    return join_spread(docs, spans, equal, ["t1", "t2"], "doc_id", "left").select("doc_id", "text", "spans")
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
