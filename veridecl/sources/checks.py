@@ -73,13 +73,30 @@ def column_issues(spark: SparkSession, folder: str, name: str) -> tuple[list[tup
     return found, rows.select(*fit)
 
 
+def _key_issues(name: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """Ids of one entity that stand more than once, and rows of each reference to it that find none.
+
+    Ids and references are counted together by their value, so nothing is joined or broadcast, however small a table
+    looks to the planner, and a value that many rows hold is one row of each task.
+    """
+    held = [(of, c) for (of, c), other in REFERENCES.items() if other == name and of in tables and c in tables[of].columns]
+    # 0 marks the entity's own ids
+    keys = [tables[name].select("id", F.lit(0).alias("k"))] + [tables[of].select(F.col(c).alias("id"), F.lit(k).alias("k")) for k, (of, c) in enumerate(held, 1)]
+    counts = [F.count_if(F.col("k") == k).alias(f"n{k}") for k in range(len(keys))]
+    met = functools.reduce(DataFrame.unionByName, keys).filter("id is not null").groupBy("id").agg(*counts)
+    issue = lambda entity, issue, field, n: F.struct(F.lit(entity).alias("entity"), F.lit(issue).alias("issue"), F.lit(field).alias("field"), n.alias("n"))
+    found = [issue(name, "duplicate_key", "id", F.count_if(F.col("n0") > 1))]
+    found += [issue(of, "orphan", c, F.coalesce(F.sum(F.when(F.col("n0") == 0, F.col(f"n{k}"))), F.lit(0))) for k, (of, c) in enumerate(held, 1)]
+    return met.agg(F.array(*found).alias("all")).select(F.inline("all"))
+
+
 def check_entities(spark: SparkSession, folder: str) -> DataFrame:
     """All that is wrong with the tables of all entities in a folder, as rows (entity, issue, field, n).
 
-    missing_table, missing_column, unknown_column and type come from the files' schemas; null_key, duplicate_key (ids that
-    stand more than once) and bad_value (rows with a value that the column may not hold) from one scan of each table, of
-    the columns that are looked at; orphan (rows whose reference has no row in the other entity) from an anti-join for
-    each reference. A null reference or value is no fault. Rows with n = 0 are left out.
+    missing_table, missing_column, unknown_column and type come from the files' schemas; null_key and bad_value (rows with a
+    value that the column may not hold) from one scan of each table, of the columns that are looked at; duplicate_key (ids
+    that stand more than once) and orphan (rows whose reference has no row in the other entity) from one grouping for each
+    entity, of its ids and all that refers to them. A null reference or value is no fault. Rows with n = 0 are left out.
     """
     issues: list[tuple[str, str, str, int]] = []
     tables: dict[str, DataFrame] = {}
@@ -91,17 +108,10 @@ def check_entities(spark: SparkSession, folder: str) -> DataFrame:
     parts = [spark.createDataFrame(issues, ISSUES)]
     for name, rows in tables.items():
         if "id" in rows.columns:
-            twice = rows.filter("id is not null").groupBy("id").agg(F.count("*").alias("c")).agg(F.count_if(F.col("c") > 1).alias("n"))
-            parts.append(twice.select(F.lit(name).alias("entity"), F.lit("duplicate_key").alias("issue"), F.lit("id").alias("field"), "n"))
+            parts.append(_key_issues(name, tables))
         tests = {("null_key", "id"): F.col("id").isNull()} if "id" in rows.columns else {}
         tests |= {("bad_value", c): ~F.col(c).isin(*allowed) for (of, c), allowed in VALUES.items() if of == name and c in rows.columns}
         if tests:
             counts = F.array(*[F.struct(F.lit(issue).alias("issue"), F.lit(c).alias("field"), F.count_if(F.coalesce(test, F.lit(False))).alias("n")) for (issue, c), test in tests.items()])
             parts.append(rows.agg(counts.alias("all")).select(F.lit(name).alias("entity"), F.inline("all")))
-    for (name, column), other in REFERENCES.items():
-        if name in tables and other in tables and column in tables[name].columns and "id" in tables[other].columns:
-            # references are counted before they meet the other entity, so that one that many rows hold is met once
-            held = tables[name].filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("id")).agg(F.count("*").alias("c"))
-            lost = held.join(tables[other].select("id"), "id", "left_anti").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
-            parts.append(lost.select(F.lit(name).alias("entity"), F.lit("orphan").alias("issue"), F.lit(column).alias("field"), "n"))
     return functools.reduce(DataFrame.unionByName, parts).filter("n > 0")
