@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veridecl.operators import classify
+from veridecl.plans import registry
 from veridecl.streaming import keyed, tables
 
 T0 = dt.datetime(2025, 1, 1, tzinfo=dt.timezone.utc)
@@ -99,6 +100,16 @@ def test_ledger_knows_contents_for_ever(spark, tmp_path):
     assert tables.read_ledger(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_ledger_query_takes_the_smallest_id(spark, tmp_path):
+    # more documents a batch than a day has seconds, equal texts either side of such a border, and texts that are null
+    text = F.when(F.col("id").isin(5, 86401 * 2, 86401 * 3 + 1), F.lit(None)).when(F.col("id") % 86400 == 7, "same").otherwise(F.concat(F.lit("t"), F.when(F.col("id").isin(500, 86400 + 3), 0).otherwise(F.col("id"))))
+    spark.range(86401 * 4).select(F.col("id").alias("doc_id"), text.cast("string").alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["l10_upload_ledger"](spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    want = docs.groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.min("doc_id").alias("id"))
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
 SEEN = "created_at timestamp, overall_status string"
 
 

@@ -41,8 +41,10 @@ def note_new_contents(batch: DataFrame, number: int, ledger: str) -> None:
     spark = batch.sparkSession
     fresh = batch.groupBy("content_hash").agg(F.min_by(F.struct("id", "uploaded_at"), F.struct("uploaded_at", "id")).alias("u")).select("content_hash", "u.id", "u.uploaded_at").persist()
     try:
-        known = _parts(spark, ledger, number, LEDGER).join(fresh.select("content_hash"), "content_hash", "left_semi").select("content_hash")
-        fresh.join(known, "content_hash", "left_anti").write.mode("overwrite").parquet(f"{ledger}/batch={number}")
+        # a content without a hash is one content too
+        same = lambda one, other: F.col(f"{one}.content_hash").eqNullSafe(F.col(f"{other}.content_hash"))
+        known = _parts(spark, ledger, number, LEDGER).alias("l").join(fresh.select("content_hash").alias("f"), same("l", "f"), "left_semi").select("content_hash")
+        fresh.alias("f").join(known.alias("k"), same("f", "k"), "left_anti").write.mode("overwrite").parquet(f"{ledger}/batch={number}")
     finally:
         fresh.unpersist()
 
