@@ -79,6 +79,21 @@ def test_labels_are_gathered_over_batches(spark, tmp_path):
     assert got == Counter(want)
 
 
+def test_labels_share_states(spark, tmp_path):
+    # a state, and a call, for each label takes most of the time where labels are many
+    n = keyed.GROUPS + 1000
+    parts = [spark.range(n).selectExpr("cast(id as string) inspection_id", f"{k} seq", "'x' text", "0.5D confidence", "2 n_tokens", "timestamp '2025-01-01' ts") for k in range(2)]
+    for k, rows in enumerate(parts):
+        rows.write.mode("append").parquet(f"{tmp_path}/in")
+        stream = keyed.gather_labels(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"))
+        run = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+        run.awaitTermination()
+        assert 0 < max(o["numRowsTotal"] for p in run.recentProgress for o in p["stateOperators"]) <= keyed.GROUPS
+        assert spark.read.parquet(f"{tmp_path}/out").count() == 2 * n * k
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.filter("complete").distinct().count() == 2 * n
+
+
 UPLOAD = "content_hash string, id long, uploaded_at timestamp"
 
 

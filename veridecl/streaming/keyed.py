@@ -14,32 +14,48 @@ GATHERED = "inspection_id string, seq int, text string, confidence double, compl
 ALERTS = "actor_id string, event_id long, ts timestamp, since timestamp"
 
 
+#: Labels are gathered in so many groups by a hash of their inspection, since a call for each costs far more than its tokens.
+GROUPS = 2048
+
+
 def _gather(wait_ms: int):
     columns = ["inspection_id", "seq", "text", "confidence", "complete"]
 
     def run(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        def out(tokens: dict, complete: bool) -> pd.DataFrame:
-            rows = [(key[0], int(seq), text, sure, complete) for seq, (text, sure) in sorted(tokens.items(), key=lambda t: int(t[0]))]
-            return pd.DataFrame(rows, columns=columns)
-
-        held, expected, last, decided = state.get if state.exists else ("{}", 0, 0, False)
-        tokens = json.loads(held)
-        if state.hasTimedOut:
+        # by inspection: its tokens by seq, how many are expected, the time until which it is held, whether it was handed on
+        held = {i: [{int(seq): token for seq, token in tokens}, *more] for i, tokens, *more in json.loads(state.get[0])} if state.exists else {}
+        rows: list[tuple] = []
+
+        def out(inspection: str | None, tokens: dict, complete: bool) -> None:
+            rows.extend((inspection, seq, text, sure, complete) for seq, (text, sure) in sorted(tokens.items()))
+
+        now, heard = state.getCurrentWatermarkMs(), set()
+        for batch in () if state.hasTimedOut else batches:
+            # columns of objects, where what is missing is None
+            values = (batch[c].astype(object).where(batch[c].notna(), None) for c in ("inspection_id", "seq", "text", "confidence", "n_tokens", "ms"))
+            for inspection, seq, text, sure, n, at in zip(*values):
+                label = held.setdefault(inspection, [{}, 0, 0, False])
+                heard.add(inspection)
+                if not label[3]:
+                    label[0].setdefault(int(seq), (text, sure))
+                label[1], label[2] = max(label[1], int(n or 0)), max(label[2], int(at) + wait_ms)
+        for inspection in heard:
+            tokens, expected, until, decided = held[inspection]
+            if not decided and expected and len(tokens) >= expected:
+                out(inspection, tokens, True)
+                tokens, decided = {}, True
+            held[inspection] = [tokens, expected, max(until, now + 1), decided]
+        for inspection in [i for i, label in held.items() if label[2] < now]:
+            tokens, _, _, decided = held.pop(inspection)
             if not decided:
-                yield out(tokens, False)
+                out(inspection, tokens, False)
+        if held:
+            state.update((json.dumps([(i, list(tokens.items()), *more) for i, (tokens, *more) in held.items()]),))
+            state.setTimeoutTimestamp(max(min(label[2] for label in held.values()), now + 1))
+        elif state.exists:
             state.remove()
-            return
-        for batch in batches:
-            for seq, text, sure, n, at in zip(batch["seq"], batch["text"], batch["confidence"], batch["n_tokens"], batch["ms"]):
-                if not decided:
-                    tokens.setdefault(str(seq), (None if pd.isna(text) else text, None if pd.isna(sure) else float(sure)))
-                expected = max(expected, 0 if pd.isna(n) else int(n))
-                last = max(last, int(at))
-        if not decided and expected and len(tokens) >= expected:
-            yield out(tokens, True)
-            tokens, decided = {}, True
-        state.update((json.dumps(tokens), expected, last, decided))
-        state.setTimeoutTimestamp(max(last + wait_ms, state.getCurrentWatermarkMs() + 1))
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
 
     return run
 
@@ -53,11 +69,12 @@ def gather_labels(tokens: DataFrame, wait: int = 900, late: str = "10 minutes")
     once, the first text for a seq stays, and tokens for an inspection that was handed on are left out as long as its
     state lasts, which is until that same time; then the state goes. Tokens behind the watermark are dropped.
 
-    The state holds an inspection's tokens (tens of lines) until it is whole, and after that only that it was.
+    The state holds an inspection's tokens (tens of lines) until it is whole, and after that only that it was. Inspections
+    are dealt over GROUPS states, each a list of those that wait.
     """
     rows = tokens.withWatermark("ts", late).select("inspection_id", "seq", "text", "confidence", "n_tokens", "ts", F.unix_millis("ts").alias("ms"))
-    held = "tokens string, expected int, last long, decided boolean"
-    return rows.groupBy("inspection_id").applyInPandasWithState(_gather(wait * 1000), GATHERED, held, "append", GroupStateTimeout.EventTimeTimeout)
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("inspection_id"), F.lit(GROUPS)))
+    return rows.groupBy("group").applyInPandasWithState(_gather(wait * 1000), GATHERED, "labels string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _sliding(window_us: int, limit: int):
