@@ -89,7 +89,10 @@ def char_ngram_tfidf(rows: DataFrame, vocabulary: int = 5000) -> DataFrame:
     """Rows (id, gram, weight): 1 + ln(tf) times ln((1 + n) / (1 + df)) + 1, of length 1 for each id.
 
     Only the ``vocabulary`` grams that stand most often in all texts count; of equally frequent ones the first in order.
+    Texts are dealt by id before their grams are made, as these are some fifty times as many and a small file of texts
+    would be one task's work; counts and norms need no shuffle then.
     """
+    rows = rows.select("id", "text").repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
     counts = gram_counts(rows)
     return gram_weights(counts, known_grams(rows, counts, vocabulary))
 
