@@ -105,13 +105,18 @@ def extract_field(tokens: DataFrame, field_type: str) -> DataFrame:
 
 def extract_dates(tokens: DataFrame) -> DataFrame:
     """A row for each date word in the label and each date token; mfg_date and packing_date are MISSING if absent."""
-    text = label_text(tokens).select("inspection_id", F.lower("all_text").alias("low"))
-    words = F.array(*[F.struct(F.lit(k).alias("word"), F.lit(v).alias("field_type")) for k, v in DATE_WORDS.items()])
-    named = text.select("inspection_id", "low", F.explode(words).alias("w")).filter(F.col("low").contains(F.col("w.word"))).select("inspection_id", "w.word", "w.field_type")
-    found = named.join(tokens.filter("is_date").select("inspection_id", "seq", "month", "confidence"), "inspection_id").select("inspection_id", "field_type", F.col("month").alias("value"), "confidence", "word", "seq")
-    need = text.select("inspection_id", F.explode(F.array(F.lit("mfg_date"), F.lit("packing_date"))).alias("field_type"))
-    absent = need.join(found, ["inspection_id", "field_type"], "left_anti").select("inspection_id", "field_type", F.lit(MISSING).alias("value"), F.lit(0.0).alias("confidence"), F.lit("").alias("word"), F.lit(-1).alias("seq"))
-    return found.unionByName(absent)
+    # one grouping: a label's tokens are tens
+    ts = F.array_sort(F.collect_list(F.struct("seq", "original", "is_date", "month", "confidence")))
+    rows = tokens.groupBy("inspection_id").agg(ts.alias("ts"))
+    rows = rows.withColumn("low", F.lower(F.array_join(F.transform("ts", lambda x: x["original"]), " "))).withColumn("dated", F.filter("ts", lambda x: x["is_date"]))
+    one = lambda field, value, sure, word, seq: F.struct(field.alias("field_type"), value.alias("value"), sure.alias("confidence"), word.alias("word"), seq.alias("seq"))
+    as_field = lambda word, field: lambda x: one(F.lit(field), x["month"], x["confidence"], F.lit(word), x["seq"])
+    none = F.filter(F.transform("dated", as_field("", "")), lambda x: F.lit(False))
+    found = F.flatten(F.array(*[F.when(F.col("low").contains(w), F.transform("dated", as_field(w, f))).otherwise(none) for w, f in DATE_WORDS.items()]))
+    rows = rows.select("inspection_id", found.alias("found"))
+    lacking = F.array_except(F.array(F.lit("mfg_date"), F.lit("packing_date")), F.transform("found", lambda x: x["field_type"]))
+    absent = F.transform(lacking, lambda f: one(f, F.lit(MISSING), F.lit(0.0), F.lit(""), F.lit(-1)))
+    return rows.select("inspection_id", F.inline(F.concat("found", absent)))
 
 
 def manufacturer(all_text: Column) -> Column:
