@@ -85,9 +85,12 @@ def _spelled(amount: Column) -> Column:
 def declaration_candidates(tokens: DataFrame) -> DataFrame:
     """All competing values of mrp and net_quantity: inspection_id, field_type, value, raw_value, confidence, seq."""
     rows = tokens.withColumn("amount", _amount()).filter("amount is not null")
-    money = rows.filter("is_currency").select("inspection_id", F.lit("mrp").alias("field_type"), F.concat(F.lit("₹"), _spelled(F.col("amount"))).alias("value"), F.col("original").alias("raw_value"), "confidence", "seq")
-    size = rows.filter("unit is not null").select("inspection_id", F.lit("net_quantity").alias("field_type"), F.concat_ws(" ", _spelled(F.col("amount")), "unit").alias("value"), F.col("original").alias("raw_value"), "confidence", "seq")
-    return money.unionByName(size)
+    # one pass over the tokens, a money and a size of each
+    one = lambda field, value: F.struct(F.lit(field).alias("field_type"), value.alias("value"))
+    money = F.when(F.col("is_currency"), one("mrp", F.concat(F.lit("₹"), _spelled(F.col("amount")))))
+    size = F.when(F.col("unit").isNotNull(), one("net_quantity", F.concat_ws(" ", _spelled(F.col("amount")), "unit")))
+    found = rows.select("inspection_id", F.inline(F.array_compact(F.array(money, size))), "original", "confidence", "seq")
+    return found.select("inspection_id", "field_type", "value", F.col("original").alias("raw_value"), "confidence", "seq")
 
 
 def best_candidates(candidates: DataFrame) -> DataFrame:
@@ -162,9 +165,11 @@ def extract_text_field(tokens: DataFrame, field_type: str) -> DataFrame:
 
 def complete_fields(declarations: DataFrame) -> DataFrame:
     """With a MISSING row for every field type that an inspection has no row of."""
-    every = declarations.select("inspection_id").distinct().select("inspection_id", F.explode(F.array(*map(F.lit, FIELD_TYPES))).alias("field_type"))
-    absent = every.join(declarations, ["inspection_id", "field_type"], "left_anti").select("inspection_id", "field_type", F.lit(MISSING).alias("value"), F.lit(0.0).alias("confidence"))
-    return declarations.select("inspection_id", "field_type", "value", "confidence").unionByName(absent)
+    # one grouping, so that what is behind the declarations is worked out once
+    rows = declarations.groupBy("inspection_id").agg(F.collect_list(F.struct("field_type", "value", "confidence")).alias("found"))
+    lacking = F.array_except(F.array(*map(F.lit, FIELD_TYPES)), F.transform("found", lambda x: x["field_type"]))
+    absent = F.transform(lacking, lambda f: F.struct(f.alias("field_type"), F.lit(MISSING).alias("value"), F.lit(0.0).alias("confidence")))
+    return rows.select("inspection_id", F.inline(F.concat("found", absent)))
 
 
 def gathered_declarations(tokens: DataFrame) -> DataFrame:
