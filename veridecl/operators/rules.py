@@ -160,10 +160,15 @@ def best_declaration(declarations: DataFrame) -> DataFrame:
 
 
 def evaluate_rules(inspections: DataFrame, rules: DataFrame, declarations: DataFrame) -> DataFrame:
-    """One verdict for each inspection and applicable rule version, with type and detail."""
-    rows = applicable_rules(inspections, rules)
-    best = best_declaration(declarations).select(F.col("inspection_id").alias("id"), F.col("field_type").alias("field"), "text")
-    return verdicts(rows.join(best, ["id", "field"], "left"))
+    """One verdict for each inspection and applicable rule version, with type and detail.
+
+    An inspection's declarations (tens) are gathered into its row, best first as in best_declaration(), before it meets the
+    rules: then all that follows is by inspection, and rows with rules aren't shuffled where these are broadcast.
+    """
+    said = F.array_sort(F.collect_list(F.struct((-F.coalesce("confidence", F.lit(0.0))).alias("k"), "ord", "field_type", "text")))
+    gathered = declarations.groupBy(F.col("inspection_id").alias("id")).agg(F.transform(said, lambda x: F.struct(x["field_type"].alias("field_type"), x["text"].alias("text"))).alias("said"))
+    rows = applicable_rules(inspections.join(gathered, "id", "left"), rules)
+    return verdicts(rows.withColumn("text", F.get(F.filter("said", lambda x: x["field_type"] == F.col("field")), 0)["text"]))
 
 
 def verdicts(rows: DataFrame, *also: str) -> DataFrame:
