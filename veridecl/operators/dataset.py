@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.files import dealt
 from .geometry import central_box, inside, iou
 
 _BOX = "struct<k:double,seq:long,x1:int,y1:int,x2:int,y2:int,confidence:double>"
@@ -155,28 +156,53 @@ def match_predictions(predictions: DataFrame, truth: DataFrame, least: float = 0
     return rows.select("image_id", "class_name", F.explode(F.aggregate("ps", start, step)["out"]).alias("o")).select("image_id", "class_name", "o.seq", "o.confidence", "o.tp")
 
 
-def average_precision(matches: DataFrame, truth: DataFrame, chunks: int = 1000) -> DataFrame:
+#: Rows of a class's curve that one window holds, about; the sampled rows that a cut between windows is taken from.
+EACH, SAMPLED = 100_000, 50
+
+
+def in_ranges(rows: DataFrame, key: Column, each: int = EACH) -> DataFrame:
+    """``rows`` with ``range``, a number that grows with ``key`` and stands on some ``each`` rows, unless they are equal in
+    all of key. Cuts are taken from a seeded sample, SAMPLED rows of each range, of which the cuts come to the driver."""
+    n = rows.count()
+    if n <= each:
+        return rows.withColumn("range", F.lit(0))
+    sample = rows.select(key.alias("k")).sample(min(1.0, SAMPLED / each), seed=42)
+    cuts = sample.agg(F.filter(F.array_sort(F.collect_list("k")), lambda k, i: (i > 0) & (i % SAMPLED == 0)).alias("cuts"))
+    cuts = rows.sparkSession.createDataFrame([(cuts.first()["cuts"],)], cuts.schema)
+    rows = rows.withColumn("__k", key).withColumn("range", F.lit(0)).crossJoin(F.broadcast(cuts))
+    # how many cuts aren't above the key, by halving
+    for step in (1 << k for k in reversed(range((n // each).bit_length() + 1))):
+        rows = rows.withColumn("range", F.when(F.get("cuts", F.col("range") + (step - 1)) <= F.col("__k"), F.col("range") + step).otherwise(F.col("range")))
+    return rows.drop("__k", "cuts")
+
+
+def average_precision(matches: DataFrame, truth: DataFrame, chunks: int = 1000, each: int = EACH) -> DataFrame:
     """Per class the area under the envelope of precision over recall; null without truth.
 
     The curve of a class has a point for each prediction, by falling confidence, image and seq. Windows hold what falls
-    into one range of confidence, a whole class only if all its predictions are that much alike: predictions are cut into ``chunks`` ranges of confidence, numbered inside, and shifted by the counts of the
-    ranges before; the envelope is the best precision further on in the range or in the ranges after.
+    into one range of confidence, and of that what in_ranges() puts together of ``each`` rows, however many predictions are
+    alike: predictions are cut into ``chunks`` ranges of confidence and these by their order, numbered inside, and shifted by
+    the counts of the ranges before; the envelope is the best precision further on in the range or in the ranges after.
     """
     range_ = F.coalesce(F.floor(F.col("confidence") * -chunks), F.lit(1 << 40)).alias("chunk")
     rows = matches.select("class_name", "image_id", "seq", "confidence", F.col("tp").cast("int").alias("tp"), range_)
-    inner = W.partitionBy("class_name", "chunk")
+    # as the windows order them: null last
+    rows = in_ranges(rows, F.struct(F.col("confidence").isNull().alias("none"), (-F.col("confidence")).alias("c"), F.col("image_id").alias("i"), F.col("seq").alias("s")), each)
+    group = ["class_name", "chunk", "range"]
+    inner = W.partitionBy(*group)
     until = inner.orderBy(F.desc("confidence"), "image_id", "seq").rowsBetween(W.unboundedPreceding, 0)
-    earlier = W.partitionBy("class_name").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    later = W.partitionBy("class_name").orderBy(F.desc("chunk")).rowsBetween(W.unboundedPreceding, -1)
-
-    sums = rows.groupBy("class_name", "chunk").agg(F.sum("tp").alias("s"), F.count("*").alias("k"))
-    shift = sums.select("class_name", "chunk", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("s0"), F.coalesce(F.sum("k").over(earlier), F.lit(0)).alias("k0"))
-    rows = rows.withColumn("tps", F.sum("tp").over(until)).withColumn("n", F.count("*").over(until)).join(shift, ["class_name", "chunk"])
-    rows = rows.select("class_name", "chunk", "n", "tp", ((F.col("s0") + F.col("tps")) / (F.col("k0") + F.col("n"))).alias("precision"))
-    tops = rows.groupBy("class_name", "chunk").agg(F.max("precision").alias("top"))
-    tops = tops.select("class_name", "chunk", F.max("top").over(later).alias("top"))
+    earlier = W.partitionBy("class_name").orderBy("chunk", "range").rowsBetween(W.unboundedPreceding, -1)
+    later = W.partitionBy("class_name").orderBy(F.desc("chunk"), F.desc("range")).rowsBetween(W.unboundedPreceding, -1)
+
+    sums = rows.groupBy(*group).agg(F.sum("tp").alias("s"), F.count("*").alias("k"))
+    shift = sums.select(*group, F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("s0"), F.coalesce(F.sum("k").over(earlier), F.lit(0)).alias("k0"))
+    rows = dealt(rows, *group)
+    rows = rows.withColumn("tps", F.sum("tp").over(until)).withColumn("n", F.count("*").over(until)).join(shift, group)
+    rows = rows.select(*group, "n", "tp", ((F.col("s0") + F.col("tps")) / (F.col("k0") + F.col("n"))).alias("precision"))
+    tops = rows.groupBy(*group).agg(F.max("precision").alias("top"))
+    tops = tops.select(*group, F.max("top").over(later).alias("top"))
     onward = F.max("precision").over(inner.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, 0))
-    rows = rows.withColumn("onward", onward).filter("tp = 1").join(tops, ["class_name", "chunk"])
+    rows = rows.withColumn("onward", onward).filter("tp = 1").join(tops, group)
     # each true positive moves the recall on by 1 / n_truth
     area = rows.groupBy("class_name").agg(F.sum(F.greatest("onward", "top")).alias("area"))
     total = truth.groupBy("class_name").agg(F.count("*").alias("n_truth"))

@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` dealt by their keys over all shuffle partitions: with a number of them Spark doesn't put small ones together,
+    and many rows may be small as a shuffle writes them and large where they are sorted or grouped."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def image_id(path: Column) -> Column:
     """The image that a file is of: the value of its folder ``image_id=...``, else its name up to the last point."""
     # a plus stands for itself
