@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -114,3 +115,15 @@ def test_char_ngrams_against_a_loop(spark):
             norm = math.sqrt(sum(w * w for w in raw.values()))
             want |= {(i, g): pytest.approx(w / norm) for g, w in raw.items()}
         assert {(r.id, r.gram): r.weight for r in classify.char_ngram_tfidf(rows, most).collect()} == want
+
+
+def test_versions_that_overlap_meet_by_blocks(spark, capsys):
+    rows = [("k", f"v{n}", dt.date(2020, 1, 1) + dt.timedelta(days=n % 9 * 40), None if n % 4 == 0 else dt.date(2020, 1, 1) + dt.timedelta(days=n % 9 * 40 + n * 13 % 300 - 20), True) for n in range(150)]
+    found = rules.overlapping_versions(spark.createDataFrame(rows, "rule_key string, rule_version_id string, effective_date date, end_date date, is_published boolean"))
+    got = sorted(map(tuple, found.collect()))
+    last = lambda r: r[3] or dt.date.max
+    assert got == sorted(("k", *sorted((a[1], b[1]))) for i, a in enumerate(rows) for b in rows[:i] if a[2] <= last(b) and b[2] <= last(a))
+    # rows are shuffled by block, not one for each pair
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "hashpartitioning(rule_key" in plan and not re.search(r"hashpartitioning\(rule_key#\d+, n#", plan)

@@ -16,6 +16,8 @@ ANY, NONE, ONE = "*", "-", "="
 MOST_BROADCAST = 8 << 20
 #: Parts that the time of the rules is cut into at most.
 DATE_PARTS = 64
+#: Versions of a rule, in the order of their start, that others meet at once when overlaps are sought.
+NUMBERS = 64
 FLAT = ("rule_version_id", "rule_key", "version", "effective_date", "end_date", "is_published", "product_categories", "exclude_categories", "package_type", "validation_type", "field", "pattern", "must_contain")
 
 # The seeded rules, effective from 2020-01-01, for retail packages of all categories but industrial ones.
@@ -237,7 +239,8 @@ def overlapping_versions(rules: DataFrame) -> DataFrame:
 
     A sweep: a rule's versions are numbered by their start, and one that ends on some day overlaps exactly those that
     start after it and not after that day, which are consecutive numbers. So the work is to number starts and ends, and
-    then in proportion to the pairs. Numbers are counted within a year of a rule and shifted by the years before, so a
+    then in proportion to the pairs. Versions meet by blocks of NUMBERS consecutive numbers, so that what is shuffled is
+    in proportion to the versions, a row for each block that one spans, and pairs arise where they meet. Numbers are counted within a year of a rule and shifted by the years before, so a
     rule with very many versions is no task's work.
     """
     open_end = F.lit("9999-12-31").cast("date")
@@ -253,11 +256,15 @@ def overlapping_versions(rules: DataFrame) -> DataFrame:
     so_far = W.partitionBy("rule_key", "year").orderBy("on", F.desc("starts"), "rule_version_id").rowsBetween(W.unboundedPreceding, W.currentRow)
     numbered = events.withColumn("n", F.sum("starts").over(so_far)).join(before, ["rule_key", "year"]).withColumn("n", F.col("before") + F.col("n"))
     at = numbered.groupBy("rule_key", "rule_version_id", "start", "last").agg(F.max(F.when(F.col("starts") == 1, F.col("n"))).alias("n"), F.max(F.when(F.col("starts") == 0, F.col("n"))).alias("to"), F.max("total").alias("total"))
-    at = at.withColumn("to", F.coalesce("to", "total"))
-    later = at.filter("to > n").select("rule_key", F.col("rule_version_id").alias("one"), F.col("start").alias("from"), F.explode(F.sequence(F.col("n") + 1, F.col("to"))).alias("n"))
-    met = later.join(at.select("rule_key", "n", F.col("rule_version_id").alias("other"), "last"), ["rule_key", "n"])
-    # an interval that ends before it starts overlaps less than its start says
-    met = met.filter((F.col("from") <= F.col("last")) & (F.col("one") != F.col("other")))
+    block = lambda n: F.floor(n / NUMBERS)
+    own, place = F.array(F.struct(block(F.col("n")).alias("block"), F.lit(True).alias("own"))), lambda x: F.struct(x.alias("block"), F.lit(False).alias("own"))
+    spans = F.when(F.col("to") > F.col("n"), F.transform(F.sequence(block(F.col("n") + 1), block(F.col("to"))), place)).otherwise(F.array().cast("array<struct<block:bigint,own:boolean>>"))
+    rows = at.withColumn("to", F.coalesce("to", "total")).select("rule_key", F.col("rule_version_id").alias("one"), F.col("n").alias("after"), F.col("to").alias("until"), F.explode(F.concat(own, spans)).alias("b"))
+    # the versions of a block, NUMBERS at most, beside each that spans it: a self-join would number all versions twice
+    here = F.collect_list(F.when(F.col("b.own"), F.struct(F.col("one").alias("other"), F.col("after").alias("n"), F.col("until").alias("to")))).over(W.partitionBy("rule_key", "b.block"))
+    met = rows.withColumn("here", here).filter("not b.own").select("rule_key", "one", "after", "until", F.inline("here"))
+    # an interval that ends before it starts overlaps less than its start says: it ends with a number below its own
+    met = met.filter((F.col("n") > F.col("after")) & (F.col("n") <= F.col("until")) & (F.col("to") >= F.col("after")) & (F.col("one") != F.col("other")))
     return met.select("rule_key", F.least("one", "other").alias("first"), F.greatest("one", "other").alias("second"))
 
 
