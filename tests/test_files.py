@@ -71,3 +71,14 @@ def test_images_come_back(spark, tmp_path):
         m = np.pad(p.astype(float), 1, mode="reflect")
         lap = m[:-2, 1:-1] + m[2:, 1:-1] + m[1:-1, :-2] + m[1:-1, 2:] - 4 * p
         assert metrics[name].laplacian_variance == pytest.approx(lap.var()) and metrics[name].bright_ratio == pytest.approx((p >= 240).mean())
+
+
+def test_boxes_are_dealt_before_they_are_grouped(spark, capsys):
+    lines = spark.range(300).selectExpr("id % 30 as image_id", "'0 0.5 0.5 0.5 0.' || (id % 3 + 1) as value")
+    dims = spark.range(30).selectExpr("id as image_id", "100 as width", "100 as height")
+    counts = files.parse_yolo_lines(lines, dims).groupBy("image_id", "cls", "x1", "y1", "x2", "y2").agg(F.count("*").alias("n"))
+    counts.explain()
+    # one shuffle of the lines with a number of partitions, which Spark doesn't put together, and none of the groups
+    plan = capsys.readouterr().out
+    assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(image_id#" in plan and ", cls#" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)
+    assert counts.count() == 30 and counts.agg(F.sum("n")).first()[0] == 300

@@ -48,9 +48,10 @@ def write_images(images: DataFrame, path: str) -> None:
 
 def parse_yolo_lines(lines: DataFrame, dims: DataFrame) -> DataFrame:
     """Lines (image_id, value) ``class xc yc w h``, as shares of the image's width and height (dims), as pixel boxes;
-    lines without five fields are dropped."""
+    lines without five fields are dropped. Boxes are dealt by image, so that what groups them by image and more shuffles
+    nothing, and holds no groups where the lines are read."""
     parts = lines.withColumn("p", F.split(F.trim("value"), r"\s+")).filter(F.size("p") == 5)
-    rows = parts.select("image_id", F.get("p", 0).cast("int").alias("cls"), *[F.get("p", k + 1).cast("double").alias(n) for k, n in enumerate(("xc", "yc", "bw", "bh"))]).join(dims, "image_id")
+    rows = dealt(parts.select("image_id", F.get("p", 0).cast("int").alias("cls"), *[F.get("p", k + 1).cast("double").alias(n) for k, n in enumerate(("xc", "yc", "bw", "bh"))]), "image_id").join(dims, "image_id")
     edge = lambda c, size, of, sign: F.floor(F.expr(f"({c} {sign} {size} / 2) * {of}") + 0.5).cast("int")
     return rows.select("image_id", "cls", edge("xc", "bw", "width", "-").alias("x1"), edge("yc", "bh", "height", "-").alias("y1"), edge("xc", "bw", "width", "+").alias("x2"), edge("yc", "bh", "height", "+").alias("y2"))
 
@@ -72,5 +73,5 @@ def yolo_lines(boxes: DataFrame) -> DataFrame:
 
 def write_yolo_labels(boxes: DataFrame, path: str) -> None:
     """One file for each image, in a folder ``image_id=...``, with its lines by seq."""
-    lines = yolo_lines(boxes).repartition("image_id").sortWithinPartitions("image_id", "seq")
+    lines = dealt(yolo_lines(boxes), "image_id").sortWithinPartitions("image_id", "seq")
     lines.select("image_id", "value").write.mode("overwrite").partitionBy("image_id").text(path)
