@@ -3,6 +3,7 @@
 import datetime as dt
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,3 +44,26 @@ def test_rows_with_rules_are_not_shuffled(spark, tmp_path, capsys):
     # the surest, of equals the first by ord; one without a text is missing
     got = {(r.inspection_id, r.field_type): r.text for r in found.collect()}
     assert got == {("1", f): "Rs. 6" if f == "mrp" else None for _, _, f, _, _ in rules.SEED_RULES}
+
+
+def test_methods_for_tokens_are_small_enough_to_be_compiled(spark, tmp_path, capsys):
+    # the JVM interprets methods of over 8,000 bytes for ever; a failing cast costs an exception for each token
+    rows = [("a", 0, "MFG 08/2026 Rs. 5", 0.9)]
+    spark.createDataFrame(rows, "inspection_id string, seq int, text string, confidence double").write.parquet(f"{tmp_path}/t")
+    capsys.readouterr()
+    extract.normalize_tokens(spark.read.parquet(f"{tmp_path}/t")).explain("codegen")
+    sizes = re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)
+    assert sizes and max(map(int, sizes)) < 8000
+
+
+def test_texts_are_scored_together_as_alone():
+    grams = sorted({w[i : i + n] for w in (" oil ", " tea ", " soap ", f" {'ab' * 50} ") for n in (2, 3, 4) for i in range(len(w) - n + 1)})
+    place, idf = {g: k for k, g in enumerate(grams)}, np.arange(1.0, len(grams) + 1)
+    weights, bias = np.sin(np.arange(3.0 * len(grams))).reshape(-1, 3), np.array([0.1, 0.2, 0.3])
+    texts = ["oil tea", "", "  soap\toil oil", "ab" * 50, "xyz", "tea oil"] * 3 + ["oil " * 40_000]
+    got = classify.scores(texts, classify.word_grams(place), idf, weights, bias)
+    for text, z in zip(texts, got):
+        at, w = classify.known_weights(re.split(r"[ \t\n\x0b\f\r]+", text), place, idf.tolist())
+        assert np.allclose(z, np.array(w) @ weights[at] + bias if at else bias)
+    assert classify.scores([], classify.word_grams(place), idf, weights, bias).shape == (0, 3)
+    assert np.allclose(classify.scores(["oil"], classify.word_grams({}), np.zeros(0), np.zeros((0, 3)), bias), bias)

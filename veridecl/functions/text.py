@@ -20,7 +20,8 @@ UNITS = {
 }
 # Currency marks, the longest first.
 CURRENCY_MARKS = ["Rs.", "INR", "Rs/", "Re.", "Rs", "Re", "₹"]
-SPACE = r"[\s\p{Z}\x1c-\x1f\x85]"
+# White space of Unicode.
+SPACE = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _FIRST_MONTH, _LAST_MONTH, _FIRST_YEAR, _LAST_YEAR = 1, 12, 2020, 2030
 DEVANAGARI_DIGITS = "०१२३४५६७८९"
 
@@ -33,7 +34,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space, of Unicode too, at both ends."""
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACE))
 
 
 def fix_ocr(c: Column) -> Column:
@@ -43,8 +44,9 @@ def fix_ocr(c: Column) -> Column:
 
 def unit_word(low: Column) -> Column:
     """The longest unit word that a lower-cased text ends with; empty if none."""
-    words = "|".join(sorted(UNITS, key=lambda w: (-len(w), w)))
-    return F.regexp_extract(low, rf"(?:{words})$", 0)
+    words = "|".join(w[::-1] for w in sorted(UNITS, key=lambda w: (-len(w), w)))
+    # backwards, so that words are tried at one end only
+    return F.reverse(F.regexp_extract(F.reverse(low), f"^(?:{words})", 0))
 
 
 def unit_and_rest(c: Column, low: Column, word: Column) -> Column:
@@ -61,12 +63,12 @@ def normalize_unit(c: Column) -> Column:
 
 def without_currency(text: Column) -> Column:
     """A stripped text without the currency mark that it begins or ends with, or the rupee sign in it; null without one."""
-    rest = F.when(F.lit(False), text)
-    for mark in CURRENCY_MARKS:
-        n = len(mark)
-        rest = rest.when(text.startswith(mark), F.regexp_replace(strip(F.substring(text, n + 1, 1 << 30)), r"^[./:]+", ""))
-        rest = rest.when(text.endswith(mark), strip(F.substring(text, F.lit(1), F.length(text) - n)))
-    return rest.when(text.contains("₹"), strip(F.replace(text, F.lit("₹"), F.lit(""))))
+    mark = F.lit(0)  # letters of the mark, below 0 if it ends the text
+    for m in reversed(CURRENCY_MARKS):
+        mark = F.when(text.startswith(m), len(m)).when(text.endswith(m), -len(m)).otherwise(mark)
+    behind = lambda n: F.regexp_replace(strip(F.substring(text, n + 1, F.length(text))), r"^[./:]+", "")
+    before = lambda n: strip(F.substring(text, F.lit(1), F.length(text) + n))
+    return let(mark, lambda n: F.when(n > 0, behind(n)).when(n < 0, before(n)).when(text.contains("₹"), strip(F.replace(text, F.lit("₹"), F.lit("")))))
 
 
 def normalize_currency(c: Column) -> Column:
@@ -77,11 +79,16 @@ def normalize_currency(c: Column) -> Column:
 
 def parse_month(c: Column) -> Column:
     """struct<m, y> of the first date of each shape, month first, year first, day first, that names a valid month; else null."""
-    found = []
-    for pattern, month, year in ((r"(\d{1,2})[/\-.](\d{4})", 1, 2), (r"(\d{4})[/\-](\d{1,2})", 2, 1), (r"(\d{1,2})/(\d{1,2})/(\d{4})", 2, 3)):
-        number = lambda g, p=pattern: F.translate(F.regexp_extract(c, f"(?U){p}", g), DEVANAGARI_DIGITS, "0123456789").try_cast("int")
-        valid = lambda d: F.when(d["m"].between(_FIRST_MONTH, _LAST_MONTH) & d["y"].between(_FIRST_YEAR, _LAST_YEAR), d)
-        found.append(let(F.struct(number(month).alias("m"), number(year).alias("y")), valid))
+    part = lambda d, n: F.substring_index(d, "/", n)
+    first, middle, last = lambda d: part(d, 1), lambda d: part(part(d, 2), -1), lambda d: part(d, -1)
+    valid = lambda d: F.when(d["m"].between(_FIRST_MONTH, _LAST_MONTH) & d["y"].between(_FIRST_YEAR, _LAST_YEAR), d)
+
+    def date(pattern: str, month: Callable[[Column], Column], year: Callable[[Column], Column]) -> Column:
+        whole = F.translate(F.regexp_extract(c, f"(?U){pattern}", 0), f"{DEVANAGARI_DIGITS}-.", "0123456789//")
+        # a cast that fails costs an exception
+        return let(let(whole, lambda d: F.when(d != "", F.struct(month(d).try_cast("int").alias("m"), year(d).try_cast("int").alias("y")))), valid)
+
+    found = [date(r"\d{1,2}[/\-.]\d{4}", first, last), date(r"\d{4}[/\-]\d{1,2}", last, first), date(r"\d{1,2}/\d{1,2}/\d{4}", middle, last)]
     # all shapes have a mark between two digits
     return F.when(c.rlike(r"(?U)\d[/\-.]\d"), F.coalesce(*found))
 

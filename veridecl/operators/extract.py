@@ -73,8 +73,9 @@ def label_text(tokens: DataFrame) -> DataFrame:
 
 def _amount() -> Column:
     """A token's number, else the first run of digits, commas and points; none where the value is a date."""
-    first = F.replace(F.regexp_extract("normalized", r"[0-9,.]+", 0), F.lit(","), F.lit("")).try_cast("double")
-    return F.when(~F.col("is_date"), F.coalesce("value", first))
+    first = F.replace(F.regexp_extract("normalized", r"[0-9,.]+", 0), F.lit(","), F.lit(""))
+    # without a digit there is nothing to cast, and a cast that fails costs an exception
+    return F.when(~F.col("is_date"), F.coalesce("value", t.let(first, lambda x: F.when(x.rlike("[0-9]"), x.try_cast("double")))))
 
 
 def _spelled(amount: Column) -> Column:
@@ -123,11 +124,8 @@ def extract_dates(tokens: DataFrame) -> DataFrame:
 
 
 def manufacturer(all_text: Column) -> Column:
-    found = None
-    for pattern in MAKER_PATTERNS:
-        value = t.strip(F.regexp_extract(all_text, f"(?iu){pattern}", 1))
-        found = F.when(F.length(value) > 3, value) if found is None else found.when(F.length(value) > 3, value)
-    return found
+    found = [t.strip(F.regexp_extract(all_text, f"(?iu){pattern}", 1)) for pattern in MAKER_PATTERNS]
+    return F.coalesce(*[t.let(value, lambda v: F.when(F.length(v) > 3, v)) for value in found])
 
 
 def _holds(word: str):
@@ -178,9 +176,9 @@ def gathered_declarations(tokens: DataFrame) -> DataFrame:
     One grouping by inspection gathers its tokens (tens of them); all fields are then found inside the row.
     """
     seq = F.struct("seq", "original", "is_date", "month", "is_currency", "unit", _amount().alias("amount"), "confidence")
-    rows = tokens.groupBy("inspection_id").agg(F.array_sort(F.collect_list(seq)).alias("ts"))
+    rows = tokens.groupBy("inspection_id").agg(F.sort_array(F.collect_list(seq)).alias("ts"))
     rows = rows.withColumn("all_text", F.array_join(F.transform("ts", lambda x: x["original"]), " ")).withColumn("low", F.lower("all_text"))
-    made = lambda field, value, sure: F.struct(F.lit(field).alias("field_type"), F.coalesce(value, F.lit(MISSING)).alias("value"), F.when(value.isNotNull(), sure).otherwise(F.lit(0.0)).alias("confidence"))
+    made = lambda field, value, sure: t.let(value, lambda v: F.struct(F.lit(field).alias("field_type"), F.coalesce(v, F.lit(MISSING)).alias("value"), F.when(v.isNotNull(), sure).otherwise(F.lit(0.0)).alias("confidence")))
     first = lambda a, b: F.when(b["confidence"] > a["confidence"], b).otherwise(a)
 
     def best(keep):

@@ -71,12 +71,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One adapter view as a DataFrame; timestamps are TIMESTAMP in the session's zone."""
+def view(spark: SparkSession, sf_dir: str, name: str, **instead: DataFrame) -> DataFrame:
+    """One adapter view as a DataFrame; timestamps are TIMESTAMP in the session's zone. ``instead``: rows that are taken for
+    those of the table so named."""
     if name == "rules_v":
         day = lambda x: x and dt.date.fromisoformat(x)
         return spark.createDataFrame([(*r[:3], day(r[3]), day(r[4]), *r[5:]) for r in RULES], RULE_SCHEMA)
-    used = {t: table(spark, sf_dir, t) for t in _TABLES if f"{{{t}}}" in COMMON[name]}
+    used = {t: instead[t] if t in instead else table(spark, sf_dir, t) for t in _TABLES if f"{{{t}}}" in COMMON[name]}
     text = COMMON[name].replace("{sha}", "sha2(text, 256)").replace("{at}", "timestampadd(SECOND, doc_id, TIMESTAMP_NTZ '2024-01-01 00:00:00')").replace("{seqs}", "LATERAL VIEW explode(sequence(0, 6)) s AS seq")
     df = spark.sql(text, **used)
     for column, kind in df.dtypes:
