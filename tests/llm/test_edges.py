@@ -253,6 +253,34 @@ def test_suffix_chat_and_top_k_edges(spark):
     assert sorted((r.rank, r.vec_id, r.score) for r in best) == [(1, 119, 65536 * (100 * 119 + 1)), (2, 118, 65536 * (100 * 118 + 1))]
 
 
+def test_suffix_dedup_tells_passages_of_over_50_words(spark):
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    some = lambda n: [word() for _ in range(n)]
+    a, b, c, d = some(51), some(50), some(60), some(70)
+    own = some(55)
+    rows = [
+        (1, " ".join(some(90) + a + some(30))),  # 51 words of 254 bytes, between other words
+        (2, "\n".join(some(7) + a)),  # the same with other white space
+        (3, " ".join(some(40) + b)),  # 50 words only
+        (4, " ".join(b + some(40))),
+        (5, " ".join(own + some(20) + own)),  # within one row only
+        (6, " ".join(c)),  # equal rows
+        (6, " ".join(c)),
+        (7, " ".join(b)),  # equal rows of 50 words
+        (7, " ".join(b)),
+        (8, " ".join(some(900))),
+        (9, None),
+        (10, " ".join(d + some(300))),  # 70 words, met twice in one row and once in another
+        (11, " ".join(some(100) + d + some(5) + d)),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.repeats) for r in suffix_dedup.remove_repeats(docs).collect())
+    assert got == sorted((i, i in (1, 2, 6, 10, 11)) for i, _ in rows)
+
+
 def test_join_spread_is_the_plain_join(spark):
     from veridecl.llm.shared import join_spread
 
