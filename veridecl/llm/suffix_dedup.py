@@ -111,15 +111,15 @@ def _cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each passage of WORDS words of each block: h1, h2, low, high, and 128 bits of the hash of its words."""
+    """A row for each passage of WORDS words of each block: h1, h2, low, high, and a hash of its words beside h1's of its anchor."""
     for batch in batches:
         data, offsets = tv.utf8(batch.column("block"))
         starts, ends, first = tv.word_spans(data, offsets, tv.NOT_SPACE)
-        words, at = tv.word_hashes(data, starts, ends), tv.within(first, WORDS)
+        at = tv.within(first, WORDS)
         block = np.searchsorted(first, at, side="right") - 1
-        prints = [tv.combine(w, WORDS)[at].view(np.int64) for w in (words, tv.mix(words + _U(1)))]
+        prints = tv.combine(tv.word_hashes(data, starts, ends), WORDS)[at]
         columns = [batch.column(k).take(pa.array(block)) for k in ("h1", "h2", "low", "high")]
-        yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, prints)], names=["h1", "h2", "low", "high", "w1", "w2"])
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(prints.view(np.int64))], names=["h1", "h2", "low", "high", "w"])
 
 
 def multikey_sort(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -266,23 +266,25 @@ def _with_spans(documents: DataFrame) -> DataFrame:
     equal = materialize(docs.groupBy("t1", "t2").count().filter("count > 1"), "equal")
     texts = join_spread(docs, wanted, equal, ["t1", "t2"], "doc_id").select("text", "wanted")
     cut = materialize(texts.mapInArrow(_cut_blocks, _BLOCK).dropDuplicates(["h1", "h2"]), "cut")
-    passages = cut.filter("anchor < 0").select("h1", "h2", "low", "high", "block").mapInArrow(_passages, "h1 long, h2 long, low long, high long, w1 long, w2 long")
-    cut = cut.filter("anchor >= 0")
+    passages = cut.filter("anchor < 0").select("h1", "h2", "low", "high", "block").mapInArrow(_passages, "h1 long, h2 long, low long, high long, w long")
+    strings = cut.filter("anchor >= 0")
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     lead = F.substring("block", F.col("anchor") + 1, F.lit(32))
-    ordered = cut.filter(F.col("kinds") <= HOT).withColumn("lead", lead).repartitionByRange(parts, "lead", "h1").sortWithinPartitions("lead", "h1")
+    ordered = strings.filter(F.col("kinds") <= HOT).withColumn("lead", lead).repartitionByRange(parts, "lead", "h1").sortWithinPartitions("lead", "h1")
     runs = ordered.select("h1", "h2", "anchor", "block").mapInArrow(_sort_bucket, "h1 long, h2 long, runs array<int>")
     ranges = F.transform(F.filter(F.sequence(F.lit(0), F.size("runs") - 1), lambda k: k % 2 == 0), lambda k: F.struct(F.get("runs", k).alias("a"), (F.get("runs", k + 1) - 1).alias("z")))
     runs = runs.filter(F.size("runs") > 0).select("h1", "h2", ranges.alias("ranges"))
-    prints = cut.filter(F.col("kinds") > HOT).mapInArrow(_fingerprints, "h1 long, h2 long, at int, w1 long, w2 long")
+    prints = strings.filter(F.col("kinds") > HOT).mapInArrow(_fingerprints, "h1 long, h2 long, at int, w1 long, w2 long")
     common = prints.groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2")
     hot = prints.join(common, ["w1", "w2"], "left_semi").groupBy("h1", "h2").agg(F.collect_list(F.struct(F.col("at").alias("a"), F.col("at").alias("z"))).alias("ranges"))
     # passages that stand in blocks of different texts; a block that stands in several texts has but such passages
-    met = passages.groupBy("w1", "w2").agg(F.count("*").alias("count"), F.min("low").alias("low"), F.max("high").alias("high"))
-    met = materialize(met.filter("count > 1 and low < high").select("w1", "w2", "count"), "met")
-    told = join_spread(passages.filter("low = high").select("h1", "h2", "w1", "w2"), met.select("w1", "w2"), met, ["w1", "w2"], "h2")
+    met = passages.groupBy("h1", "w").agg(F.count("*").alias("count"), F.min("low").alias("low"), F.max("high").alias("high"))
+    met = materialize(met.filter("count > 1 and low < high").select("h1", "w", "count"), "met")
+    told = join_spread(passages.filter("low = high").select("h1", "h2", "w"), met.select("h1", "w"), met, ["h1", "w"], "h2")
     told = told.select("h1", "h2").distinct().withColumn("ranges", F.array().cast("array<struct<a:int,z:int>>"))
-    found = runs.unionByName(hot).unionByName(told)
+    found = materialize(runs.unionByName(hot).unionByName(told), "found")
+    for table in (unlike, cut, met):
+        forget(table)
 
     rows = open_.select("t1", "t2", "start", "n", "h1", "h2", (F.col("anchor") < 0).alias("words")).dropDuplicates(["t1", "t2", "start", "words"])
     judged = kinds.select("h1", "h2", "copies", (F.col("low") < F.col("high")).alias("apart")).join(found, ["h1", "h2"], "left").filter("copies > 1 or ranges is not null")
@@ -295,6 +297,9 @@ def _with_spans(documents: DataFrame) -> DataFrame:
     # texts that two rows have, and that have passages: these stand in either row
     spans = spans.join(equal.select("t1", "t2", F.lit(True).alias("equal")), ["t1", "t2"], "left")
     spans = spans.select("t1", "t2", "spans", (F.col("apart") | F.col("words") & F.coalesce("equal", F.lit(False))).alias("repeats"))
+    spans = materialize(spans, "spans")
+    for table in (open_, kinds, found):
+        forget(table)
     return join_spread(docs, spans, equal, ["t1", "t2"], "doc_id", "left").select("doc_id", "text", "spans", F.coalesce("repeats", F.lit(False)).alias("repeats"))
 
 
